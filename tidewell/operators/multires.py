@@ -20,6 +20,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.session import materialise
+
 BITS = 4096
 LEVELS = 40
 FILL = 1 - math.exp(-1.5)
@@ -71,29 +73,36 @@ def grouping(state: DataFrame, groups: list[list[str]], keys: list[str]) -> Data
     return merge_bitmaps(wide.select("g.*", "level", "word", "bits"), ["grain", *keys])
 
 
-def distinct_counts(df: DataFrame, value: str, day: str, group: str, bits: int = BITS) -> DataFrame:
-    """Estimates per day, per group, per both and over all, from one pass over the rows.
-
-    Rows with null ``value`` add nothing; null days and groups are groups of their own (told apart from "every day" by
-    ``grain``). An empty table gives no row. Repeated rows change nothing.
-    """
-    state = partial_bitmaps(df, value, [day, group], bits)
-    return estimate(grouping(state, [[], [day], [group], [day, group]], [day, group]), ["grain", day, group], bits)
-
-
-def range_counts(df: DataFrame, value: str, day: str, group: str | None = None, max_days: int = 31, bits: int = BITS) -> DataFrame:
-    """Estimates for every range of up to ``max_days`` consecutive days ``(first_day, last_day)``, whole and per group.
+def range_state(state: DataFrame, day: str, group: str, max_days: int = 31) -> DataFrame:
+    """Daily state merged to every range of up to ``max_days`` consecutive days, per group and over all groups.
 
-    Only the daily partial results are merged; the rows are read once. Each partial result goes into the ranges that
-    hold it: at most ``max_days`` squared copies of a word, whatever the number of rows.
+    Each word of a day goes into the ranges that hold the day: at most ``max_days`` squared of them, whatever the number
+    of rows behind it. Rows of a null day are in no range.
     """
-    keys = [group] if group else []
-    daily = partial_bitmaps(df.where(F.col(day).isNotNull()), value, [day, *keys], bits)
+    daily = state.where(F.col(day).isNotNull())
     bounds = daily.agg(F.min(day).alias("lo"), F.max(day).alias("hi")).first()
     lo, hi = (F.lit(bounds["lo"]), F.lit(bounds["hi"])) if bounds["lo"] else (F.col(day), F.col(day))
     first = F.explode(F.sequence(F.greatest(lo, F.date_sub(day, max_days - 1)), F.col(day)))
     wide = daily.withColumn("first_day", first)
     last = F.explode(F.sequence(F.col(day), F.least(hi, F.date_add("first_day", max_days - 1))))
     wide = wide.withColumn("last_day", last)
-    return estimate(merge_bitmaps(wide, ["first_day", "last_day", *keys]), ["first_day", "last_day", *keys], bits)
+    # all groups together from the state per group: words merge before they are copied again
+    own = merge_bitmaps(wide, ["first_day", "last_day", group])
+    whole = merge_bitmaps(own, ["first_day", "last_day"]).withColumn(group, F.lit(None).cast(state.schema[group].dataType))
+    return own.withColumn("grain", F.lit(f"range+{group}")).unionByName(whole.withColumn("grain", F.lit("range")))
+
 
+def distinct_counts(df: DataFrame, value: str, day: str, group: str, max_days: int = 31, bits: int = BITS) -> DataFrame:
+    """``(grain, first_day, last_day, group, estimate, rel_error)``: per day, per group, per both, over all, and for every
+    range of up to ``max_days`` consecutive days, whole and per group.
+
+    The rows are read once; all else merges the partial results per day and group, which are written down. Rows with null
+    ``value`` add nothing, and a group of nothing but nulls has no row; null days and groups are groups of their own
+    (``grain`` tells them from "every"), null days are in no range. An empty table gives no row. Repeated rows change
+    nothing.
+    """
+    state = materialise(partial_bitmaps(df, value, [day, group], bits), "bitmaps")
+    grains = grouping(state, [[], [day], [group], [day, group]], [day, group])
+    grains = grains.select("grain", F.col(day).alias("first_day"), F.col(day).alias("last_day"), group, "level", "word", "bits")
+    keys = ["grain", "first_day", "last_day", group]
+    return estimate(grains.unionByName(range_state(state, day, group, max_days).select(grains.columns)), keys, bits)

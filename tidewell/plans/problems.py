@@ -73,10 +73,6 @@ def p4_distinct(spark: SparkSession, d: str) -> DataFrame:
     return multires.distinct_counts(load(spark, d, "processed_events"), "uid", "event_date", "campaign_id")
 
 
-def p4_ranges(spark: SparkSession, d: str) -> DataFrame:
-    return multires.range_counts(load(spark, d, "processed_events"), "uid", "event_date", "campaign_id")
-
-
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return _compacted(spark, d).select("dt", "hour")
 
@@ -109,7 +105,7 @@ def p7_events(spark: SparkSession, d: str) -> DataFrame:
     return kept.select(spelled("id").alias("event_id"), F.col("first_at").alias("updated_us"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_clicks, p2_found, p2_sessions, p3_found, p3_campaigns, p3_banners, p4_distinct, p4_ranges, p5_found, p5_compacted, p6_found, p6_hourly, p7_found, p7_clicks, p7_events)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_clicks, p2_found, p2_sessions, p3_found, p3_campaigns, p3_banners, p4_distinct, p5_found, p5_compacted, p6_found, p6_hourly, p7_found, p7_clicks, p7_events)}
 
 _BARE = "nullif(lower(trim(replace(event_id, '-', ''))), '')"
 _UUID = "substr({0},1,8)||'-'||substr({0},9,4)||'-'||substr({0},13,4)||'-'||substr({0},17,4)||'-'||substr({0},21,12)"
