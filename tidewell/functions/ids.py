@@ -28,10 +28,11 @@ def json_object(value: Column | str) -> Column:
     Parsing it inside brackets lets the parser see what follows the object, so trailing text makes it invalid.
     """
     c = F.col(value) if isinstance(value, str) else value
-    whole = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
-    first = F.try_variant_get(whole, "$[0]", "variant")
-    alone = F.schema_of_variant(F.try_variant_get(whole, "$[1]", "variant")).isNull()
-    return F.when(alone & F.schema_of_variant(first).startswith("OBJECT"), first)
+    open_ = F.ltrim(c, F.lit(" \t\n\r")).startswith("{")
+    whole = F.when(open_, F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))))
+    # a lambda's variable is computed once, however often it is used
+    alone = F.transform(F.array(whole), lambda w: F.when(F.try_variant_get(w, "$[1]", "variant").isNull(), F.try_variant_get(w, "$[0]", "variant")))
+    return F.get(alone, F.lit(0))
 
 
 def message_id(value: Column | str) -> Column:
