@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.tokens import CJK, OTHER, PUNCT, SILENT, SPACE, TAIL, token_count
+from tidewell.llm.tokens import CJK, OTHER, PUNCT, SILENT, SPACE, TAIL, TOKEN, token_count
 
 LIMIT, OVERLAP = 1000, 100
 STRENGTHS = "HPCSLx"
@@ -25,33 +25,38 @@ HEADINGS = [
     "要約", "詳細な説明", "発明の詳細な説明", "特許請求の範囲", "請求の範囲", "請求項",
 ]
 
-# letters of the class string while it is made; text that holds one of these noncharacters shows x in its place
+# boundaries are first put into the text as noncharacters; a text that holds one of these shows x in its place
 _MARK = {s: chr(0xFDD0 + i) for i, s in enumerate(STRENGTHS)}
 _MARKS = r"\x{FDD0}-\x{FDEF}"
-_WORD = OTHER[:-1] + _MARKS + "]"
-_TOK = rf"(?:[{PUNCT}]|[{CJK}]|{_WORD}[^{SPACE}{PUNCT}{CJK}{_MARKS}]*+)"
-_EOL = rf"(?=[{SPACE}{SILENT}&&[^\n]]*+\n)"
+_LETTER = {s: chr(0xE000 + i) for i, s in enumerate(STRENGTHS)}
+_BLANK = rf"[{SPACE}{SILENT}]*+"
+_MORE = rf"[^{SPACE}{PUNCT}{CJK}{_MARKS}]*+"
+_TOK = rf"(?:[a-zA-Z0-9]++{_MORE}|[{PUNCT}]|[{CJK}]|{OTHER[:-1]}{_MARKS}]{_MORE})"
 
 
-def _steps() -> list[tuple[str, str]]:
+def _marks() -> list[tuple[str, str]]:
+    """Patterns of the boundaries in the text, and what stands for each. All but the sentence start at a line end."""
     head = "|".join(sorted(HEADINGS, key=len, reverse=True))
-    blank = rf"(?=[{SPACE}{SILENT}&&[^\n]]*+\n[{SPACE}{SILENT}&&[^\n]]*+\n)"
     return [
-        ("H", rf"{_TOK}{_EOL}{TAIL}(?=(?:#+ |(?:{head})[ \t\r]*(?:\n|$)))"),
-        ("P", rf"{_TOK}(?:{blank}{TAIL}|{_EOL}{TAIL}(?=\[\d+\]))"),
-        ("C", rf"{_TOK}{_EOL}{TAIL}(?=\d{{1,3}}[.)][ \t])"),
-        ("S", rf"(?:[。！？]|[.!?](?=[{SPACE}]|$)|[\"”’)\]](?<=[.!?。].)(?=[{SPACE}]|$)){TAIL}"),
-        ("L", rf"{_TOK}{_EOL}{TAIL}"),
-        ("x", rf"{_TOK}{TAIL}"),
+        (rf"\n{_BLANK}(?=(?:#+ |(?:{head})[ \t\r]*(?:\n|$)))", _MARK["H"]),
+        (rf"\n[ \t\r]*+(?:\n{_BLANK}|(?=\[\d+\]))", _MARK["P"]),
+        (r"\n[ \t\r]*+(?=\d{1,3}[.)][ \t])", _MARK["C"]),
+        (rf"([.!?][\"”’)\]]?)(?=[{SPACE}{_MARKS}]|$)|([。！？])", f"$1$2{_MARK['S']}"),
+        (r"\n", _MARK["L"]),
     ]
 
 
 def boundary_string(text: Column) -> Column:
-    """One letter of ``STRENGTHS`` for each token."""
-    c = F.regexp_replace(F.regexp_replace(text, f"[{_MARKS}]", "x"), rf"^[{SPACE}{SILENT}]+", "")
-    for s, pattern in _steps():
-        c = F.regexp_replace(c, pattern, _MARK[s])
-    return F.translate(c, "".join(_MARK[s] for s in STRENGTHS), STRENGTHS)
+    """One letter of ``STRENGTHS`` for each token: the strongest boundary between it and the next."""
+    c = F.regexp_replace(text, f"[{_MARKS}]", "x")
+    for pattern, mark in _marks():
+        c = F.regexp_replace(c, pattern, mark)
+    c = F.regexp_replace(c, rf"{_TOK}{_BLANK}", "x")
+    # left are x, marks and white space around them: short strings
+    c = F.regexp_replace(F.regexp_replace(c, rf"[^x{_MARKS}]+", ""), rf"^[{_MARKS}]+", "")
+    for s in STRENGTHS[:-1]:
+        c = F.regexp_replace(c, rf"x[{_MARKS}]*?{_MARK[s]}[{_MARKS}]*+", _LETTER[s])
+    return F.translate(c, "".join(_LETTER[s] for s in STRENGTHS[:-1]), STRENGTHS[:-1])
 
 
 def cut_pattern(limit: int = LIMIT, overlap: int = OVERLAP) -> str:
@@ -73,7 +78,7 @@ def split_documents(documents: DataFrame, ident: str = "doc_id", text: str = "te
     if not 0 <= overlap < limit / 2:
         raise ValueError("overlap must be below half of the limit")
     long = documents.select(F.col(ident).alias("doc_id"), F.col(text).alias("t")).where(F.length("t") > limit).where(token_count("t") > limit)
-    whole = rf"(?:^[{SPACE}{SILENT}]+)?(?:[{PUNCT}]|[{CJK}]|{OTHER}[^{SPACE}{PUNCT}{CJK}]*+){TAIL}"
+    whole = rf"(?:^[{SPACE}{SILENT}]+)?(?:{TOKEN}){TAIL}"
     parts = long.select("doc_id", F.regexp_extract_all("t", F.lit(whole), F.lit(0)).alias("tokens"), F.regexp_extract_all(boundary_string(F.col("t")), F.lit(cut_pattern(limit, overlap)), F.lit(0)).alias("cuts"))
     ends = F.aggregate("cuts", F.array(F.lit(0)), lambda acc, c: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(c))))
     parts = parts.withColumn("ends", ends)

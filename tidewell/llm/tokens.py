@@ -16,7 +16,9 @@ SPACE = r"\t\n\r\p{Z}"
 SILENT = r"\x{0}-\x{8}\x{B}\x{C}\x{E}-\x{1F}\x{7F}-\x{9F}\p{Cf}\x{FFFD}"
 
 OTHER = rf"[^{SPACE}{PUNCT}{CJK}{SILENT}]"
-TOKEN = rf"[{PUNCT}]|[{CJK}]|{OTHER}[^{SPACE}{PUNCT}{CJK}]*+"
+MORE = rf"[^{SPACE}{PUNCT}{CJK}]*+"
+#: ASCII words come first: their class is a table, that of other characters a long list of tests.
+TOKEN = rf"[a-zA-Z0-9]++{MORE}|[{PUNCT}]|[{CJK}]|{OTHER}{MORE}"
 TAIL = rf"[{SPACE}{SILENT}]*+"
 
 
@@ -27,4 +29,4 @@ def token_count(text: Column | str) -> Column:
 
 
 #: The same in DuckDB's dialect (RE2), for checks.
-TOKEN_RE2 = TOKEN.replace("*+", "*")
+TOKEN_RE2 = TOKEN.replace("*+", "*").replace("++", "+")
