@@ -15,6 +15,7 @@ holds for any evaluation set.
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 import sys
 import unicodedata
@@ -28,23 +29,27 @@ from pyspark.sql import functions as F
 from tidewell.session import materialise
 
 SPAN = 13
-RANK, EXTRA = 32, 8
-COSINE = 0.9
+RANK, EXTRA = 64, 8
+COSINE, ANSWER = 0.9, 0.7
 CELLS, PROBES = 256, 1
 BLOCK = 20_000
 SLICE = 256
 
 _NUMERAL = re.compile(r"[(\[]\s*\d+(?:\s*[,;.–-]\s*\d+)*\s*[)\]]")
-_BREAK = re.compile(r"(?<=[^\W_])[-­‐‑][^\S\n]*\r?\n\s*(?=[^\W_])")
-_WORD = re.compile(r"[^\W_]+")
+_BREAK = re.compile("[-\xad\u2010\u2011](?<=[^\\W_].)[^\\S\n]*\n\\s*(?=[^\\W_])")
+_WORD = re.compile(r"\w+")
+#: Beyond the basic plane invisible characters are rare enough for a pattern of their own.
+_ASTRAL = re.compile("[\U00010000-\U0010ffff]")
 
 
 @functools.cache
-def _invisible() -> re.Pattern:
-    """Format characters and the other characters that show nothing, but for the soft hyphen."""
+def _invisible() -> tuple[re.Pattern, re.Pattern]:
+    """Format characters and the other characters that show nothing, but for the soft hyphen: those of the basic plane,
+    for which a table is compiled, and the rest."""
     odd = [0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)]
-    chars = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cf" and c != 0xAD]
-    return re.compile("[" + "".join(map(re.escape, map(chr, sorted({*chars, *odd})))) + "]")
+    every = {chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cf" and c != 0xAD} | set(map(chr, odd))
+    basic, rest = (sorted(c for c in every if (c < "\U00010000") == low) for low in (True, False))
+    return tuple(re.compile("[" + "".join(map(re.escape, part)) + "]") for part in (basic, rest))
 
 
 def words(text: str | None) -> list[str]:
@@ -53,12 +58,17 @@ def words(text: str | None) -> list[str]:
     if not text:
         return []
     if not text.isascii():
-        text = _invisible().sub("", text)
-        text = unicodedata.normalize("NFKC", _BREAK.sub("", text)).replace("­", "")
+        basic, rest = _invisible()
+        text = basic.sub("", text)
+        if _ASTRAL.search(text):
+            text = rest.sub("", text)
+        text = unicodedata.normalize("NFKC", _BREAK.sub("", text)).replace("\xad", "")
     elif "-" in text:
         text = _BREAK.sub("", text)
     if "(" in text or "[" in text:
         text = _NUMERAL.sub(" ", text)
+    if "_" in text:
+        text = text.replace("_", " ")
     return _WORD.findall(text.lower())
 
 
@@ -83,7 +93,7 @@ def passages(documents: DataFrame, vocabulary: dict[str, int], span: int) -> Dat
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if not text:
                     continue
-                ids = np.array([get(w, -1) for w in words(text)], dtype=np.int32)
+                ids = np.fromiter(map(get, words(text), itertools.repeat(-1)), dtype=np.int32)
                 known = ids >= 0
                 freq[np.unique(ids[known])] += 1
                 seen += 1
@@ -121,25 +131,30 @@ def _gram(parts: DataFrame, idf: np.ndarray, q: np.ndarray, span: int) -> np.nda
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z, any_ = np.zeros((size, rank)), False
         for batch in batches:
-            for ids in batch.column(0).to_numpy(zero_copy_only=False):
-                for at in range(0, max(1, len(ids) - span + 1), 4096):
-                    w = windows(ids[at : at + 4096 + span - 1], span)
-                    if not len(w):
-                        continue
-                    any_ = True
-                    x = np.zeros((len(w), rank))
-                    flat, weight = np.sort(w, axis=1), idf[w]
-                    # squared length with repeated words added up
-                    same = flat[:, 1:] == flat[:, :-1]
-                    norm = np.sqrt((weight**2).sum(1)) if not same.any() else _lengths(flat, idf)
-                    for k in range(span):
-                        x += q[w[:, k]] * weight[:, k, None]
-                    x /= (norm**2)[:, None]
-                    order = np.argsort(w, axis=None, kind="stable")
-                    terms = w.reshape(-1)[order]
-                    rows = x[order // span] * idf[terms, None]
-                    first = np.flatnonzero(np.r_[True, terms[1:] != terms[:-1]])
-                    z[terms[first]] += np.add.reduceat(rows, first, axis=0)
+            texts, k = batch.column(0).to_numpy(zero_copy_only=False), 0
+            while k < len(texts):  # about 65,536 words at a time; a longer text by itself
+                n, stop = len(texts[k]), k + 1
+                while stop < len(texts) and n + len(texts[stop]) <= 65_536:
+                    n, stop = n + len(texts[stop]), stop + 1
+                part, k = texts[k:stop], stop
+                ids = np.concatenate(part)
+                lengths = np.array([len(t) for t in part])
+                # a window starts wherever its text goes on for its length
+                left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(ids))
+                starts = left >= span
+                if not starts.any():
+                    continue
+                any_ = True
+                norm = np.ones(len(ids))
+                norm[starts] = _lengths(windows(ids, span)[np.flatnonzero(starts)], idf)
+                total = _moving(q[ids] * idf[ids, None], span)  # the sum over each window, at its start
+                total[~starts] = 0
+                total /= (norm**2)[:, None]
+                # each word collects the windows that hold it, then each term its words
+                back = _moving(total[::-1], span)[::-1] * idf[ids, None]
+                order = np.argsort(ids, kind="stable")
+                first = np.flatnonzero(np.r_[True, np.diff(ids[order]) != 0])
+                z[ids[order][first]] += np.add.reduceat(back[order], first, axis=0)
         if any_:
             pieces = [(k // SLICE, z[k : k + SLICE].tobytes()) for k in range(0, size, SLICE)]
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pieces], pa.int32()), pa.array([p[1] for p in pieces], pa.binary())], names=["slice", "z"])
@@ -156,12 +171,22 @@ def _gram(parts: DataFrame, idf: np.ndarray, q: np.ndarray, span: int) -> np.nda
     return z
 
 
-def _lengths(flat: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    out = np.empty(len(flat))
-    for i, row in enumerate(flat):
-        t, c = np.unique(row, return_counts=True)
-        out[i] = np.sqrt(((c * idf[t]) ** 2).sum())
-    return out
+def _moving(x: np.ndarray, span: int) -> np.ndarray:
+    """Row k is the sum of rows k to k + span - 1, as far as there are any."""
+    sums = np.vstack([np.zeros((1, x.shape[1])), np.cumsum(x, axis=0)])
+    end = np.minimum(np.arange(len(x)) + span, len(x))
+    return sums[end] - sums[:-1]
+
+
+def _lengths(w: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Lengths of the TF-IDF vectors of windows; a word that comes c times weighs c squared."""
+    flat = np.sort(w, axis=1)
+    total = np.zeros(len(w))
+    run = np.zeros(len(w))
+    for k in range(w.shape[1]):
+        run = run + 1 if k == 0 else np.where(flat[:, k] == flat[:, k - 1], run + 1, 1)
+        total += (2 * run - 1) * idf[flat[:, k]] ** 2  # squares are sums of odd numbers
+    return np.sqrt(total)
 
 
 def latent_space(parts: DataFrame, idf: np.ndarray, span: int, rank: int = RANK, seed: int = 5) -> np.ndarray:
@@ -210,7 +235,7 @@ def lcs(a: list, b: list) -> int:
 MATCH = "doc_id bigint, item bigint, cosine float, run int, lcs int, answer float, start int"
 
 
-def _search(parts: DataFrame, items: list[np.ndarray], idf: np.ndarray, space: np.ndarray, span: int, cosine: float) -> DataFrame:
+def _search(parts: DataFrame, items: list[np.ndarray], idf: np.ndarray, space: np.ndarray, span: int, cosine: float, answer: float) -> DataFrame:
     """For each stretch and item among the candidates: best cosine, longest common run and subsequence of words."""
     owner = np.repeat(np.arange(len(items)), [max(0, len(i) - span + 1) for i in items])
     begin = np.concatenate([np.arange(max(0, len(i) - span + 1)) for i in items])
@@ -219,6 +244,7 @@ def _search(parts: DataFrame, items: list[np.ndarray], idf: np.ndarray, space: n
     centre = cells_of(vectors, CELLS)
     cell = (vectors @ centre.T).argmax(1)
     members = [np.flatnonzero(cell == k) for k in range(len(centre))]
+    weight = idf[every].sum(1)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,23 +264,25 @@ def _search(parts: DataFrame, items: list[np.ndarray], idf: np.ndarray, space: n
                     mine = order[a:b]
                     group = members[near[mine[0]]]
                     score = x[mine] @ vectors[group].T
-                    for i, j in zip(*np.nonzero(score >= cosine)):
-                        p, m = lo + int(mine[i]), int(group[j])
-                        hits.setdefault((int(which[p]), int(owner[m])), []).append((p, m, float(score[i, j])))
+                    i, j = np.nonzero(score >= cosine)
+                    p, m = lo + mine[i], group[j]
+                    # the checks of all candidates at once: equal word by word; weight of the item's words that are there
+                    same = (w[p] == every[m]).all(1)
+                    there = (every[m][:, :, None] == w[p][:, None, :]).any(2)
+                    share = (there * idf[every[m]]).sum(1) / weight[m]
+                    for k in np.flatnonzero(same | (share >= answer)):
+                        hits.setdefault((int(which[p[k]]), int(owner[m[k]])), []).append((int(p[k]), int(m[k]), float(score[i[k], j[k]]), bool(same[k]), float(share[k])))
             for (t, item), found in hits.items():
-                # the exact check: windows equal word by word; consecutive ones on one diagonal make a longer run
-                exact = sorted({(int(begin[m]) - int(offset[p]), int(offset[p])) for p, m, _ in found if (w[p] == every[m]).all()})
+                # windows that are equal and consecutive on one diagonal make a longer run
+                exact = sorted({(int(begin[m]) - int(offset[p]), int(offset[p])) for p, m, _, same, _ in found if same})
                 longest, here, last = 0, 0, None
                 for d, o in exact:
                     here = here + 1 if last == (d, o - 1) else 1
                     last, longest = (d, o), max(longest, here)
                 best = max(found, key=lambda f: f[2])
                 run = longest + span - 1 if longest else 0
-                here, there = w[best[0]], every[best[1]]
-                common = max(run, lcs(here.tolist(), there.tolist()))
-                terms = np.unique(there)
-                answer = float(idf[terms[np.isin(terms, here)]].sum() / idf[terms].sum())
-                out.append((docs[t], item, best[2], run, common, answer, starts[t] + int(offset[best[0]])))
+                common = max(run, lcs(w[best[0]].tolist(), every[best[1]].tolist()))
+                out.append((docs[t], item, best[2], run, common, best[4], starts[t] + int(offset[best[0]])))
             cols = list(zip(*out)) if out else [[] for _ in range(7)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.float32(), pa.int32(), pa.int32(), pa.float32(), pa.int32()))],
@@ -264,7 +292,7 @@ def _search(parts: DataFrame, items: list[np.ndarray], idf: np.ndarray, space: n
     return parts.select("doc_id", "start", "ids").mapInArrow(find, MATCH)
 
 
-def _block(spark: SparkSession, documents: DataFrame, items: list[tuple[int, list[str]]], span: int, cosine: float) -> DataFrame:
+def _block(spark: SparkSession, documents: DataFrame, items: list[tuple[int, list[str]]], span: int, cosine: float, answer: float) -> DataFrame:
     vocabulary = {w: k for k, w in enumerate(sorted({w for _, t in items for w in t}))}
     ids = [np.array([vocabulary[w] for w in t], dtype=np.int32) for _, t in items]
     found = materialise(passages(documents, vocabulary, span), "passages")
@@ -276,7 +304,7 @@ def _block(spark: SparkSession, documents: DataFrame, items: list[tuple[int, lis
     idf = np.log((1 + n) / (1 + freq)) + 1
     parts = found.where(F.col("ids").isNotNull()).select("doc_id", "start", "ids")
     space = latent_space(parts, idf, span)
-    matches = _search(parts, ids, idf.astype(np.float32), space, span, cosine)
+    matches = _search(parts, ids, idf.astype(np.float32), space, span, cosine, answer)
     number = F.create_map(*(F.lit(x) for k, (i, _) in enumerate(items) for x in (k, i))) if len(items) < 64 else None
     if number is not None:
         return matches.withColumn("item_id", F.element_at(number, F.col("item").cast("int")))
@@ -284,12 +312,13 @@ def _block(spark: SparkSession, documents: DataFrame, items: list[tuple[int, lis
     return matches.join(F.broadcast(table), "item")  # at most BLOCK rows
 
 
-def leaks(documents: DataFrame, items: DataFrame, span: int = SPAN, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
-    """``(doc_id, item_id, run, lcs, answer, cosine, n_places, first_word)`` of every document and item that are candidates.
+def leaks(documents: DataFrame, items: DataFrame, span: int = SPAN, cosine: float = COSINE, answer: float = ANSWER, block: int = BLOCK) -> DataFrame:
+    """``(doc_id, item_id, run, lcs, answer, cosine, n_places, first_word)`` of every document and item that are candidates and
+    share a run of ``span`` words or the ``answer`` part of a passage's information.
 
     ``run`` is the longest common run of words (0 if below ``span``), ``lcs`` the longest common subsequence at the
-    closest passage, ``answer`` the share of that passage's information (IDF weight of its distinct words: names and
-    numbers weigh most) that the document repeats, ``first_word`` where the passage begins. Null and empty texts and items of fewer than ``span``
+    closest passage, ``answer`` the share of that passage's information (IDF weight of its words: names and numbers weigh
+    most) that the document repeats, ``first_word`` where the passage begins. Null and empty texts and items of fewer than ``span``
     words match nothing; documents with the same text match alike; items that share a passage are all found.
     """
     spark = documents.sparkSession
@@ -299,7 +328,7 @@ def leaks(documents: DataFrame, items: DataFrame, span: int = SPAN, cosine: floa
 
     def close() -> None:
         nonlocal result, batch
-        one = _block(spark, docs, batch, span, cosine)
+        one = _block(spark, docs, batch, span, cosine, answer)
         result, batch = one if result is None else result.unionByName(one), []
 
     for r in chosen.toLocalIterator():  # the evaluation set, block by block
