@@ -1,8 +1,12 @@
+import os
 import sys
+import time
 from pathlib import Path
 
 import pytest
 
+os.environ["TZ"] = "UTC"  # naive datetimes of the tests are UTC
+time.tzset()
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 from tidewell.session import build_session  # noqa: E402

@@ -132,7 +132,8 @@ def renames(h: DataFrame, wire: dict[str, dict[str, str]]) -> list[dict]:
     sides = sides.join(totals_old.withColumnRenamed("total", "t_old"), ["src", "name", "side"])
     inside = F.aggregate("fs", F.lit(0.0), lambda a, x: a + F.when(x["c_old"].isNotNull() & (x["c_old"] >= F.col("t_old") * 0.0005), x["c"]).otherwise(0.0)) / F.col("t_new")
     overlap = F.aggregate("fs", F.lit(0.0), lambda a, x: a + F.least(x["c"] / F.col("t_new"), F.coalesce(x["c_old"], F.lit(0)) / F.col("t_old")))
-    few = (F.col("side") != "v") | (F.col("classes") <= 200)
+    # values tell only where they repeat
+    few = (F.col("side") != "v") | ((F.col("classes") <= 200) & (F.col("t_old") >= 5 * F.col("classes")))
     scored = sides.where(few).withColumns({"inside": inside, "overlap": overlap})
     per = scored.groupBy(*key, "name", "n", "without", "missing").agg(
         F.max_by(F.struct("inside", "overlap"), F.when(F.col("side") == "v", 1).otherwise(0)).alias("s")
