@@ -118,7 +118,7 @@ _STANDING = f"""e AS (SELECT *, {_BARE} AS id FROM processed_events),
 _SESSIONS = f"""WITH {_STANDING},
  u AS (SELECT uid, event_type, epoch_us(event_timestamp) AS us FROM s WHERE uid IS NOT NULL AND event_timestamp IS NOT NULL),
  g AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY uid ORDER BY us) <= 1800000000 THEN 0 ELSE 1 END AS opens FROM u),
- n AS (SELECT *, sum(opens) OVER (PARTITION BY uid ORDER BY us ROWS UNBOUNDED PRECEDING) AS k FROM g),
+ n AS (SELECT *, sum(opens) OVER (PARTITION BY uid ORDER BY us, opens DESC ROWS UNBOUNDED PRECEDING) AS k FROM g),
  r AS (SELECT uid, k, min(us) // 1000000 AS session_start, max(us) // 1000000 AS session_end, count(*) AS n_events,
   count(*) FILTER (event_type = 'request') AS n_request, count(*) FILTER (event_type = 'impression') AS n_impression,
   count(*) FILTER (event_type = 'click') AS n_click, count(*) FILTER (event_type = 'conversion') AS n_conversion,
