@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.tokens import CJK, OTHER, PUNCT, SILENT, SPACE, TAIL, TOKEN, token_count
+from tidewell.llm.tokens import ASCII_PUNCT, CJK, OTHER, PUNCT, SILENT, SPACE, TAIL, TOKEN, token_count
 
 LIMIT, OVERLAP = 1000, 100
 STRENGTHS = "HPCSLx"
@@ -31,7 +31,7 @@ _MARKS = r"\x{FDD0}-\x{FDEF}"
 _LETTER = {s: chr(0xE000 + i) for i, s in enumerate(STRENGTHS)}
 _BLANK = rf"[{SPACE}{SILENT}]*+"
 _MORE = rf"[^{SPACE}{PUNCT}{CJK}{_MARKS}]*+"
-_TOK = rf"(?:[a-zA-Z0-9]++{_MORE}|[{PUNCT}]|[{CJK}]|{OTHER[:-1]}{_MARKS}]{_MORE})"
+_TOK = rf"(?:[a-zA-Z0-9]++(?: ++|{_MORE})|[{ASCII_PUNCT}] *+|[{PUNCT}]|[{CJK}]|{OTHER[:-1]}{_MARKS}]{_MORE})"
 
 
 def _marks() -> list[tuple[str, str]]:

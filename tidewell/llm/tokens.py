@@ -17,8 +17,10 @@ SILENT = r"\x{0}-\x{8}\x{B}\x{C}\x{E}-\x{1F}\x{7F}-\x{9F}\p{Cf}\x{FFFD}"
 
 OTHER = rf"[^{SPACE}{PUNCT}{CJK}{SILENT}]"
 MORE = rf"[^{SPACE}{PUNCT}{CJK}]*+"
-#: ASCII words come first: their class is a table, that of other characters a long list of tests.
-TOKEN = rf"[a-zA-Z0-9]++{MORE}|[{PUNCT}]|[{CJK}]|{OTHER}{MORE}"
+ASCII_PUNCT = r"!-/:-@\[-`{-~"
+#: ASCII words and marks come first and take the spaces after them along: their classes are tables, those of other
+#: characters long lists of tests, which spaces would go through otherwise.
+TOKEN = rf"[a-zA-Z0-9]++(?:[ \n]++|{MORE})|[{ASCII_PUNCT}][ \n]*+|[{PUNCT}]|[{CJK}]|{OTHER}{MORE}"
 TAIL = rf"[{SPACE}{SILENT}]*+"
 
 
