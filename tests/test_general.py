@@ -17,6 +17,7 @@ from tidewell.functions.ids import bare_id, json_object, message_id, spelled
 from tidewell.operators import compaction, dedup_index, late_events, multires, schema_drift, sessions, skew
 from tidewell.operators.standing import standing_events
 from tidewell.schemas import WIRE
+from tidewell.table.files import walk
 
 UUID = "8f52ae3a-038b-46b5-bfa4-112ec047145e"
 T0 = dt.datetime(2024, 1, 2, 10)
@@ -103,8 +104,9 @@ def test_drift_nothing(spark):
 
 
 def test_union_table_keeps_content(spark):
-    df = messages(spark, native(), native(banner_w="300px", site_cat=["IAB1", "IAB2"]), native(campaign_id=5.5)).withColumn("uid", F.lit("mine"))
-    t = schema_drift.union_table(df, WIRE, keep=("dt", "uid"))
+    df = messages(spark, native(), native(banner_w="300px", site_cat=["IAB1", "IAB2"]), native(campaign_id=5.5)).withColumns({"uid": F.lit("mine"), "v": F.lit(1), "names": F.lit(2)})
+    t = schema_drift.union_table(df, WIRE, keep=("dt", "uid", "v", "names"))
+    assert {tuple(r) for r in t.select("v", "names").collect()} == {(1, 2)}
     assert dict(t.dtypes)["banner_w"] == "string" and dict(t.dtypes)["banner_h"] == "int"
     rows = {(r["banner_w"], r["site_cat"], r["msg_uid"]) for r in t.collect()}
     assert rows == {("300", "IAB1", "mine"), ("300px", '["IAB1","IAB2"]', "mine")}
@@ -376,3 +378,17 @@ def test_index_copies_and_kept(spark, path):
     assert {(x["id"], x["first_at"]) for x in dedup_index.kept(r).collect()} == {("x", 3), ("y", 1), ("z", 9), ("q", 1)}
     empty = dedup_index.IdentifierIndex(spark, path + "/e").ingest(df.limit(0), bare_id("i"), F.col("b"), F.col("o"))
     assert empty.count() == 0
+
+
+# --- shared folder ---
+
+
+def test_shared_folder(spark):
+    from tidewell import session
+
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    assert not root or session.shared_dir(spark) == root.rstrip("/")
+    made = session.materialise(spark.range(5), "five")
+    assert made.count() == 5 and session._own(spark).rpartition("//")[2] in made.inputFiles()[0]
+    session.clear_scratch(spark)
+    assert walk(spark, session._own(spark)) == []

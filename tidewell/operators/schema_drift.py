@@ -196,7 +196,8 @@ def union_table(messages: DataFrame, wire: dict[str, dict[str, str]], value: str
     sources takes the wider of both. The columns of ``keep`` come along under their names, prefixed with ``msg_`` where
     they clash with a field.
     """
-    h = read_headers(messages.select(F.col(value).alias("raw"), *keep), wire, "raw")
+    along = [F.struct(*keep).alias("__keep")] if keep else []  # apart, as their names may be any
+    h = read_headers(messages.select(F.col(value).alias("raw"), *along), wire, "raw")
     moved = renames(h, wire)
     bits = {(r["src"], r["name"]): r["bits"] for r in fold(h).collect()}  # a row for each declared field
     names = list(dict.fromkeys(n for f in wire.values() for n in f))
@@ -220,7 +221,7 @@ def union_table(messages: DataFrame, wire: dict[str, dict[str, str]], value: str
         text = F.try_variant_get(v, "$", "string")
         return (text if width(n) == "string" else text.try_cast("double").cast(width(n)) if width(n) == "double" else text.try_cast(width(n))).alias(n)
 
-    return h.select(*(column(n) for n in names), *(F.col(c).alias(f"msg_{c}" if c in names else c) for c in keep))
+    return h.select(*(column(n) for n in names), *(F.col(f"__keep.{c}").alias(f"msg_{c}" if c in names else c) for c in keep))
 
 
 # --- Parquet files ---------------------------------------------------------------------------------------------------

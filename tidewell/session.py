@@ -56,7 +56,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/tidewell/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{_own(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _own(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tidewell/{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes what this application put into the shared folder. Results read from there must have been consumed."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(_own(spark))
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
