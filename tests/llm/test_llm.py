@@ -102,10 +102,11 @@ def test_leaks_against_brute_force(spark, seed):
     assert all(whole[k] >= len(t.split()) for k, t in items if t and len(t.split()) >= 13)
 
 
-def test_leaks_in_blocks_of_items(spark):
+@pytest.mark.parametrize("block", [50, 400])  # the smaller cuts items
+def test_leaks_in_blocks_of_items(spark, block):
     docs, items = corpus(4)
     d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
-    got = {(r["doc_id"], r["item_id"]) for r in contamination.leaks(d, i, block=15).collect() if r["run"] >= 13}
+    got = {(r["doc_id"], r["item_id"]) for r in contamination.leaks(d, i, block=block).collect() if r["run"] >= 13}
     assert got == brute_pairs(docs, items, 13)
 
 

@@ -32,7 +32,7 @@ SPAN = 13
 RANK, EXTRA = 64, 8
 COSINE, ANSWER = 0.9, 0.7
 CELLS, PROBES = 256, 1
-BLOCK = 20_000
+BLOCK = 200_000
 SLICE = 256
 
 _NUMERAL = re.compile(r"[(\[]\s*\d+(?:\s*[,;.–-]\s*\d+)*\s*[)\]]")
@@ -305,18 +305,15 @@ def _block(spark: SparkSession, documents: DataFrame, items: list[tuple[int, lis
     parts = found.where(F.col("ids").isNotNull()).select("doc_id", "start", "ids")
     space = latent_space(parts, idf, span)
     matches = _search(parts, ids, idf.astype(np.float32), space, span, cosine, answer)
-    number = F.create_map(*(F.lit(x) for k, (i, _) in enumerate(items) for x in (k, i))) if len(items) < 64 else None
-    if number is not None:
-        return matches.withColumn("item_id", F.element_at(number, F.col("item").cast("int")))
     table = spark.createDataFrame([(k, i) for k, (i, _) in enumerate(items)], "item bigint, item_id bigint")
-    return matches.join(F.broadcast(table), "item")  # at most BLOCK rows
+    return matches.join(F.broadcast(table), "item")  # a row an item of the block
 
 
 def leaks(documents: DataFrame, items: DataFrame, span: int = SPAN, cosine: float = COSINE, answer: float = ANSWER, block: int = BLOCK) -> DataFrame:
     """``(doc_id, item_id, run, lcs, answer, cosine, n_places, first_word)`` of every document and item that are candidates and
     share a run of ``span`` words or the ``answer`` part of a passage's information.
 
-    ``run`` is the longest common run of words (0 if below ``span``), ``lcs`` the longest common subsequence at the
+    ``run`` is the longest common run of words (0 if below ``span``; of an item beyond a block, within one part), ``lcs`` the longest common subsequence at the
     closest passage, ``answer`` the share of that passage's information (IDF weight of its words: names and numbers weigh
     most) that the document repeats, ``first_word`` where the passage begins. Null and empty texts and items of fewer than ``span``
     words match nothing; documents with the same text match alike; items that share a passage are all found.
@@ -324,21 +321,21 @@ def leaks(documents: DataFrame, items: DataFrame, span: int = SPAN, cosine: floa
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("bigint"), "text").where(F.length("text") > 0)
     chosen = items.select(F.col("item_id").cast("bigint"), "text").where(F.length("text") > 0)
-    result, batch = None, []
-
-    def close() -> None:
-        nonlocal result, batch
-        one = _block(spark, docs, batch, span, cosine, answer)
-        result, batch = one if result is None else result.unionByName(one), []
-
-    for r in chosen.toLocalIterator():  # the evaluation set, block by block
+    found, batch, size = [], [], 0
+    for r in chosen.toLocalIterator():  # the evaluation set, of which no more than a block is held
         w = words(r["text"])
-        if len(w) >= span:
-            batch.append((r["item_id"], w))
-        if len(batch) == block:
-            close()
+        for at in range(0, max(1, len(w) - span + 1), block - span + 1):
+            part = w[at : at + block]
+            if len(part) < span:
+                continue
+            if batch and size + len(part) > block:
+                found.append(_block(spark, docs, batch, span, cosine, answer))
+                batch, size = [], 0
+            batch.append((r["item_id"], part))
+            size += len(part)
     if batch:
-        close()
+        found.append(_block(spark, docs, batch, span, cosine, answer))
+    result = functools.reduce(DataFrame.unionByName, found) if found else None
     if result is None:
         return spark.createDataFrame([], "doc_id bigint, item_id bigint, run int, lcs int, answer float, cosine float, n_places bigint, first_word int")
     return result.groupBy("doc_id", "item_id").agg(
