@@ -171,3 +171,13 @@ def test_health(spark, path):
     assert health.report([b], s, {"campaigns": c}, F.lit(T + dt.timedelta(minutes=30, seconds=6)).cast("timestamp")).where("check = 'freshness' AND label = 'silver'").first()["status"] == "WARN"
     s.append(clean)
     assert health.failed(health.report([b], s, {"campaigns": c}, near))
+
+
+def test_display(spark):
+    from tidewell.functions import display
+
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert [one(display.short_number(F.lit(x))) for x in (1_500_000, 2345, 42, -1200)] == ["1.50M", "2.3k", "42", "-1.2k"]
+    assert one(display.money(F.lit(1234.4))) == "$1,234" and one(display.percent(F.lit(0.0236))) == "2.36%"
+    assert [one(display.change(F.lit(x).cast("double"))) for x in (12.34, -3.0, None)] == ["▲+12.3%", "▼-3.0%", "n/a"]
+    assert one(display.padded(F.lit("노출"), 6)) == "  노출"

@@ -49,6 +49,15 @@ def test_append_snapshots_and_time_travel(spark, path):
     assert t.files().agg(F.sum("record_count")).first()[0] == 3 and t.manifests().count() == 2
 
 
+def test_files_pruned_by_their_greatest_value(spark, path):
+    t = table(spark, path, stats=["updated_at"])
+    t.append(df(spark, ("a", D1, 1.0, None)))
+    t.append(df(spark, ("b", D1, 1.0, None), at=T2))
+    t.append(df(spark, ("c", D1, 1.0, None), at=None))
+    assert [r[0] for r in content(t, at_least={"updated_at": "2024-01-15 00:00:00"})] == ["b"]
+    assert [r[0] for r in content(t, at_least={"updated_at": "2024-01-01 00:00:00"})] == ["a", "b"] and len(content(t)) == 3
+
+
 def test_partition_overwrite(spark, path):
     t = table(spark, path)
     t.append(df(spark, ("a", D1, 1.0, None), ("b", D2, 2.0, None)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.functions import display
 from tidewell.functions.kpi import click_cost, count_of, ratio, ratio_or_zero
 from tidewell.schemas import REVENUE_PER_CONVERSION
 
@@ -139,6 +140,13 @@ def wow_mom(kpis: DataFrame, day: Column, week: int = 7, month: int = 28) -> Dat
     return p.where(F.col("value").isNotNull()).select("metric", F.round("value", 6).alias("value"), change("wow").alias("wow_pct"), change("mom").alias("mom_pct"))
 
 
+def report_lines(compared: DataFrame) -> DataFrame:
+    """The rows of ``wow_mom`` as a report shows them: ``(metric, shown, wow, mom)``."""
+    m, v = F.col("metric"), F.col("value")
+    shown = F.when(m == "cost", display.money(v)).when(m.isin("ctr", "cvr"), display.percent(v)).when(m == "roas", F.format_string("%.2fx", v)).otherwise(display.short_number(v))
+    return compared.select("metric", shown.alias("shown"), display.change(F.col("wow_pct")).alias("wow"), display.change(F.col("mom_pct")).alias("mom"))
+
+
 def report_day(campaigns: DataFrame, as_of: Column, asked: str | None = None) -> DataFrame:
     """One row ``day``: the day asked for, else the day before ``as_of``; the latest day there is if that has no rows."""
     want = F.lit(asked).cast("date") if asked else F.date_sub(F.to_date(as_of), 1)

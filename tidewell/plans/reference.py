@@ -433,6 +433,11 @@ def wow_mom_report(spark: SparkSession, d: str) -> DataFrame:
     return gold.wow_mom(k, F.lit(day))
 
 
+@query()
+def report_lines(spark: SparkSession, d: str) -> DataFrame:
+    return gold.report_lines(wow_mom_report(spark, d))
+
+
 @query(f"WITH {_KPI} SELECT * FROM k WHERE event_date <= DATE '2024-01-07' ORDER BY event_date DESC LIMIT 7")
 def recent_7_days(spark: SparkSession, d: str) -> DataFrame:
     return gold.recent_days(_kpis(spark, d), F.lit("2024-01-07").cast("date"), 7)

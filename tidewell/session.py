@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
 import tempfile
 import uuid
 
@@ -54,8 +56,22 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+@functools.cache
+def _clear_at_exit(application: str) -> None:
+    def clear() -> None:
+        spark = SparkSession.getActiveSession()
+        try:
+            if spark and spark.sparkContext.applicationId == application:
+                clear_scratch(spark)
+        except Exception:  # noqa: BLE001 - the session is gone, and the folder's owner has to clear it
+            pass
+
+    atexit.register(clear)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
+    """A new path in the shared folder, kept until the application ends."""
+    _clear_at_exit(spark.sparkContext.applicationId)
     return f"{_own(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 

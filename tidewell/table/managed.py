@@ -65,9 +65,17 @@ class ManagedTable:
 
     # --- reading ---
 
-    def scan(self, where: Callable[[dict], bool] | None = None, version: int | None = None) -> DataFrame:
-        """The rows of a snapshot, of the files whose partition values (a dict of texts) satisfy ``where``."""
-        files = [e["path"] for e in self._entries(self.snapshot(version)) if where is None or where(e["partition"])]
+    def scan(self, where: Callable[[dict], bool] | None = None, version: int | None = None, at_least: dict[str, str] | None = None) -> DataFrame:
+        """The rows of a snapshot, of the files whose partition values (a dict of texts) satisfy ``where``.
+
+        ``at_least`` leaves out files whose greatest value of a column of the ``stats`` property is below the one given
+        (as its text sorts, which dates and timestamps do), or null throughout. It prunes files; the filter on rows stays
+        the caller's.
+        """
+        files = [
+            e["path"] for e in self._entries(self.snapshot(version))
+            if (where is None or where(e["partition"])) and all((e.get("max", {}).get(c, v) or "") >= v for c, v in (at_least or {}).items())
+        ]
         return self._read(files)
 
     def _read(self, files: list[str]) -> DataFrame:
@@ -90,13 +98,14 @@ class ManagedTable:
         files = [(p, n) for p, n, _ in walk(self.spark, base) if p.endswith(".parquet")]
         if not files:
             return []
-        read = self._read([p for p, _ in files]).select(*(F.col(c).cast("string").alias(c) for c in self.partition), F.col("_metadata.file_path").alias("__file"))
-        counted = {_short(unquote(r["__file"])): r for r in read.groupBy("__file").agg(F.count(F.lit(1)).alias("__n"), *(F.first(c).alias(c) for c in self.partition)).collect()}
+        stats = self.properties.get("stats", [])
+        read = self._read([p for p, _ in files]).select(*(F.col(c).cast("string").alias(c) for c in self.partition), *(F.col(c).alias(f"__max_{c}") for c in stats), F.col("_metadata.file_path").alias("__file"))
+        counted = {_short(unquote(r["__file"])): r for r in read.groupBy("__file").agg(F.count(F.lit(1)).alias("__n"), *(F.first(c).alias(c) for c in self.partition), *(F.max(f"__max_{c}").cast("string").alias(f"__max_{c}") for c in stats)).collect()}
         entries = []
         for path, size in files:
             r = counted.get(_short(path))
             if r:
-                entries.append({"path": path, "bytes": size, "records": r["__n"], "partition": {c: r[c] for c in self.partition}})
+                entries.append({"path": path, "bytes": size, "records": r["__n"], "partition": {c: r[c] for c in self.partition}} | ({"max": {c: r[f"__max_{c}"] for c in stats}} if stats else {}))
         return entries
 
     def _commit(self, base: dict, operation: str, added: list[dict], removed: set[str], extra: dict | None = None, replaces: Callable[[dict], bool] | None = None) -> dict:
