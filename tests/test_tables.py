@@ -127,6 +127,16 @@ def test_maintenance(spark, path):
     assert maintenance.remove_orphans(t, 1, now_ms=int(time.time() * 1000) + 10**9)["deleted_orphans"] >= 1 and Counter(content(t)) == want
 
 
+def test_compaction_keeps_odd_partition_values(spark, path):
+    t = ManagedTable.create_if_not_exists(spark, f"{path}/odd", "k string, p string", ["p"], {"target-bytes": 2500})
+    for k in range(9):
+        t.append(spark.createDataFrame([(f"{k}", "a b/c:%20+ü"), (f"{k}", None)], "k string, p string"))
+    want = Counter(map(tuple, t.scan().collect()))
+    r = maintenance.compact(t)
+    assert r["rewritten_files"] == 18 and 2 < r["added_files"] < 18 and Counter(map(tuple, t.scan().collect())) == want
+    assert {r["p"]: r["n"] for r in t.files().groupBy(F.col("partition")["p"].alias("p")).agg(F.sum("record_count").alias("n")).collect()} == {"a b/c:%20+ü": 9, None: 9}
+
+
 # --- streaming ---
 
 

@@ -5,39 +5,44 @@ from __future__ import annotations
 import time
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tidewell.operators.compaction import checksum, first_fit_decreasing
 from tidewell.table.files import CommitConflict, delete, walk
-from tidewell.table.managed import ManagedTable
+from tidewell.table.managed import ManagedTable, short
 
 OPERATIONS = ("compact", "expire", "orphan")
 
 
+COMMIT_BYTES = 8 * 1024**3
+
+
 def compact(table: ManagedTable, min_input_files: int = 5, max_commits: int = 10) -> dict:
     """Bin-packs the files below the target size of each partition with at least ``min_input_files`` of them.
 
-    Partial progress: partitions go in up to ``max_commits`` commits; one that meets a conflict is left for the next run.
-    Rows and checksums are compared before each commit.
+    Partial progress: partitions go in up to ``max_commits`` commits of some gigabytes each; one that meets a conflict is
+    left for the next run. All bins of a commit are written by one job, and rows and checksums compared before it.
     """
-    target = table.properties["target-bytes"]
+    spark, target = table.spark, table.properties["target-bytes"]
     base = table.snapshot()
     groups: dict[tuple, list[dict]] = {}
     for e in table._entries(base):
         if e["bytes"] < target * 0.75:
             groups.setdefault(tuple(sorted(e["partition"].items(), key=str)), []).append(e)
     todo = [g for _, g in sorted(groups.items(), key=str) if len(g) >= min_input_files]
+    total = sum(e["bytes"] for g in todo for e in g)
+    commits = max(1, min(max_commits, len(todo), -(-total // COMMIT_BYTES)))
     before = after = failed = 0
-    for chunk in np.array_split(np.arange(len(todo)), min(max_commits, len(todo)) or 1):
+    for chunk in np.array_split(np.arange(len(todo)), commits):
         files = [e for k in chunk for e in todo[k]]
         if not files:
             continue
+        bins = [(short(e["path"]), int(b)) for k in chunk for e, b in zip(todo[k], first_fit_decreasing(np.array([e["bytes"] for e in todo[k]]), target))]
         old = table._read([e["path"] for e in files])
-        added = []
-        for k in chunk:
-            bins = first_fit_decreasing(np.array([e["bytes"] for e in todo[k]]), target)
-            for b in np.unique(bins):
-                some = [e["path"] for e, x in zip(todo[k], bins) if x == b]
-                added += table._stage(table._read(some).coalesce(1))  # a bin is at most a target file
+        # one row for each file of the commit, no more than the driver lists anyway
+        plan = F.broadcast(spark.createDataFrame(bins, "__short string, __bin int"))
+        placed = old.withColumn("__short", F.substring_index(F.url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B")), "/data/", -1)).join(plan, "__short")
+        added = table._stage(placed, F.col("__bin"))
         new = table._read([e["path"] for e in added])
         if old.agg(*checksum(old.columns)).first() != new.agg(*checksum(new.columns)).first():
             raise RuntimeError(f"{table.name}: compacted rows differ")

@@ -24,7 +24,7 @@ TARGET_BYTES = 128 * 1024 * 1024
 RETRIES = 5
 
 
-def _short(path: str) -> str:
+def short(path: str) -> str:
     """A data file's path below the table's folder, the same for both spellings that Spark and Hadoop give it."""
     return path.rpartition("/data/")[2]
 
@@ -85,14 +85,17 @@ class ManagedTable:
 
     # --- writing ---
 
-    def _stage(self, df: DataFrame) -> list[dict]:
-        """Writes ``df`` to new files, which belong to no snapshot yet; their manifest entries."""
+    def _stage(self, df: DataFrame, group: Column | None = None) -> list[dict]:
+        """Writes ``df`` to new files, which belong to no snapshot yet; their manifest entries.
+
+        ``group`` numbers the file within its partition that a row goes to.
+        """
         columns = self.spark.createDataFrame([], self.schema).columns
         base = f"{self.root}/data/{uuid.uuid4().hex}"
-        out = df.select(*columns)
-        tags = [f"_p_{c}" for c in self.partition]
+        tag = {f"_p_{c}": F.col(c) for c in self.partition} | ({} if group is None else {"_g": group})
+        out, tags = df.select(*columns, *(c.alias(t) for t, c in tag.items())), list(tag)
         if tags:
-            out = out.withColumns({t: F.col(c) for t, c in zip(tags, self.partition)}).repartition(*tags)
+            out = out.repartition(*tags)
         writer = out.write.partitionBy(*tags) if tags else out.write
         writer.parquet(base)
         files = [(p, n) for p, n, _ in walk(self.spark, base) if p.endswith(".parquet")]
@@ -100,10 +103,10 @@ class ManagedTable:
             return []
         stats = self.properties.get("stats", [])
         read = self._read([p for p, _ in files]).select(*(F.col(c).cast("string").alias(c) for c in self.partition), *(F.col(c).alias(f"__max_{c}") for c in stats), F.col("_metadata.file_path").alias("__file"))
-        counted = {_short(unquote(r["__file"])): r for r in read.groupBy("__file").agg(F.count(F.lit(1)).alias("__n"), *(F.first(c).alias(c) for c in self.partition), *(F.max(f"__max_{c}").cast("string").alias(f"__max_{c}") for c in stats)).collect()}
+        counted = {short(unquote(r["__file"])): r for r in read.groupBy("__file").agg(F.count(F.lit(1)).alias("__n"), *(F.first(c).alias(c) for c in self.partition), *(F.max(f"__max_{c}").cast("string").alias(f"__max_{c}") for c in stats)).collect()}
         entries = []
         for path, size in files:
-            r = counted.get(_short(path))
+            r = counted.get(short(path))
             if r:
                 entries.append({"path": path, "bytes": size, "records": r["__n"], "partition": {c: r[c] for c in self.partition}} | ({"max": {c: r[f"__max_{c}"] for c in stats}} if stats else {}))
         return entries
@@ -171,8 +174,8 @@ class ManagedTable:
         return self._commit(base, "delete", added, hit)
 
     def _files_of(self, rows: DataFrame, files: list[str]) -> set[str]:
-        by_name = {_short(p): p for p in files}
-        return {by_name[_short(unquote(r["f"]))] for r in rows.select(F.col("_metadata.file_path").alias("f")).distinct().collect()} if files else set()
+        by_name = {short(p): p for p in files}
+        return {by_name[short(unquote(r["f"]))] for r in rows.select(F.col("_metadata.file_path").alias("f")).distinct().collect()} if files else set()
 
     def merge(self, source: DataFrame, key: str, ignore: tuple[str, ...] = ("updated_at",)) -> dict | None:
         """Upsert by ``key``: rows that differ in any column outside ``key`` and ``ignore`` (nulls equal) are replaced, new
@@ -195,8 +198,8 @@ class ManagedTable:
         work = f"{self.root}/data/_merge-{uuid.uuid4().hex}"
         both.where(~same).select(*columns, "__file").write.parquet(work)
         delta = self.spark.read.parquet(work)
-        hit_names = {_short(unquote(r["__file"])) for r in delta.where(F.col("__file").isNotNull()).select("__file").distinct().collect()}
-        hit = {p for p in files if _short(p) in hit_names}
+        hit_names = {short(unquote(r["__file"])) for r in delta.where(F.col("__file").isNotNull()).select("__file").distinct().collect()}
+        hit = {p for p in files if short(p) in hit_names}
         if not hit and delta.isEmpty():
             delete(self.spark, work)
             return None
