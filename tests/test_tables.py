@@ -207,3 +207,62 @@ def test_stream_sessions_and_unique(spark, path):
     drain(windows.stream_hourly({"a": typed, "b": typed}), f"{path}/h")
     first = spark.read.parquet(f"{path}/h/out").orderBy("period_start").first()
     assert first["n"] == 6
+
+
+def test_late_stream_closes_when_every_source_passed(spark, path):
+    from tidewell.streaming.late import LateEvents
+
+    schema = "event_id string, source string, event_type string, event_timestamp timestamp, arrival timestamp"
+    base = dt.datetime(2024, 1, 1)
+    row = lambda i, s, t, a: (i, s, "click", base + dt.timedelta(seconds=t), base + dt.timedelta(seconds=a))
+    late = LateEvents(spark, path, lateness=7200, idle=36_000)
+    epoch0 = int((base - dt.datetime(1970, 1, 1)).total_seconds())
+    batches = [
+        [row("a1", "a", 10, 20), row("b1", "b", 30, 40), row("none", "a", 10, 20)[:3] + (None, base)],
+        [row("a2", "a", 3600, 3700 + 7200), row("a3", "a", 20, 10_800), row("a4", "a", 20, 10_801)],  # a3 on the cut-off, a4 beyond
+        [row("b2", "b", 50, 9000)],  # late, but b hasn't passed: corrected
+        [row("b3", "b", 7300, 10_900)],  # now every source has passed the first hour
+        [row("b4", "b", 60, 10_700)],  # closed already
+        [row("a5", "a", 100_000, 100_000)],  # b is idle by now
+    ]
+    closed = []
+    for k, b in enumerate(batches):
+        df_ = spark.createDataFrame(b, schema)
+        late(df_, k)
+        late(df_, k)  # run again after a failure
+        late = LateEvents(spark, path, lateness=7200, idle=36_000)
+        closed.append({r["period_start"] - epoch0: r["n"] for r in late.closed.scan().collect()})
+    assert closed == [{}, {}, {}, {0: 4}, {0: 4}, {0: 4, 3600: 1, 7200: 1}]
+    assert {r["event_id"] for r in late.diverted.scan().collect()} == {"a4", "b4"}
+    assert {r["period_start"] - epoch0: r["n"] for r in late.open_counts().collect()} == {97200: 1}
+
+
+def test_changed_partitions_and_refresh(spark, path):
+    from tidewell.plans import gold
+    from tidewell.schemas import SILVER, SILVER_COLUMNS
+
+    def silver(*rows):
+        base = {"event_id": "e", "event_type": "click", "source": "dummy", "campaign_id": 1, "uid": "u", "cost": 1.0, "updated_at": T1}
+        return spark.createDataFrame([tuple((dict.fromkeys(SILVER_COLUMNS) | base | r)[c] for c in SILVER_COLUMNS) for r in rows], SILVER)
+
+    s = ManagedTable.create_if_not_exists(spark, f"{path}/s", SILVER, ["event_date"])
+    m = ManagedTable.create_if_not_exists(spark, f"{path}/m", "campaign_id int, event_date date, requests bigint, impressions bigint, clicks bigint, conversions bigint, fill_rate double, ctr double, cvr double, cost double, cpa double, roas double, updated_at timestamp", ["event_date"])
+    marts, days = {gold.campaign_daily: m}, lambda: {(str(r["event_date"]), r["clicks"]) for r in m.scan().collect()}
+    s.merge(silver({"event_id": "x", "event_date": D1}, {"event_id": "y", "event_date": D2}), "event_id")
+    assert gold.refresh_changed(s, 0, marts, F.lit(T1)) == ["2024-01-01", "2024-01-02"] and days() == {("2024-01-01", 1), ("2024-01-02", 1)}
+    v = s.versions()[-1]
+    assert gold.refresh_changed(s, v, marts, F.lit(T1)) == []
+    s.merge(silver({"event_id": "x", "event_date": D2}), "event_id")  # its old day is empty now
+    assert gold.refresh_changed(s, v, marts, F.lit(T2)) == ["2024-01-01", "2024-01-02"] and days() == {("2024-01-02", 2)}
+
+
+def test_messages_never_fail():
+    from tidewell.plans import notify
+
+    def broken(_):
+        raise OSError("no network")
+
+    sent = []
+    m = notify.failure_message("silver", ValueError("x" * 900), 2)
+    assert notify.notify(m, sent.append) and sent == [m] and len(m["text"]) < 540
+    assert not notify.notify(m, broken) and not notify.notify(m, None)

@@ -68,6 +68,25 @@ def refresh(silver: DataFrame, marts: dict, as_of: Column, lookback_days: int |
     return days
 
 
+def refresh_changed(silver_table, since: int, marts: dict, as_of: Column) -> list:
+    """Recomputes the days whose partitions of the Silver table changed after snapshot ``since``.
+
+    Unlike ``refresh`` this also sees days that only lost rows, as when an update moves an event to another day; days left
+    without rows are emptied in the marts.
+    """
+    days = sorted({p["event_date"] for p in silver_table.changed_partitions(since)} - {None})
+    if not days:
+        return []
+    part = silver_table.scan(where=lambda p: p["event_date"] in days).where(F.col("event_date").isin([F.lit(d).cast("date") for d in days]))
+    there = {str(r["event_date"]) for r in part.select("event_date").distinct().collect()}
+    for make, table in marts.items():
+        if there:
+            table.overwrite_partitions(make(part).withColumn("updated_at", as_of))
+        for gone in set(days) - there:
+            table.delete_where(F.col("event_date") == F.lit(gone).cast("date"))
+    return days
+
+
 # --- serving ---------------------------------------------------------------------------------------------------------
 
 

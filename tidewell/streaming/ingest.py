@@ -28,20 +28,22 @@ def file_stream(spark: SparkSession, path: str, max_files: int = 4) -> DataFrame
     return spark.readStream.schema(LANDING).option("maxFilesPerTrigger", max_files).parquet(path)
 
 
+def has_epoch(table: ManagedTable, query: str, epoch: int) -> bool:
+    """Whether a snapshot of the table records that the epoch was written."""
+    return any(s["summary"].get("epoch") == f"{query}:{epoch}" for s in map(table.snapshot, table.versions()[-20:]))
+
+
 def router(tables: dict[str, ManagedTable], query: str) -> Callable[[DataFrame, int], None]:
     """Appends each topic's rows of a batch to its table. A batch that ran before, for a table that has it, is skipped:
     the snapshot records query and epoch, so a restart neither loses nor repeats rows."""
 
-    def done(t: ManagedTable, epoch: int) -> bool:
-        return any(s["summary"].get("epoch") == f"{query}:{epoch}" for s in map(t.snapshot, t.versions()[-20:]))
-
     def write(batch: DataFrame, epoch: int) -> None:
         batch = batch.persist()
         try:
             present = {r["topic"] for r in batch.select("topic").distinct().collect()}
             for topic in sorted(present, key=str):
                 t = tables.get(bronze_table_of(topic or ""))
-                if t and not done(t, epoch):
+                if t and not has_epoch(t, query, epoch):
                     t.append(batch.where(F.col("topic") == topic), {"epoch": f"{query}:{epoch}"})
         finally:
             batch.unpersist()

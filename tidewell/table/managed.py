@@ -211,6 +211,14 @@ class ManagedTable:
         delete(self.spark, work)
         return self._commit(base, "overwrite", added, hit)
 
+    def changed_partitions(self, since: int, to: int | None = None) -> list[dict]:
+        """Partitions that gained or lost files between two snapshots; 0 stands for the empty table."""
+        files = lambda s: {e["path"]: e["partition"] for e in self._entries(s)}
+        old = files(self.snapshot(since)) if since else {}
+        new = files(self.snapshot(to))
+        changed = [p for f, p in (*old.items(), *new.items()) if (f in old) != (f in new)]
+        return [dict(x) for x in {tuple(sorted(p.items())) for p in changed}]
+
     # --- metadata tables ---
 
     def snapshots(self) -> DataFrame:
