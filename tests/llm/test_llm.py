@@ -118,12 +118,19 @@ def test_leaks_empty(spark):
 
 def test_paraphrase_is_reported(spark):
     item = "if lens theve loses eighty percent of its residue then venicnic records the porous coil of series winickespim before lunch"
-    para = item.replace("records", "loses").replace("lunch", "coil")
+    para = item.replace("records", "writes").replace("lunch", "supper")  # words that no item has
     d = spark.createDataFrame([(1, para), (2, "nothing alike")], "doc_id bigint, text string")
     rows = contamination.leaks(d, spark.createDataFrame([(5, item)], "item_id bigint, text string")).collect()
     assert [(r["doc_id"], r["item_id"]) for r in rows] == [(1, 5)] and rows[0]["lcs"] >= 10 and rows[0]["answer"] >= 0.7
 
 
+def test_stretches():
+    known = np.array([int(c) for c in "0111101101110000111"], dtype=bool)
+    for span, slack in ((3, 0), (4, 1), (5, 2), (30, 2)):
+        inside = {k for a, b in contamination.stretches(known, span, slack) for k in range(a, b - span + 1)}
+        assert inside == {k for k in range(len(known) - span + 1) if known[k : k + span].sum() >= span - slack}
+
+
 def test_latent_space_is_that_of_the_svd(spark):
     rng = np.random.default_rng(2)
     size, span, rank = 120, 13, 8

@@ -1,7 +1,8 @@
 """Evaluation texts in training text: latent semantic retrieval, then word-exact and subsequence checks.
 
-Words of all documents are counted and cut into passages of ``SPAN`` words in one pass: a passage is a window whose words
-all occur in the evaluation set, as every window of a shared run of ``SPAN`` words must. Passages become TF-IDF vectors
+Words of all documents are counted and cut into passages of ``SPAN`` words in one pass: a passage is a window of which all
+words but ``SLACK`` at most occur in the evaluation set; every window of a shared run of ``SPAN`` words is one, and so are
+paraphrases with a few words of their own. Passages become TF-IDF vectors
 (document frequencies over all documents); a randomised SVD, whose products with the passage matrix are distributed,
 gives a latent space; candidates are the pairs of passages and item windows whose latent vectors have a cosine of at
 least ``COSINE``. A copied window has the vector of its original, so cosine 1, whatever the quality of the space.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tidewell.session import materialise
 
-SPAN = 13
+SPAN, SLACK = 13, 2
 RANK, EXTRA = 64, 8
 COSINE, ANSWER = 0.9, 0.7
 CELLS, PROBES = 256, 1
@@ -75,14 +76,21 @@ def words(text: str | None) -> list[str]:
 # --- passages --------------------------------------------------------------------------------------------------------
 
 
-def runs_of(known: np.ndarray, span: int) -> list[tuple[int, int]]:
-    """Begin and end of each stretch of at least ``span`` true values."""
-    edge = np.flatnonzero(np.diff(np.r_[False, known, False]))
-    return [(a, b) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()) if b - a >= span]
+def stretches(known: np.ndarray, span: int, slack: int) -> list[tuple[int, int]]:
+    """Begin and end of each part of a text whose every window of ``span`` words has at most ``slack`` unknown ones."""
+    if len(known) < span:
+        return []
+    sums = np.r_[0, np.cumsum(known)]
+    good = sums[span:] - sums[:-span] >= span - slack
+    edge = np.flatnonzero(np.diff(np.r_[False, good, False]))
+    return [(a, b - 1 + span) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())]
+
 
+def passages(documents: DataFrame, vocabulary: dict[str, int], span: int, slack: int) -> DataFrame:
+    """``(doc_id, start, ids, freqs, n_docs)``: stretches of texts, and for each task a row of document frequencies.
 
-def passages(documents: DataFrame, vocabulary: dict[str, int], span: int) -> DataFrame:
-    """``(doc_id, start, ids, freqs, n_docs)``: stretches of known words, and for each task a row of document frequencies."""
+    Unknown words have the identifier after the last known one.
+    """
     size = len(vocabulary)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,11 +101,11 @@ def passages(documents: DataFrame, vocabulary: dict[str, int], span: int) -> Dat
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if not text:
                     continue
-                ids = np.fromiter(map(get, words(text), itertools.repeat(-1)), dtype=np.int32)
-                known = ids >= 0
+                ids = np.fromiter(map(get, words(text), itertools.repeat(size)), dtype=np.int32)
+                known = ids < size
                 freq[np.unique(ids[known])] += 1
                 seen += 1
-                for a, b in runs_of(known, span):
+                for a, b in stretches(known, span, slack):
                     for column, v in zip(out, (doc, a, ids[a:b])):
                         column.append(v)
             n = len(out[0])
@@ -245,6 +253,7 @@ def _search(parts: DataFrame, items: list[np.ndarray], idf: np.ndarray, space: n
     cell = (vectors @ centre.T).argmax(1)
     members = [np.flatnonzero(cell == k) for k in range(len(centre))]
     weight = idf[every].sum(1)
+    unknown, least = len(idf) - 1, answer * float(weight.min())
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,6 +263,9 @@ def _search(parts: DataFrame, items: list[np.ndarray], idf: np.ndarray, space: n
             which = np.repeat(np.arange(len(texts)), count)
             offset = np.concatenate([np.arange(c) for c in count]) if count else np.empty(0, int)
             w = np.concatenate([windows(t, span) for t in texts]) if count else np.empty((0, span), np.int32)
+            # windows of known words, and those with enough information to repeat an answer
+            able = (w < unknown).all(1) | (idf[w].sum(1) >= least)
+            which, offset, w = which[able], offset[able], w[able]
             hits: dict[tuple[int, int], list] = {}
             for lo in range(0, len(w), 8192):
                 x = latent(w[lo : lo + 8192], idf, space)
@@ -292,16 +304,16 @@ def _search(parts: DataFrame, items: list[np.ndarray], idf: np.ndarray, space: n
     return parts.select("doc_id", "start", "ids").mapInArrow(find, MATCH)
 
 
-def _block(spark: SparkSession, documents: DataFrame, items: list[tuple[int, list[str]]], span: int, cosine: float, answer: float) -> DataFrame:
+def _block(spark: SparkSession, documents: DataFrame, items: list[tuple[int, list[str]]], span: int, slack: int, cosine: float, answer: float) -> DataFrame:
     vocabulary = {w: k for k, w in enumerate(sorted({w for _, t in items for w in t}))}
     ids = [np.array([vocabulary[w] for w in t], dtype=np.int32) for _, t in items]
-    found = materialise(passages(documents, vocabulary, span), "passages")
+    found = materialise(passages(documents, vocabulary, span, slack), "passages")
     stats = found.where(F.col("n_docs").isNotNull())
     n = stats.agg(F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n")).first()["n"]
     freq = np.zeros(len(vocabulary))
     for r in stats.select(F.posexplode("freqs")).groupBy("pos").agg(F.sum("col").alias("df")).collect():  # a row a word
         freq[r["pos"]] = r["df"]
-    idf = np.log((1 + n) / (1 + freq)) + 1
+    idf = np.append(np.log((1 + n) / (1 + freq)) + 1, 0.0)  # what is unknown weighs nothing
     parts = found.where(F.col("ids").isNotNull()).select("doc_id", "start", "ids")
     space = latent_space(parts, idf, span)
     matches = _search(parts, ids, idf.astype(np.float32), space, span, cosine, answer)
@@ -309,7 +321,7 @@ def _block(spark: SparkSession, documents: DataFrame, items: list[tuple[int, lis
     return matches.join(F.broadcast(table), "item")  # a row an item of the block
 
 
-def leaks(documents: DataFrame, items: DataFrame, span: int = SPAN, cosine: float = COSINE, answer: float = ANSWER, block: int = BLOCK) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, span: int = SPAN, slack: int = SLACK, cosine: float = COSINE, answer: float = ANSWER, block: int = BLOCK) -> DataFrame:
     """``(doc_id, item_id, run, lcs, answer, cosine, n_places, first_word)`` of every document and item that are candidates and
     share a run of ``span`` words or the ``answer`` part of a passage's information.
 
@@ -329,12 +341,12 @@ def leaks(documents: DataFrame, items: DataFrame, span: int = SPAN, cosine: floa
             if len(part) < span:
                 continue
             if batch and size + len(part) > block:
-                found.append(_block(spark, docs, batch, span, cosine, answer))
+                found.append(_block(spark, docs, batch, span, slack, cosine, answer))
                 batch, size = [], 0
             batch.append((r["item_id"], part))
             size += len(part)
     if batch:
-        found.append(_block(spark, docs, batch, span, cosine, answer))
+        found.append(_block(spark, docs, batch, span, slack, cosine, answer))
     result = functools.reduce(DataFrame.unionByName, found) if found else None
     if result is None:
         return spark.createDataFrame([], "doc_id bigint, item_id bigint, run int, lcs int, answer float, cosine float, n_places bigint, first_word int")
