@@ -135,7 +135,7 @@ def _funnel_sql(key: str) -> str:
 _ARRIVAL = f"""WITH {_MESSAGES}, {_STANDING},
  k AS (SELECT id, min(kafka_timestamp) AS sent FROM m WHERE id IS NOT NULL GROUP BY id),
  f AS (SELECT id, min(updated_at) AS first FROM e WHERE id IS NOT NULL GROUP BY id),
- a AS (SELECT s.id, s.event_type, s.event_timestamp, coalesce(k.sent, f.first, s.updated_at) AS arrival
+ a AS (SELECT s.id, s.source, s.event_type, s.event_timestamp, coalesce(k.sent, f.first, s.updated_at) AS arrival
        FROM s LEFT JOIN k ON s.id = k.id LEFT JOIN f ON s.id = f.id WHERE s.event_timestamp IS NOT NULL),
  b AS (SELECT *, epoch_us(event_timestamp) // 3600000000 * 3600 AS period_start,
        epoch_us(arrival) - (epoch_us(event_timestamp) // 3600000000 + 1) * 3600000000 AS delay_us FROM a)"""
@@ -160,20 +160,34 @@ def _drift_sql() -> str:
  keys AS (SELECT r, dt, source, k, {kinds} AS kind FROM (SELECT *, unnest(json_keys(j)) AS k FROM w)),
  gone AS (SELECT w.r, w.dt, w.source, decl.name FROM w JOIN decl USING (source) LEFT JOIN keys ON keys.r = w.r AND keys.k = decl.name WHERE keys.k IS NULL),
  ren AS (SELECT gone.r, gone.dt, gone.source, gone.name, moved.new FROM gone JOIN moved ON moved.source = gone.source AND moved.old = gone.name JOIN keys ON keys.r = gone.r AND keys.k = moved.new
-   UNION ALL SELECT gone.r, gone.dt, gone.source, gone.name, 'geo' FROM gone JOIN w ON w.r = gone.r WHERE gone.source = 'dummy' AND gone.name = 'country' AND json_exists(w.j, '$.geo.country'))
-SELECT DISTINCT dt, source, 'renamed' AS change_kind, name AS field_name FROM ren
-UNION SELECT dt, source, 'removed', name FROM gone WHERE NOT EXISTS (SELECT 1 FROM ren WHERE ren.r = gone.r AND ren.name = gone.name)
-UNION SELECT dt, source, 'added', k FROM keys WHERE NOT EXISTS (SELECT 1 FROM decl WHERE decl.source = keys.source AND decl.name = keys.k) AND NOT EXISTS (SELECT 1 FROM ren WHERE ren.r = keys.r AND ren.new = keys.k)
-UNION SELECT keys.dt, keys.source, 'retyped', k FROM keys JOIN decl ON decl.source = keys.source AND decl.name = keys.k WHERE keys.kind <> decl.kind AND keys.kind <> 'null'"""
+   UNION ALL SELECT gone.r, gone.dt, gone.source, gone.name, 'geo' FROM gone JOIN w ON w.r = gone.r WHERE gone.source = 'dummy' AND gone.name = 'country' AND json_exists(w.j, '$.geo.country')),
+ every AS (SELECT r, dt, source, 'renamed' AS change_kind, name AS field_name, CASE new WHEN 'geo' THEN 'geo.country' ELSE new END AS found_as FROM ren
+ UNION ALL SELECT r, dt, source, 'removed', name, NULL FROM gone WHERE NOT EXISTS (SELECT 1 FROM ren WHERE ren.r = gone.r AND ren.name = gone.name)
+ UNION ALL SELECT r, dt, source, 'added', k, NULL FROM keys WHERE NOT EXISTS (SELECT 1 FROM decl WHERE decl.source = keys.source AND decl.name = keys.k) AND NOT EXISTS (SELECT 1 FROM ren WHERE ren.r = keys.r AND ren.new = keys.k)
+ UNION ALL SELECT keys.r, keys.dt, keys.source, 'retyped', k, keys.kind FROM keys JOIN decl ON decl.source = keys.source AND decl.name = keys.k WHERE keys.kind <> decl.kind AND keys.kind <> 'null')"""
 
 
-_KINDS4 = {"request": "request", "impression": "impression", "click": "click", "conversion": "conversion"}
 _FILES = """f AS (SELECT DISTINCT file_path, dt, hour, kafka_partition, file_size_in_bytes, committed_at FROM click_files),
  h AS (SELECT f.* FROM f WHERE EXISTS (SELECT 1 FROM ad_clicks a WHERE a.dt = f.dt AND a.hour = f.hour AND a.kafka_partition = f.kafka_partition AND a.ingested_at = f.committed_at)),
  c AS (SELECT dt, hour FROM h GROUP BY dt, hour HAVING count(*) > 5 AND avg(file_size_in_bytes) < 16384)"""
 
+
+
+def _hourly_sql() -> str:
+    one = {k: f"event_type = '{k}'" for k in EVENT_TYPES} | {"other": f"coalesce(event_type, '') NOT IN ({', '.join(repr(k) for k in EVENT_TYPES)})"}
+    wait = "coalesce(delay_us, 0)"
+    counts = [f"count(*) FILTER ({c} AND {wait} <= 0) AS first_{k}, count(*) FILTER ({c} AND {wait} <= 86400000000) AS n_{k}" for k, c in one.items()]
+    return f"""{_ARRIVAL}, q AS (SELECT DISTINCT coalesce(source, '') AS src, epoch_us(arrival) // 1000000 AS at FROM b WHERE arrival IS NOT NULL),
+ x AS (SELECT period_start, src, period_start + 90000 AS bound FROM (SELECT DISTINCT period_start FROM b), (SELECT DISTINCT src FROM q)),
+ y AS (SELECT x.period_start, x.src, x.bound, min(q.at) AS passed FROM x LEFT JOIN q ON q.src = x.src AND q.at >= x.bound GROUP BY ALL),
+ z AS (SELECT period_start, max(CASE WHEN passed - bound <= 21600 THEN passed ELSE bound + 21600 END) AS closed_at, count(*) FILTER (passed - bound <= 21600) AS active_sources FROM y GROUP BY period_start),
+ c AS (SELECT period_start, {', '.join(counts)}, count(*) FILTER ({wait} > 0 AND {wait} <= 86400000000) AS corrections, count(*) FILTER ({wait} > 86400000000) AS n_diverted FROM b GROUP BY period_start)
+ SELECT * FROM c LEFT JOIN z USING (period_start)"""
+
+
 SQL = {
-    "p1_found": _drift_sql(),
+    "p1_found": f"{_drift_sql()} SELECT DISTINCT dt, source, change_kind, field_name FROM every",
+    "p1_report": f"{_drift_sql()} SELECT dt, source, change_kind, field_name, found_as, count(DISTINCT r) AS n_messages FROM every GROUP BY ALL",
     "p2_found": f"{_SESSIONS} SELECT uid, session_start, session_end FROM r",
     "p2_sessions": f"{_SESSIONS} SELECT uid, session_start, session_end, session_end - session_start AS duration_sec, n_events, n_request, n_impression, n_click, n_conversion, n_other FROM r",
     "p3_found": " UNION ALL ".join(
@@ -184,6 +198,7 @@ SQL = {
     "p3_banners": _funnel_sql("banner_id"),
     "p5_found": f"WITH {_FILES} SELECT dt, hour FROM c",
     "p6_found": f"{_ARRIVAL} SELECT {_UUID.format('id')} AS event_id FROM b WHERE id IS NOT NULL AND delay_us > 86400000000",
+    "p6_hourly": _hourly_sql(),
     "p7_found": f"""WITH {_MESSAGES}, e AS (SELECT {_BARE} AS id FROM processed_events)
  SELECT 'ad_clicks' AS tbl, {_UUID.format('id')} AS event_id FROM m WHERE id IS NOT NULL GROUP BY id HAVING count(*) > 1
  UNION ALL SELECT 'processed_events', {_UUID.format('id')} FROM e WHERE id IS NOT NULL GROUP BY id HAVING count(*) > 1""",

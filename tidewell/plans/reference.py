@@ -433,6 +433,11 @@ def wow_mom_report(spark: SparkSession, d: str) -> DataFrame:
     return gold.wow_mom(k, F.lit(day))
 
 
+@query(f"SELECT CASE WHEN bool_or(event_date = cast({_NOW} AT TIME ZONE 'UTC' AS date) - 1) THEN cast({_NOW} AT TIME ZONE 'UTC' AS date) - 1 ELSE max(event_date) END AS day FROM campaign_daily_stats")
+def report_day(spark: SparkSession, d: str) -> DataFrame:
+    return gold.report_day(_campaigns(spark, d), now())
+
+
 @query()
 def report_lines(spark: SparkSession, d: str) -> DataFrame:
     return gold.report_lines(wow_mom_report(spark, d))
