@@ -121,6 +121,22 @@ def windows(ids: np.ndarray, span: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(ids, span) if len(ids) >= span else np.empty((0, span), dtype=np.int32)
 
 
+def able_windows(texts: list[np.ndarray], idf: np.ndarray, span: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' words one after the other, where the windows start that are searched, and the begin of each text.
+
+    Searched are windows of known words only, and those whose known words weigh ``least`` or more.
+    """
+    ids, lengths = np.concatenate(texts), np.array([len(t) for t in texts])
+    begin = np.cumsum(lengths) - lengths
+    if len(ids) < span:
+        return ids, np.empty(0, dtype=np.int64), begin
+    known = np.r_[0, np.cumsum(ids < len(idf) - 1)]
+    weight = np.r_[0.0, np.cumsum(idf[ids], dtype=np.float64)]
+    able = (known[span:] - known[:-span] == span) | (weight[span:] - weight[:-span] >= least - 1e-6)
+    left = np.repeat(begin + lengths, lengths) - np.arange(len(ids))  # a window ends within its text
+    return ids, np.flatnonzero(able & (left[: len(able)] >= span)), begin
+
+
 def latent(w: np.ndarray, idf: np.ndarray, space: np.ndarray) -> np.ndarray:
     """Unit vectors in ``space`` (words x dimensions) of windows of word ids. Term counts add up by themselves."""
     x = np.zeros((len(w), space.shape[1]), dtype=np.float32)
@@ -132,7 +148,7 @@ def latent(w: np.ndarray, idf: np.ndarray, space: np.ndarray) -> np.ndarray:
 # --- randomised SVD --------------------------------------------------------------------------------------------------
 
 
-def _gram(parts: DataFrame, idf: np.ndarray, q: np.ndarray, span: int) -> np.ndarray:
+def _gram(parts: DataFrame, idf: np.ndarray, q: np.ndarray, span: int, least: float = 0.0) -> np.ndarray:
     """A'(A q) of the TF-IDF matrix A of all passages, rows of unit length: summed by tasks, then by slices of words."""
     size, rank = q.shape
 
@@ -145,19 +161,21 @@ def _gram(parts: DataFrame, idf: np.ndarray, q: np.ndarray, span: int) -> np.nda
                 while stop < len(texts) and n + len(texts[stop]) <= 65_536:
                     n, stop = n + len(texts[stop]), stop + 1
                 part, k = texts[k:stop], stop
-                ids = np.concatenate(part)
-                lengths = np.array([len(t) for t in part])
-                # a window starts wherever its text goes on for its length
-                left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(ids))
-                starts = left >= span
-                if not starts.any():
+                ids, at, _ = able_windows(part, idf, span, least)
+                if not len(at):
                     continue
                 any_ = True
-                norm = np.ones(len(ids))
-                norm[starts] = _lengths(windows(ids, span)[np.flatnonzero(starts)], idf)
-                total = _moving(q[ids] * idf[ids, None], span)  # the sum over each window, at its start
-                total[~starts] = 0
-                total /= (norm**2)[:, None]
+                # words outside of these windows are left out; the windows stay in one piece
+                edge = np.zeros(len(ids) + 1, dtype=np.int64)
+                np.add.at(edge, at, 1)
+                np.add.at(edge, at + span, -1)
+                cover = np.cumsum(edge)[:-1] > 0
+                place = np.cumsum(cover) - 1
+                ids, at = ids[cover], place[at]
+                norm = _lengths(windows(ids, span)[at], idf)
+                each = _moving(q[ids] * idf[ids, None], span)[at] / (norm**2)[:, None]  # the sum over each window
+                total = np.zeros((len(ids), rank))
+                total[at] = each
                 # each word collects the windows that hold it, then each term its words
                 back = _moving(total[::-1], span)[::-1] * idf[ids, None]
                 order = np.argsort(ids, kind="stable")
@@ -197,7 +215,7 @@ def _lengths(w: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return np.sqrt(total)
 
 
-def latent_space(parts: DataFrame, idf: np.ndarray, span: int, rank: int = RANK, seed: int = 5) -> np.ndarray:
+def latent_space(parts: DataFrame, idf: np.ndarray, span: int, rank: int = RANK, seed: int = 5, least: float = 0.0) -> np.ndarray:
     """The leading right singular vectors of the passage matrix, words x ``rank``, beside a faint random projection.
 
     Randomised SVD: a Gaussian test matrix, one subspace iteration, and the small symmetric problem in its range. The
@@ -206,8 +224,8 @@ def latent_space(parts: DataFrame, idf: np.ndarray, span: int, rank: int = RANK,
     rng = np.random.default_rng(seed)
     size = len(idf)
     width = min(size, rank + EXTRA)
-    q, _ = np.linalg.qr(_gram(parts, idf, rng.standard_normal((size, width)), span))
-    z = _gram(parts, idf, q, span)
+    q, _ = np.linalg.qr(_gram(parts, idf, rng.standard_normal((size, width)), span, least))
+    z = _gram(parts, idf, q, span, least)
     value, vector = np.linalg.eigh((q.T @ z + z.T @ q) / 2)
     lead = q @ vector[:, np.argsort(-value)[:rank]]
     faint = rng.standard_normal((size, 16)) * 0.02
@@ -243,7 +261,7 @@ def lcs(a: list, b: list) -> int:
 MATCH = "doc_id bigint, item bigint, cosine float, run int, lcs int, answer float, start int"
 
 
-def _search(parts: DataFrame, items: list[np.ndarray], idf: np.ndarray, space: np.ndarray, span: int, cosine: float, answer: float) -> DataFrame:
+def _search(parts: DataFrame, items: list[np.ndarray], idf: np.ndarray, space: np.ndarray, span: int, cosine: float, answer: float, least: float) -> DataFrame:
     """For each stretch and item among the candidates: best cosine, longest common run and subsequence of words."""
     owner = np.repeat(np.arange(len(items)), [max(0, len(i) - span + 1) for i in items])
     begin = np.concatenate([np.arange(max(0, len(i) - span + 1)) for i in items])
@@ -253,19 +271,17 @@ def _search(parts: DataFrame, items: list[np.ndarray], idf: np.ndarray, space: n
     cell = (vectors @ centre.T).argmax(1)
     members = [np.flatnonzero(cell == k) for k in range(len(centre))]
     weight = idf[every].sum(1)
-    unknown, least = len(idf) - 1, answer * float(weight.min())
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             docs, starts, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_numpy(zero_copy_only=False)
-            count = [len(t) - span + 1 for t in texts]
-            which = np.repeat(np.arange(len(texts)), count)
-            offset = np.concatenate([np.arange(c) for c in count]) if count else np.empty(0, int)
-            w = np.concatenate([windows(t, span) for t in texts]) if count else np.empty((0, span), np.int32)
-            # windows of known words, and those with enough information to repeat an answer
-            able = (w < unknown).all(1) | (idf[w].sum(1) >= least)
-            which, offset, w = which[able], offset[able], w[able]
+            if not len(texts):
+                continue
+            ids, at, first = able_windows(list(texts), idf, span, least)
+            which = np.searchsorted(first, at, side="right") - 1
+            offset = at - first[which]
+            w = windows(ids, span)[at]
             hits: dict[tuple[int, int], list] = {}
             for lo in range(0, len(w), 8192):
                 x = latent(w[lo : lo + 8192], idf, space)
@@ -315,8 +331,10 @@ def _block(spark: SparkSession, documents: DataFrame, items: list[tuple[int, lis
         freq[r["pos"]] = r["df"]
     idf = np.append(np.log((1 + n) / (1 + freq)) + 1, 0.0)  # what is unknown weighs nothing
     parts = found.where(F.col("ids").isNotNull()).select("doc_id", "start", "ids")
-    space = latent_space(parts, idf, span)
-    matches = _search(parts, ids, idf.astype(np.float32), space, span, cosine, answer)
+    # what a window must weigh to repeat the answer part of the lightest item window
+    least = answer * min(float(idf[windows(i, span)].sum(1).min()) for i in ids)
+    space = latent_space(parts, idf, span, least=least)
+    matches = _search(parts, ids, idf.astype(np.float32), space, span, cosine, answer, least)
     table = spark.createDataFrame([(k, i) for k, (i, _) in enumerate(items)], "item bigint, item_id bigint")
     return matches.join(F.broadcast(table), "item")  # a row an item of the block
 
