@@ -10,11 +10,15 @@ from tidewell.operators import compaction, dedup_index, late_events, multires, s
 from tidewell.operators.standing import standing_events
 from tidewell.schemas import EVENT_TYPES, WIRE
 from tidewell.session import materialise, scratch
-from tidewell.sources.tables import load
+from tidewell.sources.tables import load, spread
 
 FILE_OF_ROW = {"dt": "dt", "hour": "hour", "kafka_partition": "kafka_partition", "ingested_at": "committed_at"}
 
 
+def _messages(spark: SparkSession, d: str) -> DataFrame:
+    return spread(load(spark, d, "ad_clicks"), "kafka_partition", "kafka_offset", "ingested_at")
+
+
 def _sessions(spark: SparkSession, d: str) -> DataFrame:
     events = standing_events(load(spark, d, "processed_events"), "event_timestamp", "uid", "event_type")
     return sessions.sessionize(events, "uid", "event_timestamp", "event_type", tuple(EVENT_TYPES))
@@ -38,15 +42,15 @@ def _indexed(spark: SparkSession, d: str, table: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return schema_drift.drift_report(load(spark, d, "ad_clicks"), WIRE).select("dt", "source", "change_kind", "field_name").distinct()
+    return schema_drift.drift_report(_messages(spark, d), WIRE).select("dt", "source", "change_kind", "field_name").distinct()
 
 
 def p1_report(spark: SparkSession, d: str) -> DataFrame:
-    return schema_drift.drift_report(load(spark, d, "ad_clicks"), WIRE)
+    return schema_drift.drift_report(_messages(spark, d), WIRE)
 
 
 def p1_clicks(spark: SparkSession, d: str) -> DataFrame:
-    return schema_drift.union_table(load(spark, d, "ad_clicks"), WIRE, keep=("kafka_partition", "kafka_offset", "dt", "hour"))
+    return schema_drift.union_table(_messages(spark, d), WIRE, keep=("kafka_partition", "kafka_offset", "dt", "hour"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
