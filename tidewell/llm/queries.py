@@ -7,15 +7,19 @@ from pyspark.sql import functions as F
 
 from tidewell.llm import contamination, mixing, splitting
 from tidewell.llm.tokens import TOKEN_RE2
-from tidewell.sources.tables import load
+from tidewell.sources.tables import load, spread
+
+
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return spread(load(spark, d, "documents"), "doc_id")
 
 
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
-    return contamination.leaks(load(spark, d, "documents"), load(spark, d, "eval_items"))
+    return contamination.leaks(_documents(spark, d), load(spark, d, "eval_items"))
 
 
 def _budgets(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    sizes = mixing.sized(load(spark, d, "documents"))
+    sizes = mixing.sized(_documents(spark, d))
     return sizes, mixing.budgets(sizes, load(spark, d, "mix_targets"))
 
 
@@ -42,11 +46,11 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return splitting.split_documents(load(spark, d, "documents")).where(F.col("piece_no") == 0).select("doc_id")
+    return splitting.split_documents(_documents(spark, d)).where(F.col("piece_no") == 0).select("doc_id")
 
 
 def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
-    return splitting.split_documents(load(spark, d, "documents"))
+    return splitting.split_documents(_documents(spark, d))
 
 
 QUERIES = {f.__name__: f for f in (p8_found, p8_leaks, p9_found, p9_mix, p9_shares, p10_found, p10_pieces)}
