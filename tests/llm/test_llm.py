@@ -131,6 +131,19 @@ def test_stretches():
         assert inside == {k for k in range(len(known) - span + 1) if known[k : k + span].sum() >= span - slack}
 
 
+def test_a_copy_meets_its_original_in_its_cell():
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((3000, 20)).astype(np.float32)
+    x = np.vstack([x, x[:500], np.tile(x[:1], (300, 1))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    centre = contamination.cells_of(x, 64)
+    members = contamination.members_of(x, centre)
+    for size in (1, 7, 1000):  # products of other shapes round otherwise
+        for lo in range(0, len(x), size * 37):
+            part = x[lo : lo + size]
+            assert all(lo + k in members[c] for k, c in enumerate((part @ centre.T).argmax(1)))
+
+
 def test_latent_space_is_that_of_the_svd(spark):
     rng = np.random.default_rng(2)
     size, span, rank = 120, 13, 8

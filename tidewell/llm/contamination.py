@@ -32,7 +32,7 @@ from tidewell.session import materialise
 SPAN, SLACK = 13, 2
 RANK, EXTRA = 64, 8
 COSINE, ANSWER = 0.9, 0.7
-CELLS, PROBES = 256, 1
+CELLS, PAIRS = 256, 500_000
 BLOCK = 200_000
 SLICE = 256
 
@@ -238,7 +238,8 @@ def latent_space(parts: DataFrame, idf: np.ndarray, span: int, rank: int = RANK,
 def cells_of(x: np.ndarray, cells: int, seed: int = 3) -> np.ndarray:
     """Centres of at most ``cells`` groups of unit vectors, by a few rounds of spherical k-means."""
     rng = np.random.default_rng(seed)
-    centre = x[rng.choice(len(x), min(cells, len(x)), replace=False)]
+    apart = np.unique(x.round(4), axis=0, return_index=True)[1]  # equal vectors make one centre
+    centre = x[apart[rng.choice(len(apart), min(cells, len(apart)), replace=False)]]
     for _ in range(5):
         near = (x @ centre.T).argmax(1)
         total = np.zeros_like(centre)
@@ -248,6 +249,20 @@ def cells_of(x: np.ndarray, cells: int, seed: int = 3) -> np.ndarray:
     return centre
 
 
+def members_of(x: np.ndarray, centre: np.ndarray) -> list[np.ndarray]:
+    """The vectors of each cell: those nearest to its centre, or as near up to rounding.
+
+    So the cell that a copy of a vector finds nearest always holds the vector, in whatever batch either was computed.
+    """
+    near: list[list[np.ndarray]] = [[] for _ in centre]
+    for lo in range(0, len(x), 8192):
+        score = x[lo : lo + 8192] @ centre.T
+        row, col = np.nonzero(score >= score.max(1, keepdims=True) - 1e-4)
+        for k in range(len(centre)):
+            near[k].append(lo + row[col == k])
+    return [np.concatenate(n) for n in near]
+
+
 def lcs(a: list, b: list) -> int:
     """Length of the longest common subsequence."""
     row = [0] * (len(b) + 1)
@@ -268,8 +283,7 @@ def _search(parts: DataFrame, items: list[np.ndarray], idf: np.ndarray, space: n
     every = np.concatenate([windows(i, span) for i in items])
     vectors = latent(every, idf, space)
     centre = cells_of(vectors, CELLS)
-    cell = (vectors @ centre.T).argmax(1)
-    members = [np.flatnonzero(cell == k) for k in range(len(centre))]
+    members = members_of(vectors, centre)
     weight = idf[every].sum(1)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,17 +303,19 @@ def _search(parts: DataFrame, items: list[np.ndarray], idf: np.ndarray, space: n
                 order = np.argsort(near, kind="stable")
                 cuts = np.flatnonzero(np.r_[True, np.diff(near[order]) != 0, True]) if len(order) else np.array([0])
                 for a, b in zip(cuts[:-1], cuts[1:]):
-                    mine = order[a:b]
-                    group = members[near[mine[0]]]
-                    score = x[mine] @ vectors[group].T
-                    i, j = np.nonzero(score >= cosine)
-                    p, m = lo + mine[i], group[j]
-                    # the checks of all candidates at once: equal word by word; weight of the item's words that are there
-                    same = (w[p] == every[m]).all(1)
-                    there = (every[m][:, :, None] == w[p][:, None, :]).any(2)
-                    share = (there * idf[every[m]]).sum(1) / weight[m]
-                    for k in np.flatnonzero(same | (share >= answer)):
-                        hits.setdefault((int(which[p[k]]), int(owner[m[k]])), []).append((int(p[k]), int(m[k]), float(score[i[k], j[k]]), bool(same[k]), float(share[k])))
+                    group = members[near[order[a]]]
+                    step = max(1, PAIRS // max(1, len(group)))
+                    for c in range(a, b, step):  # so many pairs at a time, however many share a cell
+                        mine = order[c : min(b, c + step)]
+                        score = x[mine] @ vectors[group].T
+                        i, j = np.nonzero(score >= cosine)
+                        p, m = lo + mine[i], group[j]
+                        # all candidates at once: equal word by word; weight of the item's words that are there
+                        same = (w[p] == every[m]).all(1)
+                        there = (every[m][:, :, None] == w[p][:, None, :]).any(2)
+                        share = (there * idf[every[m]]).sum(1) / weight[m]
+                        for k in np.flatnonzero(same | (share >= answer)):
+                            hits.setdefault((int(which[p[k]]), int(owner[m[k]])), []).append((int(p[k]), int(m[k]), float(score[i[k], j[k]]), bool(same[k]), float(share[k])))
             for (t, item), found in hits.items():
                 # windows that are equal and consecutive on one diagonal make a longer run
                 exact = sorted({(int(begin[m]) - int(offset[p]), int(offset[p])) for p, m, _, same, _ in found if same})
