@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import atexit
 import functools
+import hashlib
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,12 +36,42 @@ def build_session(app: str = "tidewell", master: str | None = None, **conf: str)
 
 
 def utc(spark: SparkSession) -> SparkSession:
-    """Partitions, hours and dates are UTC whatever the caller's session says."""
+    """Partitions, hours and dates are UTC whatever the caller's session says; executors get the package."""
+    _ship(spark.sparkContext.applicationId)
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
 
 
+@functools.cache
+def _ship(application: str) -> None:
+    """Sends this package to the Python workers, once for each application, as they may not have it on their path.
+
+    The archive stands in the shared folder under a name that tells its content, and outlasts the application.
+    """
+    spark = SparkSession.getActiveSession()
+    here = Path(__file__).resolve().parent
+    if spark is None or not here.is_dir():  # already run from an archive
+        return
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for f in sorted(here.rglob("*.py")):
+            z.writestr(zipfile.ZipInfo(str(f.relative_to(here.parent))), f.read_bytes())
+    path = f"{shared_dir(spark)}/tidewell-{hashlib.sha256(data.getvalue()).hexdigest()[:16]}.zip"
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        hidden = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+        out = fs.create(hidden)
+        try:
+            out.write(bytearray(data.getvalue()))
+        finally:
+            out.close()
+        fs.rename(hidden, p)
+    spark.sparkContext.addPyFile(path)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
