@@ -112,6 +112,30 @@ def test_union_table_keeps_content(spark):
     assert rows == {("300", "IAB1", "mine"), ("300px", '["IAB1","IAB2"]', "mine")}
 
 
+def test_union_table_loses_nothing(spark):
+    many = [native(bid_price=round(0.2 + i / 100, 4), uid=f"u_{i}") for i in range(200)]
+    moved = [{k if k != "bid_price" else "bidPrice": v for k, v in m.items()} for m in many[:60]]
+    odd = [
+        native(campaign_id=5.5, banner_w=2**31, timestamp=2**53 + 1, floor_price=10**25, exp={"arm": "a"}, retry="5"), native(consent=None, retry=5),
+        {k: v for k, v in native(bidPrice="free").items() if k != "bid_price"}, native(bidPrice=7),
+    ]
+    bad = ["{broken", None, '{"source": "web", "x": 1}', '{"source": 5}', "[1]", '{"source": "dummy", "uid": "a", "uid": "b"}']
+    df = messages(spark, *many, *moved, *odd, *bad).withColumn("rest", F.lit("r"))
+    t = schema_drift.union_table(df, WIRE, keep=("rest",))
+    types = dict(t.dtypes)
+    assert (types["campaign_id"], types["banner_w"], types["banner_h"], types["timestamp"], types["floor_price"], types["bid_price"]) == ("double", "bigint", "int", "bigint", "string", "string")
+    rows = t.collect()
+    assert len(rows) == len(many) + len(moved) + len(odd) + len(bad) and {r["msg_rest"] for r in rows} == {"r"}
+    first = next(r for r in rows if r["campaign_id"] == 5.5)
+    assert (first["banner_w"], first["timestamp"], first["floor_price"]) == (2**31, 2**53 + 1, str(10**25))
+    rest = Counter(tuple(sorted(r["rest"].items())) for r in rows if r["rest"])
+    assert rest == Counter({(("exp", '{"arm":"a"}'), ("retry", '"5"')): 1, (("consent", "null"), ("retry", "5")): 1, (("bidPrice", "7"),): 1})
+    assert "free" in {r["bid_price"] for r in rows}
+    why = Counter((r["reject_reason"], r["reject_value"]) for r in rows if r["reject_reason"])
+    assert why == Counter((("undeclared source" if v in (bad[2], bad[3]) else "broken"), v) for v in bad)
+    assert all(r["reject_value"] is None for r in rows if not r["reject_reason"])
+
+
 def test_parquet_drift(spark, tmp_path):
     tables = [
         pa.table({"a": pa.array([1, 2], pa.int32()), "b": ["x", "y"]}),

@@ -20,6 +20,8 @@ from tidewell.session import materialise
 
 #: JSON types as bits of the lattice.
 BIT = {"null": 1, "boolean": 2, "number": 4, "string": 8, "object": 16, "array": 32}
+#: Numbers that an int doesn't hold: whole ones up to 2^53 and beyond, fractions, and those that no double gives back.
+LONG, HUGE, FRACTION, WIDE = 64, 128, 256, 512
 #: JSON type of a declared type.
 JSON_OF = {"string": "string", "int": "number", "bigint": "number", "double": "number", "boolean": "boolean"}
 
@@ -34,13 +36,38 @@ def kind_of(v: Column) -> Column:
     return F.try_element_at(table, F.substring(F.schema_of_variant(v), 1, 2))
 
 
-def promote(bits: Column, declared: str = "string") -> Column:
-    """The least type that holds every kind in ``bits``; nothing but nulls keeps the declared type."""
-    kinds = bits.bitwiseAND(~1)
+def bits_of(v: Column) -> Column:
+    """The bit of a variant's JSON type, with that of a number's size beside it."""
+    kind, text = kind_of(v), F.try_variant_get(v, "$", "string")
+    whole, plain = text.try_cast("bigint"), text.try_cast("decimal(38,20)")
+    exact = (F.length(F.regexp_extract(text, r"\.(\d+)$", 1)) <= 20) & (plain == text.try_cast("double").try_cast("decimal(38,20)"))
+    size = (
+        F.when(whole.between(-(2**31), 2**31 - 1), 0)
+        .when(whole.between(-(2**53), 2**53), LONG)
+        .when(whole.isNotNull(), HUGE)
+        .when(F.schema_of_variant(v).isin("DOUBLE", "FLOAT") | exact, FRACTION)
+        .otherwise(WIDE)
+    )
+    return F.when(kind == "number", F.lit(BIT["number"]).bitwiseOR(size)).otherwise(functools.reduce(lambda c, k: c.when(kind == k, BIT[k]), list(BIT)[1:], F.when(kind == "null", BIT["null"])))
+
+
+def promote(bits: Column, declared: Column | str = "string") -> Column:
+    """The least type that holds every value in ``bits``; nothing but nulls keeps the declared type, and numbers one
+    that holds them."""
+    declared = F.lit(declared) if isinstance(declared, str) else declared
+    kinds, sizes = bits.bitwiseAND(~1 & (LONG - 1)), bits.bitwiseAND(LONG | HUGE | FRACTION | WIDE)
+    has = lambda size: sizes.bitwiseAND(size) != 0
+    broken = has(FRACTION) | (declared == "double")
+    number = (
+        F.when((declared == "string") | has(WIDE) | (broken & has(HUGE)), "string")
+        .when(broken, "double")
+        .when((sizes != 0) | (declared == "bigint"), "bigint")
+        .otherwise("int")
+    )
     return (
         F.when(kinds == 0, declared)
         .when(kinds == BIT["boolean"], "boolean")
-        .when(kinds == BIT["number"], declared if declared in ("int", "bigint", "double") else "double")
+        .when(kinds == BIT["number"], number)
         .when(kinds == BIT["array"], "array<variant>")
         .otherwise("string")
     )
@@ -52,10 +79,16 @@ def headers(messages: DataFrame, wire: dict[str, dict[str, str]], value: str = "
     Rows whose value isn't one valid JSON object, or names another source, are left out. An object that repeats a name
     isn't valid here.
     """
-    v = messages.withColumn("v", json_object(value)).where(F.col("v").isNotNull())
+    return _parsed(messages, wire, value, source).where(F.col("reason").isNull()).drop("reason")
+
+
+def _parsed(messages: DataFrame, wire: dict[str, dict[str, str]], value: str, source: str = "source") -> DataFrame:
+    """``headers`` of every message; ``reason`` tells why one has none: ``broken`` or ``undeclared source``."""
+    v = messages.withColumn("v", json_object(value))
     src = F.try_variant_get("v", f"$.{source}", "string")
     is_text = kind_of(F.try_variant_get("v", f"$.{source}", "variant")) == "string"
-    v = v.withColumn("src", src).where(is_text & src.isin(*wire)).withColumn("names", F.json_object_keys(value))
+    known = F.coalesce(is_text & src.isin(*wire), F.lit(False))
+    v = v.withColumns({"reason": F.when(F.col("v").isNull(), "broken").when(~known, "undeclared source"), "src": F.when(known, src)}).withColumn("names", F.json_object_keys(value))
     declared = _by_source(wire, lambda fields: F.array(*map(F.lit, fields)))
     kinds = _by_source(wire, lambda fields: F.array(*(F.struct(F.lit(n).alias("name"), kind_of(F.try_variant_get("v", f"$.{n}", "variant")).alias("kind")) for n in fields)))
     return v.withColumns({"absent": F.array_except(declared, "names"), "extra": F.array_except("names", declared), "kinds": F.filter(kinds, lambda x: x["kind"].isNotNull())})
@@ -182,46 +215,70 @@ def drift_report(messages: DataFrame, wire: dict[str, dict[str, str]], value: st
     return changes(h, wire, renames(h, wire)).orderBy("dt", "source", "change_kind", "field_name", "found_as")
 
 
-def fold(h: DataFrame) -> DataFrame:
+def _moved(m: dict) -> Column:
+    """The value that stands at a new place instead of its declared field; null where the message has the field itself."""
+    path = f"$['{m['top']}']" + (f"['{m['leaf']}']" if m["leaf"] else "")
+    here = (F.col("src") == m["src"]) & F.array_contains("absent", m["name"]) & F.array_contains("extra", m["top"])
+    return F.when(here, F.try_variant_get("v", path, "variant"))
+
+
+def _value(n: str, moved: list[dict]) -> Column:
+    """The declared field's value, by its own or its new name, as variant."""
+    places = [F.try_variant_get("v", f"$.{n}", "variant"), *(_moved(m) for m in moved if m["name"] == n)]
+    return functools.reduce(lambda a, b: F.when(a.isNull(), b).otherwise(a), places)
+
+
+def fold(h: DataFrame, wire: dict[str, dict[str, str]], moved: list[dict]) -> DataFrame:
     """The lattice: ``(src, name, bits)``, the OR of the types of each declared field over all headers."""
-    bit = functools.reduce(lambda c, k: c.when(F.col("k.kind") == k, BIT[k]), list(BIT)[1:], F.when(F.col("k.kind") == "null", BIT["null"]))
-    return h.select("src", F.explode("kinds").alias("k")).groupBy("src", F.col("k.name").alias("name")).agg(F.bit_or(bit).alias("bits"))
+    values = _by_source(wire, lambda fields: F.array(*(F.struct(F.lit(n).alias("name"), _value(n, moved).alias("val")) for n in fields)))
+    each = h.select("src", F.explode(values).alias("o")).select("src", "o.name", "o.val").where(F.col("val").isNotNull())
+    return each.groupBy("src", "name").agg(F.bit_or(bits_of(F.col("val"))).alias("bits"))
+
+
+def _rest(moved: list[dict]) -> Column:
+    """JSON text by name of what no declared field takes. An object is whole, though one of its members be taken."""
+    taken, before = [], {}
+    for m in moved:
+        here = _moved(m).isNotNull()
+        earlier = before.setdefault((m["src"], m["name"]), [])
+        if not m["leaf"]:
+            taken.append(F.when(functools.reduce(operator.and_, (~e for e in earlier), here), F.lit(m["top"])))
+        earlier.append(here)
+    left = F.array_except("extra", F.array_compact(F.array(*taken))) if taken else F.col("extra")
+    every = F.map_filter(F.try_variant_get("v", "$", "map<string,variant>"), lambda k, _: F.array_contains(left, k))
+    return F.when(F.size(left) > 0, F.transform_values(every, lambda _, x: F.to_json(x)))
 
 
 def union_table(messages: DataFrame, wire: dict[str, dict[str, str]], value: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """Messages as one table: every declared field of every source, found by its own or its new name.
 
-    A field that came in one kind only keeps the declared type; one that came in several becomes the least type of the
-    lattice that holds them, text of numbers and of structures included, so that no content is lost. A field of two
-    sources takes the wider of both. The columns of ``keep`` come along under their names, prefixed with ``msg_`` where
-    they clash with a field.
+    A field has the least type of the lattice that holds its declared type's numbers and all that came, wherever it
+    came from: numbers that don't fit widen it, mixed kinds make it text, so that no content is lost. A field of two
+    sources takes the wider of both. ``rest`` maps the names that no declared field takes to their JSON. Every message
+    has its row: one that is broken or of an undeclared source has no fields, a ``reject_reason`` and its text as
+    ``reject_value``. The columns of ``keep`` come along under their names, prefixed with ``msg_`` where they clash.
     """
     along = [F.struct(*keep).alias("__keep")] if keep else []  # apart, as their names may be any
-    h = read_headers(messages.select(F.col(value).alias("raw"), *along), wire, "raw")
+    parsed = _parsed(messages.select(F.col(value).alias("raw"), *along), wire, "raw").drop("names")
+    every = materialise(parsed.withColumn("raw", F.when(F.col("reason").isNotNull(), F.col("raw"))), "headers")
+    h = every.where(F.col("reason").isNull())
     moved = renames(h, wire)
-    bits = {(r["src"], r["name"]): r["bits"] for r in fold(h).collect()}  # a row for each declared field
     names = list(dict.fromkeys(n for f in wire.values() for n in f))
-
-    def width(n: str) -> str:
-        types = [f[n] for f in wire.values() if n in f]
-        got = functools.reduce(operator.or_, (bits.get((s, n), 0) for s in wire), 0) & ~1
-        want = max(types, key=["boolean", "int", "bigint", "double", "string"].index)
-        ok = {BIT[JSON_OF[want]], 0} | ({BIT["number"], BIT["number"] | BIT["string"]} if want == "string" else set())
-        return want if got in ok else "string"
+    order = ["boolean", "int", "bigint", "double", "string"]
+    widest = {n: max((f[n] for f in wire.values() if n in f), key=order.index) for n in names}
+    declared = F.create_map(*(F.lit(x) for pair in widest.items() for x in pair))
+    folded = fold(h, wire, moved).groupBy("name").agg(F.bit_or("bits").alias("bits"))
+    types = widest | {r["name"]: r["type"] for r in folded.select("name", promote(F.col("bits"), F.element_at(declared, F.col("name"))).alias("type")).collect()}  # a row for each declared field
 
     def column(n: str) -> Column:
-        places = [F.try_variant_get("v", f"$.{n}", "variant")]
-        for m in moved:
-            if m["name"] == n:
-                path = f"$['{m['top']}']" + (f"['{m['leaf']}']" if m["leaf"] else "")
-                places.append(F.when((F.col("src") == m["src"]) & F.array_contains("absent", n), F.try_variant_get("v", path, "variant")))
         owners = [s for s, f in wire.items() if n in f]
-        v = functools.reduce(lambda a, b: F.when(a.isNull(), b).otherwise(a), places)
-        v = F.when(F.col("src").isin(*owners), v)
+        v, t = F.when(F.col("src").isin(*owners), _value(n, moved)), types[n]
         text = F.try_variant_get(v, "$", "string")
-        return (text if width(n) == "string" else text.try_cast("double").cast(width(n)) if width(n) == "double" else text.try_cast(width(n))).alias(n)
+        return (text if t == "string" else F.try_variant_get(v, "$", t) if t == "array<variant>" else text.try_cast(t)).alias(n)
 
-    return h.select(*(column(n) for n in names), *(F.col(f"__keep.{c}").alias(f"msg_{c}" if c in names else c) for c in keep))
+    others = [_rest(moved).alias("rest"), F.col("reason").alias("reject_reason"), F.col("raw").alias("reject_value")]
+    taken = {*names, "rest", "reject_reason", "reject_value"}
+    return every.select(*(column(n) for n in names), *(F.col(f"__keep.{c}").alias(f"msg_{c}" if c in taken else c) for c in keep), *others)
 
 
 # --- Parquet files ---------------------------------------------------------------------------------------------------
