@@ -404,6 +404,32 @@ def test_index_copies_and_kept(spark, path):
     assert empty.count() == 0
 
 
+def test_kept_rows_are_whole(spark, path):
+    rows = [("x", "1", 5, 1, "c"), ("X", "1", 3, 9, "b"), ("x", "1", 3, 2, "z"), ("x", "1", 3, 2, "a"), ("y", "2", None, 1, "n"), ("y", "2", 8, 1, "m"), (None, "2", 1, 1, "p"), (None, "2", 1, 1, "p"), ("  ", None, None, None, None)]
+    df = spark.createDataFrame(rows, "i string, b string, o bigint, k int, content string")
+    by = bare_id("i"), F.col("b"), F.col("o")
+
+    def whole(df):
+        r = dedup_index.IdentifierIndex(spark, path).ingest(df, *by)
+        return Counter(tuple(x) for x in dedup_index.kept_rows(df, r, *by, ties=("k",)).select("__id", *df.columns).collect())
+
+    alone = [(None, *r) for r in rows[6:]]
+    assert whole(df) == Counter([("x", *rows[3]), ("y", *rows[5]), *alone])
+    assert whole(df) == Counter(alone)  # identifiers known from before
+
+
+def test_registered_rows_after_deduplication(spark):
+    from tidewell.plans import problems
+    from tidewell.sources.tables import load
+
+    from conftest import SF
+
+    for table, query, ident in (("ad_clicks", problems.p7_clicks_rows, message_id("value")), ("processed_events", problems.p7_events_rows, bare_id("event_id"))):
+        df, got = load(spark, SF, table), query(spark, SF)
+        n = df.select(F.count_distinct(ident) + F.count_if(ident.isNull())).first()[0]
+        assert got.count() == n and set(df.columns) <= set(got.columns)
+
+
 # --- shared folder ---
 
 

@@ -138,3 +138,20 @@ def copies(result: DataFrame) -> DataFrame:
 def kept(result: DataFrame) -> DataFrame:
     """``(id, batch, first_at)`` of the one copy to keep: the first of the first batch that has it."""
     return result.where(~F.col("known")).select("id", "batch", "first_at")
+
+
+def kept_rows(df: DataFrame, result: DataFrame, ident: Column, batch: Column, order: Column, ties: tuple[str, ...] = ()) -> DataFrame:
+    """The whole rows to keep of ``df``, whose ``result`` came from ``ingest``, with their bare identifier as ``__id``.
+
+    Of each identifier that no earlier call knew, the row first by batch and ``order``; one without order comes last.
+    Equal rows in that are told apart by ``ties``, then by all other columns, nulls first. A row without identifier is
+    kept as it is.
+    """
+    rest = [c for c in df.columns if c not in ties]
+    at = order.cast("bigint")
+    rank = F.struct(at.isNull().alias("__late"), F.coalesce(batch.cast("string"), F.lit("")).alias("__batch"), at.alias("__at"), *ties, *rest)
+    known = df.where(ident.isNotNull()).groupBy(ident.alias("__id")).agg(F.min(rank).alias("__r"))
+    novel = kept(result).select(F.col("id").alias("__id"))
+    known = known.join(novel, "__id", "left_semi").select("__id", *(F.col(f"__r.{c}").alias(c) for c in df.columns))
+    alone = df.where(ident.isNull()).select(F.lit(None).cast("string").alias("__id"), *df.columns)
+    return known.unionByName(alone)

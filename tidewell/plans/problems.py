@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.functions.ids import bare_id, message_id, spelled
@@ -33,12 +33,19 @@ def _compacted(spark: SparkSession, d: str) -> DataFrame:
     return compaction.compact(spark, load(spark, d, "click_files"), load(spark, d, "ad_clicks"), ["dt", "hour"], FILE_OF_ROW)
 
 
-def _indexed(spark: SparkSession, d: str, table: str) -> DataFrame:
+def _ingested(spark: SparkSession, d: str, table: str) -> tuple[DataFrame, DataFrame, tuple[Column, Column, Column]]:
+    """The table, the result of its ingestion, and the identifier, batch and order it went by."""
     df = load(spark, d, table)
     index = dedup_index.IdentifierIndex(spark, scratch(spark, f"index-{table}"))
     if table == "ad_clicks":
-        return index.ingest(df, message_id("value"), F.col("dt"), F.unix_micros("kafka_timestamp"))
-    return index.ingest(df, bare_id("event_id"), F.to_date("updated_at"), F.unix_micros("updated_at"))
+        by = message_id("value"), F.col("dt"), F.unix_micros("kafka_timestamp")
+    else:
+        by = bare_id("event_id"), F.to_date("updated_at"), F.unix_micros("updated_at")
+    return df, index.ingest(df, *by), by
+
+
+def _indexed(spark: SparkSession, d: str, table: str) -> DataFrame:
+    return _ingested(spark, d, table)[1]
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -109,7 +116,21 @@ def p7_events(spark: SparkSession, d: str) -> DataFrame:
     return kept.select(spelled("id").alias("event_id"), F.col("first_at").alias("updated_us"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_clicks, p2_found, p2_sessions, p3_found, p3_campaigns, p3_banners, p4_distinct, p5_found, p5_compacted, p6_found, p6_hourly, p7_found, p7_clicks, p7_events)}
+def p7_clicks_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Each message once, whole, beside its identifier; all messages without one."""
+    df, result, by = _ingested(spark, d, "ad_clicks")
+    rows = dedup_index.kept_rows(df, result, *by, ties=("kafka_partition", "kafka_offset"))
+    return rows.select(spelled("__id").alias("event_id"), *df.columns)
+
+
+def p7_events_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Each event once, by the whole row that stands for it; all rows without identifier."""
+    df, result, by = _ingested(spark, d, "processed_events")
+    rows = dedup_index.kept_rows(df, result, *by, ties=("event_timestamp",))
+    return rows.withColumn("event_id", spelled("__id")).select(df.columns)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_clicks, p2_found, p2_sessions, p3_found, p3_campaigns, p3_banners, p4_distinct, p5_found, p5_compacted, p6_found, p6_hourly, p7_found, p7_clicks, p7_events, p7_clicks_rows, p7_events_rows)}
 
 _BARE = "nullif(lower(trim(replace(event_id, '-', ''))), '')"
 _UUID = "substr({0},1,8)||'-'||substr({0},9,4)||'-'||substr({0},13,4)||'-'||substr({0},17,4)||'-'||substr({0},21,12)"
