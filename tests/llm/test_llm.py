@@ -124,6 +124,36 @@ def test_paraphrase_is_reported(spark):
     assert [(r["doc_id"], r["item_id"]) for r in rows] == [(1, 5)] and rows[0]["lcs"] >= 10 and rows[0]["answer"] >= 0.7
 
 
+def test_paraphrase_beside_a_reordered_copy(spark):
+    item = "if lens theve loses eighty percent of its residue then venicnic records coils"
+    w = item.split()
+    text = " ".join([*reversed(w), *w[:11], "supper", w[12]])  # the reversed window has cosine 1 and no order
+    d = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    rows = contamination.leaks(d, spark.createDataFrame([(5, item)], "item_id bigint, text string")).collect()
+    assert [(r["doc_id"], r["item_id"]) for r in rows] == [(1, 5)] and rows[0]["lcs"] >= 10 and rows[0]["run"] == 0
+
+
+def test_every_pair_of_the_cosine_is_met():
+    rng = np.random.default_rng(4)
+    v = (rng.standard_normal((40, 20))[rng.integers(0, 40, 3000)] + 0.4 * rng.standard_normal((3000, 20))).astype(np.float32)
+    x = (v[rng.integers(0, 3000, 2000)] + 0.4 * rng.standard_normal((2000, 20))).astype(np.float32)
+    v, x = (a / np.linalg.norm(a, axis=1, keepdims=True) for a in (v, x))
+    centre = contamination.cells_of(v, 64)
+    members, least = contamination.reach_of(v, centre, 0.9)
+    found = [(int(a), int(b)) for i, j, _ in contamination.pairs_within(x, v, centre, members, least, 0.9) for a, b in zip(i, j)]
+    score = x @ v.T
+    sure, may = ({(int(a), int(b)) for a, b in zip(*np.nonzero(score >= t))} for t in (0.9001, 0.8999))
+    assert sure and sure <= set(found) <= may and len(found) == len(set(found))
+    nearest = {(int(a), int(b)) for i, j, _ in contamination.pairs_within(x, v, centre, contamination.members_of(v, centre), None, 0.9) for a, b in zip(i, j)}
+    assert not sure <= nearest
+
+
+def test_common_is_lcs():
+    rng = np.random.default_rng(5)
+    a, b = rng.integers(0, 6, (200, 13)), rng.integers(0, 6, (200, 13))
+    assert contamination.common(a, b).tolist() == [contamination.lcs(p, q) for p, q in zip(a.tolist(), b.tolist())]
+
+
 def test_stretches():
     known = np.array([int(c) for c in "0111101101110000111"], dtype=bool)
     for span, slack in ((3, 0), (4, 1), (5, 2), (30, 2)):

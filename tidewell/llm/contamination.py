@@ -273,17 +273,56 @@ def lcs(a: list, b: list) -> int:
     return row[-1]
 
 
+def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``lcs`` of each row of ``a`` and the same row of ``b``."""
+    row = np.zeros((b.shape[1] + 1, len(a)), dtype=np.int32)
+    for x in a.T:
+        new = np.zeros_like(row)
+        for k, y in enumerate(b.T):
+            new[k + 1] = np.where(x == y, row[k] + 1, np.maximum(row[k + 1], new[k]))
+        row = new
+    return row[-1]
+
+
+def reach_of(vectors: np.ndarray, centre: np.ndarray, cosine: float) -> tuple[list[np.ndarray], np.ndarray]:
+    """The vectors of each cell, each in one, and the least cosine with its centre of a vector that may have ``cosine``
+    or more with one of them: their angle is at most the cell's radius and that of ``cosine``."""
+    near = np.concatenate([(vectors[lo : lo + 8192] @ centre.T).argmax(1) for lo in range(0, len(vectors), 8192)])
+    members = [np.flatnonzero(near == k) for k in range(len(centre))]
+    far = np.array([(vectors[m] @ c).min() if len(m) else 1.0 for m, c in zip(members, centre)])
+    angle = np.arccos(np.clip(far, -1, 1)) + np.arccos(cosine)
+    return members, np.where(angle < np.pi, np.cos(np.minimum(angle, np.pi)) - 1e-3, -2.0)
+
+
+def pairs_within(x: np.ndarray, vectors: np.ndarray, centre: np.ndarray, members: list[np.ndarray], least: np.ndarray | None, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of ``x`` and of ``vectors`` whose cosine is ``cosine`` or more, with it; all of them if ``least`` comes from
+    ``reach_of``, those of the nearest cell if it is None. So many pairs at a time, however many share a cell."""
+    score = x @ centre.T
+    near = score.argmax(1) if least is None else None
+    for k, group in enumerate(members):
+        rows = np.flatnonzero(near == k if least is None else score[:, k] >= least[k])
+        step = max(1, PAIRS // max(1, len(group)))
+        for c in range(0, len(rows) if len(group) else 0, step):
+            mine = rows[c : c + step]
+            cos = x[mine] @ vectors[group].T
+            i, j = np.nonzero(cos >= cosine)
+            yield mine[i], group[j], cos[i, j]
+
+
 MATCH = "doc_id bigint, item bigint, cosine float, run int, lcs int, answer float, start int"
 
 
-def _search(parts: DataFrame, items: list[np.ndarray], idf: np.ndarray, space: np.ndarray, span: int, cosine: float, answer: float, least: float) -> DataFrame:
-    """For each stretch and item among the candidates: best cosine, longest common run and subsequence of words."""
+def _search(parts: DataFrame, items: list[np.ndarray], idf: np.ndarray, space: np.ndarray, span: int, cosine: float, answer: float, least: float, copies: bool) -> DataFrame:
+    """For each stretch and item among the candidates: best cosine, longest common run and subsequence of words.
+
+    Candidates are all pairs of ``cosine``; with ``copies`` only those of the nearest cell, where every copy is.
+    """
     owner = np.repeat(np.arange(len(items)), [max(0, len(i) - span + 1) for i in items])
     begin = np.concatenate([np.arange(max(0, len(i) - span + 1)) for i in items])
     every = np.concatenate([windows(i, span) for i in items])
     vectors = latent(every, idf, space)
     centre = cells_of(vectors, CELLS)
-    members = members_of(vectors, centre)
+    members, reach = (members_of(vectors, centre), None) if copies else reach_of(vectors, centre, cosine)
     weight = idf[every].sum(1)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,34 +338,27 @@ def _search(parts: DataFrame, items: list[np.ndarray], idf: np.ndarray, space: n
             hits: dict[tuple[int, int], list] = {}
             for lo in range(0, len(w), 8192):
                 x = latent(w[lo : lo + 8192], idf, space)
-                near = (x @ centre.T).argmax(1)
-                order = np.argsort(near, kind="stable")
-                cuts = np.flatnonzero(np.r_[True, np.diff(near[order]) != 0, True]) if len(order) else np.array([0])
-                for a, b in zip(cuts[:-1], cuts[1:]):
-                    group = members[near[order[a]]]
-                    step = max(1, PAIRS // max(1, len(group)))
-                    for c in range(a, b, step):  # so many pairs at a time, however many share a cell
-                        mine = order[c : min(b, c + step)]
-                        score = x[mine] @ vectors[group].T
-                        i, j = np.nonzero(score >= cosine)
-                        p, m = lo + mine[i], group[j]
+                for i, m, score in pairs_within(x, vectors, centre, members, reach, cosine):
+                    for c in range(0, len(i), 65_536):
+                        p, n, cos = lo + i[c : c + 65_536], m[c : c + 65_536], score[c : c + 65_536]
                         # all candidates at once: equal word by word; weight of the item's words that are there
-                        same = (w[p] == every[m]).all(1)
-                        there = (every[m][:, :, None] == w[p][:, None, :]).any(2)
-                        share = (there * idf[every[m]]).sum(1) / weight[m]
-                        for k in np.flatnonzero(same | (share >= answer)):
-                            hits.setdefault((int(which[p[k]]), int(owner[m[k]])), []).append((int(p[k]), int(m[k]), float(score[i[k], j[k]]), bool(same[k]), float(share[k])))
+                        same = (w[p] == every[n]).all(1)
+                        there = (every[n][:, :, None] == w[p][:, None, :]).any(2)
+                        share = (there * idf[every[n]]).sum(1) / weight[n]
+                        good = np.flatnonzero(same | (share >= answer))
+                        longest = common(w[p[good]], every[n[good]])
+                        for k, alike in zip(good, longest):
+                            hits.setdefault((int(which[p[k]]), int(owner[n[k]])), []).append((int(p[k]), int(n[k]), float(cos[k]), bool(same[k]), float(share[k]), int(alike)))
             for (t, item), found in hits.items():
                 # windows that are equal and consecutive on one diagonal make a longer run
-                exact = sorted({(int(begin[m]) - int(offset[p]), int(offset[p])) for p, m, _, same, _ in found if same})
+                exact = sorted({(int(begin[m]) - int(offset[p]), int(offset[p])) for p, m, _, same, _, _ in found if same})
                 longest, here, last = 0, 0, None
                 for d, o in exact:
                     here = here + 1 if last == (d, o - 1) else 1
                     last, longest = (d, o), max(longest, here)
-                best = max(found, key=lambda f: f[2])
+                best = max(found, key=lambda f: (f[5], f[2]))
                 run = longest + span - 1 if longest else 0
-                common = max(run, lcs(w[best[0]].tolist(), every[best[1]].tolist()))
-                out.append((docs[t], item, best[2], run, common, best[4], starts[t] + int(offset[best[0]])))
+                out.append((docs[t], item, max(f[2] for f in found), run, max(run, best[5]), best[4], starts[t] + int(offset[best[0]])))
             cols = list(zip(*out)) if out else [[] for _ in range(7)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.float32(), pa.int32(), pa.int32(), pa.float32(), pa.int32()))],
@@ -336,7 +368,7 @@ def _search(parts: DataFrame, items: list[np.ndarray], idf: np.ndarray, space: n
     return parts.select("doc_id", "start", "ids").mapInArrow(find, MATCH)
 
 
-def _block(spark: SparkSession, documents: DataFrame, items: list[tuple[int, list[str]]], span: int, slack: int, cosine: float, answer: float) -> DataFrame:
+def _block(spark: SparkSession, documents: DataFrame, items: list[tuple[int, list[str]]], span: int, slack: int, cosine: float, answer: float, copies: bool) -> DataFrame:
     vocabulary = {w: k for k, w in enumerate(sorted({w for _, t in items for w in t}))}
     ids = [np.array([vocabulary[w] for w in t], dtype=np.int32) for _, t in items]
     found = materialise(passages(documents, vocabulary, span, slack), "passages")
@@ -350,19 +382,20 @@ def _block(spark: SparkSession, documents: DataFrame, items: list[tuple[int, lis
     # what a window must weigh to repeat the answer part of the lightest item window
     least = answer * min(float(idf[windows(i, span)].sum(1).min()) for i in ids)
     space = latent_space(parts, idf, span, least=least)
-    matches = _search(parts, ids, idf.astype(np.float32), space, span, cosine, answer, least)
+    matches = _search(parts, ids, idf.astype(np.float32), space, span, cosine, answer, least, copies)
     table = spark.createDataFrame([(k, i) for k, (i, _) in enumerate(items)], "item bigint, item_id bigint")
     return matches.join(F.broadcast(table), "item")  # a row an item of the block
 
 
-def leaks(documents: DataFrame, items: DataFrame, span: int = SPAN, slack: int = SLACK, cosine: float = COSINE, answer: float = ANSWER, block: int = BLOCK) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, span: int = SPAN, slack: int = SLACK, cosine: float = COSINE, answer: float = ANSWER, block: int = BLOCK, copies: bool = False) -> DataFrame:
     """``(doc_id, item_id, run, lcs, answer, cosine, n_places, first_word)`` of every document and item that are candidates and
     share a run of ``span`` words or the ``answer`` part of a passage's information.
 
-    ``run`` is the longest common run of words (0 if below ``span``; of an item beyond a block, within one part), ``lcs`` the longest common subsequence at the
-    closest passage, ``answer`` the share of that passage's information (IDF weight of its words: names and numbers weigh
+    ``run`` is the longest common run of words (0 if below ``span``; of an item beyond a block, within one part), ``lcs`` the longest common subsequence of
+    any candidate passage, ``answer`` the share of that passage's information (IDF weight of its words: names and numbers weigh
     most) that the document repeats, ``first_word`` where the passage begins. Null and empty texts and items of fewer than ``span``
     words match nothing; documents with the same text match alike; items that share a passage are all found.
+    With ``copies`` only the runs are complete, and cost less to find.
     """
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("bigint"), "text").where(F.length("text") > 0)
@@ -375,12 +408,12 @@ def leaks(documents: DataFrame, items: DataFrame, span: int = SPAN, slack: int =
             if len(part) < span:
                 continue
             if batch and size + len(part) > block:
-                found.append(_block(spark, docs, batch, span, slack, cosine, answer))
+                found.append(_block(spark, docs, batch, span, slack, cosine, answer, copies))
                 batch, size = [], 0
             batch.append((r["item_id"], part))
             size += len(part)
     if batch:
-        found.append(_block(spark, docs, batch, span, slack, cosine, answer))
+        found.append(_block(spark, docs, batch, span, slack, cosine, answer, copies))
     result = functools.reduce(DataFrame.unionByName, found) if found else None
     if result is None:
         return spark.createDataFrame([], "doc_id bigint, item_id bigint, run int, lcs int, answer float, cosine float, n_places bigint, first_word int")

@@ -14,8 +14,8 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
     return spread(load(spark, d, "documents"), "doc_id")
 
 
-def _leaks(spark: SparkSession, d: str) -> DataFrame:
-    return contamination.leaks(_documents(spark, d), load(spark, d, "eval_items"))
+def _leaks(spark: SparkSession, d: str, copies: bool = False) -> DataFrame:
+    return contamination.leaks(_documents(spark, d), load(spark, d, "eval_items"), copies=copies)
 
 
 def _budgets(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -24,7 +24,7 @@ def _budgets(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return _leaks(spark, d).where(F.col("run") >= contamination.SPAN).select("doc_id", "item_id")
+    return _leaks(spark, d, copies=True).where(F.col("run") >= contamination.SPAN).select("doc_id", "item_id")
 
 
 def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
