@@ -261,6 +261,18 @@ def test_distinct_counts_small(spark):
     assert multires.distinct_counts(df.limit(0), "uid", "event_date", "campaign_id").count() == 0
 
 
+def test_ranges_longer_than_a_month(spark):
+    df = events(spark, *({"uid": f"u{k}", "event_timestamp": at(86400 * k)} for k in (0, 20, 39)))
+    counts = multires.distinct_counts(df, "uid", "event_date", "campaign_id")
+    got = {(r["grain"], str(r["first_day"]), str(r["last_day"])): r["estimate"] for r in counts.where("grain like 'range%'").collect()}
+    assert len(got) == 2 * 40 * 41 // 2 - 2 * (19 * 20 // 2 + 18 * 19 // 2)  # but those of empty days only
+    assert got[("range", "2024-01-02", "2024-02-10")] == got[("range+campaign_id", "2024-01-02", "2024-02-10")] == 3
+    state = multires.partial_bitmaps(df, "uid", ["event_date", "campaign_id"])
+    asked = spark.sql("SELECT date'2023-01-01' AS first_day, date'2025-01-01' AS last_day UNION ALL SELECT date'2024-01-03', date'2024-02-10' UNION ALL SELECT date'2025-01-01', date'2025-02-01'")
+    some = {(r["grain"], str(r["first_day"])): r["estimate"] for r in multires.range_counts(state, asked, "event_date", "campaign_id").collect()}
+    assert some == {("range", "2023-01-01"): 3, ("range+campaign_id", "2023-01-01"): 3, ("range", "2024-01-03"): 2, ("range+campaign_id", "2024-01-03"): 2}
+
+
 # --- 5 ---
 
 

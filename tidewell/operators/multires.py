@@ -73,28 +73,44 @@ def grouping(state: DataFrame, groups: list[list[str]], keys: list[str]) -> Data
     return merge_bitmaps(wide.select("g.*", "level", "word", "bits"), ["grain", *keys])
 
 
-def range_state(state: DataFrame, day: str, group: str, max_days: int = 31) -> DataFrame:
-    """Daily state merged to every range of up to ``max_days`` consecutive days, per group and over all groups.
+def range_state(state: DataFrame, day: str, group: str, max_days: int | None = None) -> DataFrame:
+    """Daily state merged to every range of consecutive days, or of up to ``max_days``, per group and over all groups.
 
-    Each word of a day goes into the ranges that hold the day: at most ``max_days`` squared of them, whatever the number
-    of rows behind it. Rows of a null day are in no range.
+    Each word of a day goes into the ranges that hold the day: at most ``max_days`` squared of them, or a quarter of the
+    square of all days, whatever the number of rows behind it. Rows of a null day are in no range.
     """
     daily = state.where(F.col(day).isNotNull())
     bounds = daily.agg(F.min(day).alias("lo"), F.max(day).alias("hi")).first()
     lo, hi = (F.lit(bounds["lo"]), F.lit(bounds["hi"])) if bounds["lo"] else (F.col(day), F.col(day))
+    if max_days is None:
+        max_days = (bounds["hi"] - bounds["lo"]).days + 1 if bounds["lo"] else 1
     first = F.explode(F.sequence(F.greatest(lo, F.date_sub(day, max_days - 1)), F.col(day)))
     wide = daily.withColumn("first_day", first)
     last = F.explode(F.sequence(F.col(day), F.least(hi, F.date_add("first_day", max_days - 1))))
-    wide = wide.withColumn("last_day", last)
+    return _ranges(wide.withColumn("last_day", last), group)
+
+
+def _ranges(wide: DataFrame, group: str) -> DataFrame:
     # all groups together from the state per group: words merge before they are copied again
     own = merge_bitmaps(wide, ["first_day", "last_day", group])
-    whole = merge_bitmaps(own, ["first_day", "last_day"]).withColumn(group, F.lit(None).cast(state.schema[group].dataType))
+    whole = merge_bitmaps(own, ["first_day", "last_day"]).withColumn(group, F.lit(None).cast(wide.schema[group].dataType))
     return own.withColumn("grain", F.lit(f"range+{group}")).unionByName(whole.withColumn("grain", F.lit("range")))
 
 
-def distinct_counts(df: DataFrame, value: str, day: str, group: str, max_days: int = 31, bits: int = BITS) -> DataFrame:
+def range_counts(state: DataFrame, asked: DataFrame, day: str, group: str, bits: int = BITS) -> DataFrame:
+    """``distinct_counts`` of the asked ranges ``(first_day, last_day)`` only, however long, from daily state.
+
+    ``asked`` is sent to all tasks. Ranges may overlap or repeat; one that holds no day of the state has no row.
+    """
+    ranges = F.broadcast(asked.select("first_day", "last_day").distinct())
+    wide = state.join(ranges, F.col(day).between(F.col("first_day"), F.col("last_day")))
+    keys = ["grain", "first_day", "last_day", group]
+    return estimate(_ranges(wide, group), keys, bits)
+
+
+def distinct_counts(df: DataFrame, value: str, day: str, group: str, max_days: int | None = None, bits: int = BITS) -> DataFrame:
     """``(grain, first_day, last_day, group, estimate, rel_error)``: per day, per group, per both, over all, and for every
-    range of up to ``max_days`` consecutive days, whole and per group.
+    range of consecutive days (of up to ``max_days``, if given), whole and per group.
 
     The rows are read once; all else merges the partial results per day and group, which are written down. Rows with null
     ``value`` add nothing, and a group of nothing but nulls has no row; null days and groups are groups of their own
