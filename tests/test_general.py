@@ -136,6 +136,14 @@ def test_union_table_loses_nothing(spark):
     assert all(r["reject_value"] is None for r in rows if not r["reject_reason"])
 
 
+def test_union_table_takes_promoted_types(spark):
+    t = schema_drift.union_table(messages(spark, native(os=True, site_cat=["IAB1", 2], banner_w=1), native(os=False, site_cat=..., banner_w=True)), WIRE)
+    types = dict(t.dtypes)
+    assert (types["os"], types["site_cat"], types["banner_w"]) == ("boolean", "array<variant>", "string")
+    rows = t.select("os", F.to_json(F.struct("site_cat")), "banner_w").collect()
+    assert {tuple(r) for r in rows} == {(True, '{"site_cat":["IAB1",2]}', "1"), (False, "{}", "true")}
+
+
 def test_parquet_drift(spark, tmp_path):
     tables = [
         pa.table({"a": pa.array([1, 2], pa.int32()), "b": ["x", "y"]}),
