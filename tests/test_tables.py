@@ -93,6 +93,40 @@ def test_merge_rewrites_only_touched_files(spark, path):
     assert len(before & after) == 1 and [(r[0], r[2]) for r in content(t)] == [("a", 1.0), ("b", 7.0)]
 
 
+def test_merge_refuses_repeated_keys(spark, path):
+    t = table(spark, path)
+    t.merge(df(spark, ("a", D1, 1.0, None), (None, D1, 1.0, None), (None, D1, 1.0, None)), "k")
+    with pytest.raises(ValueError, match="'b'"):
+        t.merge(df(spark, ("a", D1, 2.0, None), ("b", D1, 3.0, None), ("b", D2, 4.0, None)), "k")
+    assert Counter((r[0], r[2]) for r in content(t)) == Counter([(None, 1.0), (None, 1.0), ("a", 1.0)])
+    assert len(t.versions()) == 1 and not [p for p, _, _ in walk(spark, f"{path}/t/data") if "_merge-" in p]
+
+
+def test_one_partition_of_several_targets_takes_several_files(spark, path):
+    t = table(spark, path, **{"target-bytes": 40_000})
+    big = spark.range(60_000).select(F.md5(F.col("id").cast("string")).alias("k"), F.lit(D1).alias("day"), F.rand(1).alias("v"), F.md5(F.rand(2).cast("string")).alias("note"), F.lit(T1).alias("updated_at"))
+    t.append(big.repartition(16))
+    files = t.files().collect()
+    assert len(files) > 5 and sum(f["record_count"] for f in files) == 60_000 and {f["partition"]["day"] for f in files} == {"2024-01-01"}
+
+
+def test_drop_partitions(spark, path):
+    t = table(spark, path)
+    t.append(df(spark, ("a", D1, 1.0, None), ("b", D2, 2.0, None), ("n", None, 2.0, None)))
+    t.drop_partitions(lambda p: p["day"] == "2024-01-01")
+    assert [r[0] for r in content(t)] == ["b", "n"] and t.drop_partitions(lambda p: False) is None
+
+
+def test_epoch_mark_outlives_other_snapshots(spark, path):
+    t = table(spark, path)
+    t.append(df(spark, ("a", D1, 1.0, None)), ingest.epoch_mark("q", 7))
+    for k in range(25):
+        t.append(df(spark, (f"k{k}", D1, 0.0, None)))
+    maintenance.compact(t)
+    maintenance.expire(t, 2**60, 1)
+    assert len(t.versions()) == 1 and ingest.has_epoch(t, "q", 7) and not ingest.has_epoch(t, "q", 8) and not ingest.has_epoch(t, "r", 0)
+
+
 def test_conflicts(spark, path):
     t = table(spark, path)
     t.append(df(spark, ("a", D1, 1.0, None)))
@@ -237,6 +271,25 @@ def test_late_stream_closes_when_every_source_passed(spark, path):
     assert {r["period_start"] - epoch0: r["n"] for r in late.open_counts().collect()} == {97200: 1}
 
 
+def test_late_stream_never_reopens(spark, path):
+    from tidewell.streaming.late import LateEvents
+
+    schema = "event_id string, source string, event_type string, event_timestamp timestamp, arrival timestamp"
+    base = dt.datetime(2024, 1, 1)
+    row = lambda i, s, t, a: (i, s, "click", base + dt.timedelta(hours=t), base + dt.timedelta(hours=a))
+    late = LateEvents(spark, path, lateness=0, idle=6 * 3600)
+    batches = [[row("b0", "b", 1.5, 1.6)], [row("a0", "a", 8.5, 8.6), row("a1", "a", 9.5, 9.6), row("a2", "a", 11.9, 12)], [row("b1", "b", 8.9, 8.95), row("b2", "b", 7.0, 8.95)], [row("a3", "a", 20.5, 20.6)]]
+    for k, b in enumerate(batches):  # b is idle in the second and returns in the third
+        late(spark.createDataFrame(b, schema), k)
+        late(spark.createDataFrame(b, schema), k)
+    start = int((base - dt.datetime(1970, 1, 1)).total_seconds())
+    assert sorted(((r["period_start"] - start) // 3600, r["n"]) for r in late.closed.scan().collect()) == [(1, 1), (8, 1), (9, 1), (11, 1)]
+    assert {r["event_id"] for r in late.diverted.scan().collect()} == {"b1", "b2"}
+    assert {((r["period_start"] - start) // 3600, r["n"]) for r in late.open_counts().collect()} == {(20, 1)}
+    late(spark.createDataFrame([row("a4", "a", 60.5, 60.6)], schema), 4)
+    assert late.partials.scan().select("day").distinct().count() == 1  # days that are over are dropped
+
+
 def test_changed_partitions_and_refresh(spark, path):
     from tidewell.plans import gold
     from tidewell.schemas import SILVER, SILVER_COLUMNS

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewell.schemas import bronze_table_of
 from tidewell.sources.wire import project_bronze
-from tidewell.table.managed import ManagedTable
+from tidewell.table.managed import CARRIED, ManagedTable
 
 MAX_RESTARTS, FIRST_BACKOFF, LONGEST_BACKOFF, STABLE_SECONDS = 5, 10, 160, 600
 LANDING = "key string, value string, topic string, partition int, offset bigint, timestamp timestamp"
@@ -28,32 +28,42 @@ def file_stream(spark: SparkSession, path: str, max_files: int = 4) -> DataFrame
     return spark.readStream.schema(LANDING).option("maxFilesPerTrigger", max_files).parquet(path)
 
 
+def epoch_mark(query: str, epoch: int) -> dict[str, str]:
+    """What the snapshot of an epoch's rows records; every later snapshot carries it on, whatever made it."""
+    return {f"{CARRIED}{query}": str(epoch)}
+
+
 def has_epoch(table: ManagedTable, query: str, epoch: int) -> bool:
-    """Whether a snapshot of the table records that the epoch was written."""
-    return any(s["summary"].get("epoch") == f"{query}:{epoch}" for s in map(table.snapshot, table.versions()[-20:]))
+    """Whether the table holds the epoch's rows. Epochs of a query only grow, so a query that starts over from a new
+    checkpoint needs a new name."""
+    return int(table.snapshot()["summary"].get(f"{CARRIED}{query}", -1)) >= epoch
 
 
-def router(tables: dict[str, ManagedTable], query: str) -> Callable[[DataFrame, int], None]:
+def router(tables: dict[str, ManagedTable], query: str, unrouted: ManagedTable | None = None) -> Callable[[DataFrame, int], None]:
     """Appends each topic's rows of a batch to its table. A batch that ran before, for a table that has it, is skipped:
-    the snapshot records query and epoch, so a restart neither loses nor repeats rows."""
+    the snapshots record query and epoch, so a restart neither loses nor repeats rows. Rows of other topics, or of none,
+    go to ``unrouted`` if it is given, and are left out otherwise."""
 
     def write(batch: DataFrame, epoch: int) -> None:
         batch = batch.persist()
         try:
-            present = {r["topic"] for r in batch.select("topic").distinct().collect()}
-            for topic in sorted(present, key=str):
-                t = tables.get(bronze_table_of(topic or ""))
-                if t and not has_epoch(t, query, epoch):
-                    t.append(batch.where(F.col("topic") == topic), {"epoch": f"{query}:{epoch}"})
+            present = {r["topic"] for r in batch.select("topic").distinct().collect()}  # the topics subscribed to
+            known = [t for t in sorted(present, key=str) if bronze_table_of(t or "") in tables]
+            parts = [(tables[bronze_table_of(t)], F.col("topic") == t) for t in known]
+            if unrouted and len(known) < len(present):
+                parts.append((unrouted, ~F.coalesce(F.col("topic").isin(known), F.lit(False))))
+            for table, mine in parts:
+                if not has_epoch(table, query, epoch):
+                    table.append(batch.where(mine), epoch_mark(query, epoch))
         finally:
             batch.unpersist()
 
     return write
 
 
-def start(stream: DataFrame, tables: dict[str, ManagedTable], checkpoint: str, query: str = "bronze", every: str | None = "60 seconds"):
+def start(stream: DataFrame, tables: dict[str, ManagedTable], checkpoint: str, query: str = "bronze", every: str | None = "60 seconds", unrouted: ManagedTable | None = None):
     """Starts the ingest; ``every`` None takes what is there and stops."""
-    w = project_bronze(stream).writeStream.foreachBatch(router(tables, query)).option("checkpointLocation", checkpoint)
+    w = project_bronze(stream).writeStream.foreachBatch(router(tables, query, unrouted)).option("checkpointLocation", checkpoint)
     return (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()
 
 

@@ -10,9 +10,10 @@ Partition columns stay in the data files as well; directories carry them under a
 
 from __future__ import annotations
 
+import contextlib
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +23,11 @@ from tidewell.table.files import CommitConflict, create_json, delete, make_dirs,
 
 TARGET_BYTES = 128 * 1024 * 1024
 RETRIES = 5
+#: Summary entries that every later snapshot takes over from the one before.
+CARRIED = "epoch."
+#: A row in a shuffle takes about so many times the bytes it takes in a file.
+SHUFFLED = 2
+NULL_NAME = "__HIVE_DEFAULT_PARTITION__"
 
 
 def short(path: str) -> str:
@@ -94,23 +100,43 @@ class ManagedTable:
         base = f"{self.root}/data/{uuid.uuid4().hex}"
         tag = {f"_p_{c}": F.col(c) for c in self.partition} | ({} if group is None else {"_g": group})
         out, tags = df.select(*columns, *(c.alias(t) for t, c in tag.items())), list(tag)
-        if tags:
-            out = out.repartition(*tags)
-        writer = out.write.partitionBy(*tags) if tags else out.write
-        writer.parquet(base)
+        if group is not None:
+            out = out.repartition(*tags)  # a group fits into one file
+        else:
+            out = out.hint("rebalance", *map(F.col, tags)) if tags else out.hint("rebalance")
+        with self._advised():
+            (out.write.partitionBy(*tags) if tags else out.write).parquet(base)
         files = [(p, n) for p, n, _ in walk(self.spark, base) if p.endswith(".parquet")]
         if not files:
             return []
         stats = self.properties.get("stats", [])
-        read = self._read([p for p, _ in files]).select(*(F.col(c).cast("string").alias(c) for c in self.partition), *(F.col(c).alias(f"__max_{c}") for c in stats), F.col("_metadata.file_path").alias("__file"))
-        counted = {short(unquote(r["__file"])): r for r in read.groupBy("__file").agg(F.count(F.lit(1)).alias("__n"), *(F.first(c).alias(c) for c in self.partition), *(F.max(f"__max_{c}").cast("string").alias(f"__max_{c}") for c in stats)).collect()}
+        # rows are counted from footers: no column is read but those of the stats property
+        read = self._read([p for p, _ in files]).groupBy(F.col("_metadata.file_path").alias("__file"))
+        counted = {short(unquote(r["__file"])): r for r in read.agg(F.count(F.lit(1)).alias("__n"), *(F.max(c).cast("string").alias(f"__max_{c}") for c in stats)).collect()}  # a row a file
         entries = []
         for path, size in files:
             r = counted.get(short(path))
             if r:
-                entries.append({"path": path, "bytes": size, "records": r["__n"], "partition": {c: r[c] for c in self.partition}} | ({"max": {c: r[f"__max_{c}"] for c in stats}} if stats else {}))
+                entries.append({"path": path, "bytes": size, "records": r["__n"], "partition": self._partition_of(path)} | ({"max": {c: r[f"__max_{c}"] for c in stats}} if stats else {}))
         return entries
 
+    def _partition_of(self, path: str) -> dict[str, str | None]:
+        """The partition values of a new file, from the names of its folders."""
+        named = dict(x.split("=", 1) for x in short(path).split("/") if "=" in x)
+        value = {c: named[f"_p_{c}"] for c in self.partition}
+        return {c: None if v == NULL_NAME else unquote(v) for c, v in value.items()}
+
+    @contextlib.contextmanager
+    def _advised(self) -> Iterator[None]:
+        """Writes inside aim at files of the target size: AQE splits partitions beyond it, and joins those below."""
+        conf, name = self.spark.conf, "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+        before = conf.get(name, None)
+        conf.set(name, str(int(self.properties["target-bytes"]) * SHUFFLED))
+        try:
+            yield
+        finally:
+            conf.unset(name) if before is None else conf.set(name, before)
+
     def _commit(self, base: dict, operation: str, added: list[dict], removed: set[str], extra: dict | None = None, replaces: Callable[[dict], bool] | None = None) -> dict:
         """A new snapshot on top of the newest. Fails if another commit removed one of the files to remove, or, for
         ``replaces``, added files that this one would have replaced."""
@@ -133,7 +159,7 @@ class ManagedTable:
             summary = {
                 "added-data-files": str(len(added)), "deleted-data-files": str(len(gone)),
                 "added-records": str(sum(e["records"] for e in added)), "deleted-records": str(sum(e["records"] for e in gone)),
-            } | (extra or {})
+            } | {k: v for k, v in now["summary"].items() if k.startswith(CARRIED)} | (extra or {})
             snap = {
                 "version": now["version"] + 1, "snapshot_id": uuid.uuid4().hex, "parent": now["version"] or None, "committed_at": int(time.time() * 1000),
                 "operation": operation, "summary": summary, "manifests": manifests,
@@ -174,41 +200,64 @@ class ManagedTable:
         return self._commit(base, "delete", added, hit)
 
     def _files_of(self, rows: DataFrame, files: list[str]) -> set[str]:
+        return self._named(rows.select(F.col("_metadata.file_path")).distinct(), files) if files else set()
+
+    def _named(self, found: DataFrame, files: list[str]) -> set[str]:
+        """Those of ``files`` that the rows of ``found`` name, no more than the driver lists anyway."""
         by_name = {short(p): p for p in files}
-        return {by_name[short(unquote(r["f"]))] for r in rows.select(F.col("_metadata.file_path").alias("f")).distinct().collect()} if files else set()
+        return {by_name[short(unquote(r[0]))] for r in found.collect()} if files else set()
+
+    def drop_partitions(self, where: Callable[[dict], bool]) -> dict | None:
+        """Removes the files of the partitions whose values satisfy ``where``; no data is read."""
+        base = self.snapshot()
+        gone = {e["path"] for e in self._entries(base) if where(e["partition"])}
+        return self._commit(base, "delete", [], gone) if gone else None
 
     def merge(self, source: DataFrame, key: str, ignore: tuple[str, ...] = ("updated_at",)) -> dict | None:
         """Upsert by ``key``: rows that differ in any column outside ``key`` and ``ignore`` (nulls equal) are replaced, new
         ones added, equal ones keep all of their old values. Nothing to change means no snapshot.
 
-        Only files that hold a changed row are rewritten. A row whose partition moves leaves its old one. ``source`` must
-        have one row for each key; null keys match nothing and are added.
+        Keys alone find the files that hold rows of the source; only those files are compared and, if a row of them
+        changes, rewritten. A row whose partition moves leaves its old one. Two rows of ``source`` with one key raise
+        ``ValueError`` and change nothing, as it isn't told which of them should stand; null keys match nothing and are
+        added.
         """
         base = self.snapshot()
         files = [e["path"] for e in self._entries(base)]
         columns = self.spark.createDataFrame([], self.schema).columns
         compared = [c for c in columns if c != key and c not in ignore]
-        source = source.select(*columns)
-        target = self._read(files)
-        old = target.select(F.col(key).alias("__k"), F.struct(*compared).alias("__old"), (F.col("_metadata.file_path") if files else F.lit(None).cast("string")).alias("__file"))
-        both = source.join(old, source[key] == old["__k"], "left")
-        same = F.col("__old").isNotNull()
-        for c in compared:
-            same = same & F.col(c).eqNullSafe(F.col(f"__old.{c}"))
         work = f"{self.root}/data/_merge-{uuid.uuid4().hex}"
-        both.where(~same).select(*columns, "__file").write.parquet(work)
-        delta = self.spark.read.parquet(work)
-        hit_names = {short(unquote(r["__file"])) for r in delta.where(F.col("__file").isNotNull()).select("__file").distinct().collect()}
-        hit = {p for p in files if short(p) in hit_names}
-        if not hit and delta.isEmpty():
+        try:
+            source.select(*columns).write.parquet(f"{work}/source")
+            source = self.spark.read.schema(self.schema).parquet(f"{work}/source")
+            repeated = source.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(3).collect()
+            if repeated:
+                raise ValueError(f"{self.name}: several source rows for one key, as {[r[key] for r in repeated]}")
+            keys = self._read(files).select(key, (F.col("_metadata.file_path") if files else F.lit(None)).alias("__file"))
+            near = self._named(keys.join(source.select(key), key, "left_semi").select("__file").distinct(), files)
+            if not near:
+                rows, hit = source, set()
+                if source.isEmpty():
+                    return None
+            else:
+                target = self._read(sorted(near))
+                old = target.select(F.col(key).alias("__k"), F.struct(*compared).alias("__old"), F.col("_metadata.file_path").alias("__file"))
+                both = source.join(old, source[key] == old["__k"], "left")
+                same = F.col("__old").isNotNull()
+                for c in compared:
+                    same = same & F.col(c).eqNullSafe(F.col(f"__old.{c}"))
+                both.where(~same).select(*columns, "__file").write.parquet(f"{work}/delta")
+                delta = self.spark.read.parquet(f"{work}/delta")
+                hit = self._named(delta.where(F.col("__file").isNotNull()).select("__file").distinct(), files)
+                rows = delta.select(*columns)
+                if hit:
+                    changed = delta.where(F.col("__file").isNotNull()).select(key)
+                    rows = self._read(sorted(hit)).join(changed, key, "left_anti").select(*columns).unionByName(rows)
+                elif delta.isEmpty():
+                    return None
+            added = self._stage(rows)
+        finally:
             delete(self.spark, work)
-            return None
-        rows = delta.select(*columns)
-        if hit:
-            changed = delta.where(F.col("__file").isNotNull()).select(key)
-            rows = self._read(sorted(hit)).join(changed, key, "left_anti").select(*columns).unionByName(rows)
-        added = self._stage(rows)
-        delete(self.spark, work)
         return self._commit(base, "overwrite", added, hit)
 
     def changed_partitions(self, since: int, to: int | None = None) -> list[dict]:
