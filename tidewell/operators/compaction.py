@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.session import materialise, scratch
-from tidewell.table.files import create_json, make_dirs
+from tidewell.session import materialise, scratch, shipped
+from tidewell.table.files import create_json, make_dirs, read_json
 
 SMALL_BYTES = 16_384
 MIN_FILES = 5
@@ -58,20 +60,22 @@ def candidates(manifest: DataFrame, partition: list[str], size: str = "file_size
     return per.where((F.col("files") > min_files) & (F.col("bytes") < F.col("files") * small))
 
 
-def plan_bins(manifest: DataFrame, chosen: DataFrame, partition: list[str], path: str = "file_path", size: str = "file_size_in_bytes", target: int = TARGET_BYTES, block: int = BLOCK_FILES) -> DataFrame:
-    """The files of the chosen partitions with the ``bin`` each goes to, packed within its partition.
+def plan_bins(manifest: DataFrame, chosen: DataFrame, partition: list[str], on: list[str], size: str = "file_size_in_bytes", target: int = TARGET_BYTES, block: int = BLOCK_FILES) -> DataFrame:
+    """``(on..., block, bin)``: the bin that the rows of each file of the chosen partitions go to, packed within a partition.
 
-    A task packs at most about ``block`` files; a partition with more is packed in blocks by the hash of the path, which
-    costs at most one half-full bin a block.
+    Files that share all of ``on``, as when one task rolls over to a second file, can't be told apart by their rows; they
+    are packed as one. A task packs at most about ``block`` files; a partition with more is packed in blocks by the hash
+    of ``on``, which costs at most one half-full bin a block.
     """
-    files = manifest.join(chosen.select(*partition, "files"), partition)
-    blocks = F.pmod(F.xxhash64(path), F.ceil(F.col("files") / block)).cast("int")
-    files = files.select(*manifest.columns, blocks.alias("block"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema) + ", bin bigint"
+    shipped(manifest.sparkSession)
+    files = manifest.groupBy(*on).agg(F.sum(size).alias("__size")).join(chosen.select(*partition, F.col("files").alias("__files")), partition)
+    blocks = F.pmod(F.xxhash64(*on), F.ceil(F.col("__files") / block)).cast("int")
+    files = files.select(*on, "__size", blocks.alias("block"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema if f.name != "__size") + ", bin bigint"
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(path, kind="stable").reset_index(drop=True)
-        return pdf.assign(bin=first_fit_decreasing(pdf[size].fillna(0).to_numpy(np.int64), target))
+        pdf = pdf.sort_values(on, kind="stable").reset_index(drop=True)
+        return pdf.assign(bin=first_fit_decreasing(pdf["__size"].fillna(0).to_numpy(np.int64), target)).drop(columns="__size")
 
     return files.groupBy(*partition, "block").applyInPandas(pack, schema)
 
@@ -87,29 +91,47 @@ def compact(spark: SparkSession, listing: DataFrame, records: DataFrame, partiti
 
     Columns: ``partition``, ``files_before``, ``files_after``, ``n_records``. The rows of all bins are written in one
     job, each bin to one file; then rows and files are counted and checksums compared for every partition against the
-    source, and only if all agree the manifest of the new files is committed under a new version name, which either
-    appears whole or, if another writer was first, not at all. A failure before that leaves the table as it was.
+    source. Only if all agree a version is committed that names the manifest of the table from now on: every new file,
+    and every live file of the partitions left alone (``live_files`` reads it). The version either appears whole or, if
+    another writer was first, not at all. A failure before that leaves the table as it was. Null keys and sizes are
+    allowed: the former match no file, the latter count as 0. Without files or rows nothing is rewritten.
     """
     manifest = frozen_manifest(listing, records, on)
     chosen = materialise(candidates(manifest, partition, min_files=min_files, small=small), "candidates")
-    bins = plan_bins(manifest, chosen, partition, target=target).select(*on.values(), "block", "bin")
+    bins = plan_bins(manifest, chosen, partition, list(on.values()), target=target)
     columns = records.columns
     match = [records[a] == bins[b] for a, b in on.items()]
     moved = records.join(bins, match).select(*(records[c] for c in columns), F.concat_ws("-", bins["block"], bins["bin"]).alias("__bin"))
     root = root or scratch(spark, "compacted")
-    data = f"{root}/data"
+    data = f"{root}/data/{uuid.uuid4().hex}"
     # rows of one bin, at most a target file, meet in one task; it writes them to one file
     moved.repartition(*(F.col(c) for c in partition), "__bin").sortWithinPartitions(*partition, "__bin").write.partitionBy(*partition, "__bin").parquet(data)
-    written = spark.read.schema(moved.schema).parquet(data)
+    written = spark.read.schema(moved.schema).parquet(data).withColumns({"__file": F.col("_metadata.file_path"), "__bytes": F.col("_metadata.file_size")})
     before = records.join(chosen.select(*partition), partition, "left_semi").groupBy(*partition).agg(*checksum(columns))
-    after = written.groupBy(*partition).agg(*checksum(columns), F.count_distinct("__bin").alias("files_after"))
-    named = [f"{x} AS {x}_after" for x in ("n", "lo", "hi")]
-    both = before.join(after.selectExpr(*partition, *named, "files_after"), partition, "left")
+    added = materialise(written.groupBy(*partition, "__file", "__bytes").agg(*checksum(columns)), "added-files")
+    after = added.groupBy(*partition).agg(*(F.sum(c).alias(f"{c}_after") for c in ("n", "lo", "hi")), F.count(F.lit(1)).alias("files_after"))
+    both = before.join(after, partition, "left")
     both = both.join(chosen.select(*partition, F.col("files").alias("files_before")), partition)
     report = materialise(both, "verified")
     wrong = report.where(~(F.col("n").eqNullSafe(F.col("n_after")) & F.col("lo").eqNullSafe(F.col("lo_after")) & F.col("hi").eqNullSafe(F.col("hi_after")))).limit(5).collect()
     if wrong:
         raise RuntimeError(f"rewritten rows differ, nothing is committed: {wrong}")
-    make_dirs(spark, f"{root}/metadata")
-    create_json(spark, f"{root}/metadata/v1.json", {"operation": "replace", "data": data, "partitions": report.count()})
+    _commit(spark, root, manifest, chosen, added, partition, report.count())
     return report.select(*partition, "files_before", "files_after", F.col("n").alias("n_records"))
+
+
+def _commit(spark: SparkSession, root: str, manifest: DataFrame, chosen: DataFrame, added: DataFrame, partition: list[str], rewritten: int) -> None:
+    """Version 1 on top of the listing. The manifest is written by tasks, as it may name millions of files; the driver
+    writes only its name."""
+    kept = manifest.join(chosen.select(*partition), partition, "left_anti")
+    live = kept.select(*partition, "file_path", F.col("file_size_in_bytes").alias("bytes"), F.col("rows_held").alias("records"), F.lit(False).alias("rewritten"))
+    live = live.unionByName(added.select(*partition, F.col("__file").alias("file_path"), F.col("__bytes").alias("bytes"), F.col("n").alias("records"), F.lit(True).alias("rewritten")))
+    make_dirs(spark, f"{root}/metadata")
+    name = f"{root}/metadata/manifest-{uuid.uuid4().hex}"
+    live.write.parquet(name)
+    create_json(spark, f"{root}/metadata/v1.json", {"operation": "replace", "manifest": name, "rewritten_partitions": rewritten})
+
+
+def live_files(spark: SparkSession, root: str) -> DataFrame:
+    """``(partition..., file_path, bytes, records, rewritten)``: the files of the committed table."""
+    return spark.read.parquet(read_json(spark, f"{root}/metadata/v1.json")["manifest"])
