@@ -10,16 +10,21 @@ SUSPECT_SHARE = 0.005
 SKETCH_ITEMS = 2000
 
 
-def suspects(df: DataFrame, key: str, share: float = SUSPECT_SHARE, items: int = SKETCH_ITEMS) -> list[str]:
-    """The keys (as strings) that may hold more than ``share`` of the rows, from a mergeable frequent-items sketch.
+def suspects(df: DataFrame, keys: tuple[str, ...], share: float = SUSPECT_SHARE, items: int = SKETCH_ITEMS) -> tuple[dict[str, list[str]], int]:
+    """For each key column the values (as strings) that may hold more than ``share`` of the rows, from mergeable
+    frequent-items sketches, and the number of all rows: one scan for all columns.
 
-    At most ``1 / share`` keys plus the sketch's error reach the driver. They only decide where salt is added, so a
-    missed or superfluous suspect changes no result.
+    At most ``1 / share`` values a column plus the sketch's error reach the driver. They only decide where salt is added,
+    so a missed or superfluous suspect changes no result.
     """
-    top = df.where(F.col(key).isNotNull()).agg(
-        F.expr(f"approx_top_k(cast(`{key}` as string), {min(items, int(2 / share))}, {items * 4})").alias("top"), F.count(F.lit(1)).alias("n")
-    ).first()
-    return [x["item"] for x in top["top"] or [] if x["count"] > share * top["n"]]
+    sketch = lambda k: F.expr(f"approx_top_k(cast(`{k}` as string), {min(items, int(2 / share))}, {items * 4}) FILTER (WHERE `{k}` IS NOT NULL)")
+    top = df.agg(*(sketch(k).alias(f"top_{n}") for n, k in enumerate(keys)), F.count(F.lit(1)).alias("n")).first()
+    return {k: [x["item"] for x in top[f"top_{n}"] or [] if x["count"] > share * top["n"]] for n, k in enumerate(keys)}, top["n"]
+
+
+def _salt(name: Column, heavy: list[str], salts: int, seed: int) -> Column:
+    hot = name.isNull() | name.isin(heavy) if heavy else name.isNull()
+    return F.when(hot, F.floor(F.rand(seed) * salts).cast("int")).otherwise(F.lit(0))
 
 
 def salted_aggregate(
@@ -32,33 +37,24 @@ def salted_aggregate(
     null keys form a group of their own, salted as well. The salt is seeded, and drawn right above the scan, so that a
     task run again draws the same.
     """
-    heavy = suspects(df, key) if heavy is None else heavy
+    heavy = suspects(df, (key,))[0][key] if heavy is None else heavy
     name = F.col(key).cast("string")
-    hot = name.isNull() | name.isin(heavy) if heavy else name.isNull()
-    salt = F.when(hot, F.floor(F.rand(seed) * salts).cast("int")).otherwise(F.lit(0))
-    first = df.withColumn("__salt", salt).withColumn("__key", name).groupBy("__key", "__salt").agg(*(c.alias(n) for n, c in partial.items()))
+    first = df.withColumn("__salt", _salt(name, heavy, salts, seed)).withColumn("__key", name).groupBy("__key", "__salt").agg(*(c.alias(n) for n, c in partial.items()))
     return first.groupBy(F.col("__key").alias("key_value")).agg(*(c.alias(n) for n, c in merge.items()))
 
 
-def heavy_keys(df: DataFrame, keys: tuple[str, ...], share: float = 0.02) -> DataFrame:
+def heavy_keys(df: DataFrame, keys: tuple[str, ...], share: float = 0.02, salts: int = SALTS, seed: int = 7) -> DataFrame:
     """``(key_column, key_value, n_rows, share)`` of each non-null value held by more than ``share`` of all rows.
 
-    Exact: the counts are those of the salted aggregation over every row, and the total is their sum, null keys included.
-    An empty table has no heavy key.
+    Exact: the counts are those of the salted aggregation over every row, null keys included in the total. One scan
+    suspects, a second counts all key columns at once. An empty table has no heavy key.
     """
-    parts = []
-    for k in keys:
-        counted = salted_aggregate(df, k, {"n": F.count(F.lit(1))}, {"n_rows": F.sum("n")})
-        parts.append(counted.select(F.lit(k).alias("key_column"), "key_value", "n_rows"))
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
-    total = union.groupBy("key_column").agg(F.sum("n_rows").alias("total"))
-    return (
-        union.join(F.broadcast(total), "key_column")  # one row for each of the named key columns
-        .where(F.col("key_value").isNotNull() & (F.col("n_rows") > F.col("total") * share))
-        .select("key_column", "key_value", "n_rows", (F.col("n_rows") / F.col("total")).alias("share"))
-    )
+    heavy, total = suspects(df, keys)
+    one = lambda n, k: F.struct(F.lit(k).alias("key_column"), F.col(k).cast("string").alias("key_value"), _salt(F.col(k).cast("string"), heavy[k], salts, seed + n).alias("salt"))
+    rows = df.select(F.explode(F.array(*(one(n, k) for n, k in enumerate(keys)))).alias("k")).select("k.*").where(F.col("key_value").isNotNull())
+    counted = rows.groupBy("key_column", "key_value", "salt").agg(F.count(F.lit(1)).alias("n")).groupBy("key_column", "key_value").agg(F.sum("n").alias("n_rows"))
+    part = F.try_divide(F.col("n_rows"), F.lit(total))
+    return counted.where(F.col("n_rows") > F.lit(total) * F.lit(share)).select("key_column", "key_value", "n_rows", part.alias("share"))
 
 
 def funnel_by_key(events: DataFrame, key: str) -> DataFrame:
