@@ -25,6 +25,7 @@ def build_session(app: str = "tidewell", master: str | None = None, **conf: str)
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
+        "spark.task.maxFailures": "4",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     } | conf
@@ -37,9 +38,14 @@ def build_session(app: str = "tidewell", master: str | None = None, **conf: str)
 
 def utc(spark: SparkSession) -> SparkSession:
     """Partitions, hours and dates are UTC whatever the caller's session says; executors get the package."""
-    _ship(spark.sparkContext.applicationId)
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return shipped(spark)
+
+
+def shipped(spark: SparkSession) -> SparkSession:
+    """The session, whose Python workers have this package from now on. Every operator that runs Python calls it."""
+    _ship(spark.sparkContext.applicationId)
     return spark
 
 
@@ -105,6 +111,7 @@ def _clear_at_exit(application: str) -> None:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, kept until the application ends."""
+    shipped(spark)
     _clear_at_exit(spark.sparkContext.applicationId)
     return f"{_own(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
