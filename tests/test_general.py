@@ -17,7 +17,7 @@ from tidewell.functions.ids import bare_id, json_object, message_id, spelled
 from tidewell.operators import compaction, dedup_index, late_events, multires, schema_drift, sessions, skew
 from tidewell.operators.standing import standing_events
 from tidewell.schemas import WIRE
-from tidewell.table.files import walk
+from tidewell.table.files import CommitConflict, walk
 
 UUID = "8f52ae3a-038b-46b5-bfa4-112ec047145e"
 T0 = dt.datetime(2024, 1, 2, 10)
@@ -325,10 +325,23 @@ def test_compaction(spark, path):
     listing, rows = listing_and_rows(spark)
     got = compaction.compact(spark, listing, rows, ["dt", "hour"], FILE_OF_ROW, root=path).collect()
     assert [(r["hour"], r["files_before"], r["files_after"], r["n_records"]) for r in got] == [(1, 7, 1, 14)]
-    written = spark.read.schema(rows.schema).parquet(f"{path}/data").select(rows.columns)
+    live = compaction.live_files(spark, path).collect()
+    new = [r["file_path"] for r in live if r["rewritten"]]
+    written = spark.read.option("basePath", new[0].rpartition("/dt=")[0]).schema(rows.schema).parquet(*new).select(rows.columns)
     assert Counter(written.collect()) == Counter(rows.where("hour = 1").collect())
-    with pytest.raises(Exception):
+    # every live file of the table is in the committed manifest, once
+    assert sorted(r["file_path"] for r in live if not r["rewritten"]) == sorted(f"f{h}-{k}" for h, n in ((2, 5), (3, 9)) for k in range(n))
+    assert sum(r["records"] for r in live) == rows.count()
+    with pytest.raises(CommitConflict):
         compaction.compact(spark, listing, rows, ["dt", "hour"], FILE_OF_ROW, root=path)  # taken
+    assert {r["file_path"] for r in compaction.live_files(spark, path).collect()} == {r["file_path"] for r in live}
+
+
+def test_compaction_of_files_that_share_their_key(spark, path):
+    files = [(f"f{k}", "2024-01-02", 1, 0, 2, 100, at(k // 2)) for k in range(8)]  # a task rolled over to a second file
+    rows = [("k", f"v{k}", "2024-01-02", 1, 0, at(k // 2)) for k in range(8)] * 2
+    got = compaction.compact(spark, spark.createDataFrame(files, LISTING), spark.createDataFrame(rows, CLICKS), ["dt", "hour"], FILE_OF_ROW, root=path, target=450).collect()
+    assert [(r["files_before"], r["files_after"], r["n_records"]) for r in got] == [(8, 2, 16)]
 
 
 def test_compaction_splits_by_target(spark, path):
@@ -346,7 +359,7 @@ def test_compaction_nothing_to_do(spark, path):
 def test_plan_in_blocks(spark):
     listing, rows = listing_and_rows(spark)
     m = compaction.frozen_manifest(listing, rows, FILE_OF_ROW)
-    plan = compaction.plan_bins(m, compaction.candidates(m, ["dt", "hour"]), ["dt", "hour"], block=3).collect()
+    plan = compaction.plan_bins(m, compaction.candidates(m, ["dt", "hour"]), ["dt", "hour"], list(FILE_OF_ROW.values()), block=3).collect()
     assert len(plan) == 7 and len({r["block"] for r in plan}) > 1
 
 
@@ -379,13 +392,48 @@ def test_arrivals_and_cut_off(spark):
     assert c[h - 7200]["n_click"] == 1 and c[h - 7200]["corrections"] == 1
 
 
+ARRIVED = "event_type string, source string, event_timestamp timestamp, arrival timestamp"
+
+
 def test_period_closes_when_every_source_passed(spark):
-    e = spark.createDataFrame([("click", s, at(0), at(a)) for s, a in (("a", 10), ("a", 90000 + 100), ("b", 20), ("b", 90000 + 5000), ("idle", 30))], "event_type string, source string, event_timestamp timestamp, arrival timestamp")
-    r = late_events.closings(late_events.punctuate(e), idle=6 * 3600).first()
+    e = spark.createDataFrame([("click", s, at(0), at(a)) for s, a in (("a", 10), ("a", 90000 + 100), ("b", 20), ("b", 90000 + 5000), ("idle", 30))], ARRIVED)
+    close = lambda df, **kw: late_events.closings(late_events.low_watermarks(late_events.periods(df), **kw)).first()
+    h = int((T0 - dt.datetime(1970, 1, 1)).total_seconds())
+    r = close(e, idle=6 * 3600)
+    assert r["closed_us"] / 1e6 - h == 3600 + 86400 + 6 * 3600 and r["active_sources"] == 2  # the idle one is waited for no longer
+    assert close(e.where("source <> 'idle'"))["closed_us"] / 1e6 - h == 90000 + 5000
+
+
+def test_watermarks_decide(spark):
+    e = spark.createDataFrame(
+        [("click", s, None if t is None else at(t), None if a is None else at(a)) for s, t, a in (("a", 0, 10), ("a", 1, 90000), ("a", 2, 90001), ("a", 3, 90900), ("b", 4, 94000), (None, 5, 20), ("c", -50_000, 30_000), ("c", 100_000, None), ("c", None, 5))], ARRIVED
+    ).withColumns({"src": F.lit("clash"), "slot": F.lit(1), "first": F.lit(2)})
+    p = late_events.punctuate(e)
+    assert {r["arrival"] for r in p.where("diverted").collect()} == {at(90001), at(90900), at(94000)}
+    assert set(e.columns) <= set(p.columns) and {r["src"] for r in p.collect()} == {"clash"}
     h = int((T0 - dt.datetime(1970, 1, 1)).total_seconds())
-    assert r["closed_at"] - h == 3600 + 86400 + 6 * 3600 and r["active_sources"] == 2  # the idle one is waited for no longer
-    r = late_events.closings(late_events.punctuate(e.where("source <> 'idle'"))).first()
-    assert r["closed_at"] - h == 90000 + 5000
+    counts = lambda **kw: {r["period_start"] - h: r for r in late_events.corrected_counts(late_events.punctuate(e, **kw), ("click",)).collect()}
+    # c and the nameless source never pass: the time-out closes the hour
+    assert (counts()[0]["n_diverted"], counts()[0]["n_after_close"], counts()[0]["closed_at"] - h) == (3, 0, 90000 + 21600)
+    assert (counts(idle=600)[0]["n_diverted"], counts(idle=600)[0]["n_after_close"], counts(idle=600)[0]["closed_at"] - h) == (3, 2, 90600)
+    assert counts(lateness=7200 + 7)[0]["n_diverted"] == 4  # not a whole number of periods
+    later = e.unionByName(spark.createDataFrame([("click", "d", at(0), at(90300))], ARRIVED).withColumns({"src": F.lit("x"), "slot": F.lit(1), "first": F.lit(2)}))
+    assert late_events.corrected_counts(late_events.punctuate(later, idle=900), ("click",)).where(f"period_start = {h}").first()["active_sources"] == 2
+
+
+def test_watermark_is_in_the_plan(spark):
+    from tidewell.plans import problems
+
+    from conftest import SF
+
+    plan = problems.p6_found(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "punctuated_us" in plan and "Join" in plan and "watermarks" in plan
+
+
+def test_punctuations_too_many_to_send(spark, monkeypatch):
+    monkeypatch.setattr(late_events, "BROADCAST_MARKS", 0)
+    e = spark.createDataFrame([("click", "a", at(k), at(k * 4000)) for k in range(40)], ARRIVED)
+    assert late_events.punctuate(e).where("diverted").count() == sum(k * 4000 > 90000 for k in range(40))
 
 
 def test_late_empty(spark):
@@ -402,7 +450,7 @@ def test_index_over_batches(spark, path):
     for call in range(dedup_index.MAX_RUNS + 3):
         rows = [(rng.choice([None, *(f"id{k}" for k in range(60))]) if rng.random() < 0.9 else "hot", f"b{rng.randrange(3)}", k) for k in range(120)]
         df = spark.createDataFrame(rows, "i string, b string, o bigint").withColumn("id", F.lit("clash"))
-        index = dedup_index.IdentifierIndex(spark, path, prefixes=4)
+        index = dedup_index.IdentifierIndex(spark, path, bits=2)
         got = {(r["id"], r["batch"]): (r["n"], r["known"]) for r in index.ingest(df, bare_id("i"), F.col("b"), F.col("o")).collect()}
         want, now = {}, set(seen)
         for b in ("b0", "b1", "b2"):
@@ -415,6 +463,52 @@ def test_index_over_batches(spark, path):
     assert len(dedup_index.IdentifierIndex(spark, path).live) < dedup_index.MAX_RUNS
 
 
+def test_index_outlives_a_crash(spark, path, monkeypatch):
+    df = spark.createDataFrame([("x", "1", 5), ("y", "1", 3)], "i string, b string, o bigint")
+    by = bare_id("i"), F.col("b"), F.col("o")
+
+    def lost(*_):
+        raise OSError("executor lost")
+
+    index = dedup_index.IdentifierIndex(spark, path)
+    with monkeypatch.context() as m:
+        m.setattr(dedup_index, "create_json", lost)
+        with pytest.raises(OSError):
+            index.ingest(df, *by)
+    again = dedup_index.IdentifierIndex(spark, path)
+    other = dedup_index.IdentifierIndex(spark, path)
+    assert {r["known"] for r in again.ingest(df, *by).collect()} == {False}
+    with pytest.raises(CommitConflict):  # two writers at a time
+        other.ingest(spark.createDataFrame([("z", "1", 1)], "i string, b string, o bigint"), *by)
+    last = dedup_index.IdentifierIndex(spark, path)
+    assert {r["id"]: r["known"] for r in last.ingest(spark.createDataFrame([("x", "2", 5), ("z", "2", 3)], "i string, b string, o bigint"), *by).collect()} == {"x": True, "z": False}
+
+
+def test_index_prefixes_grow(spark, path):
+    by = bare_id("i"), F.col("b"), F.col("o")
+    make = lambda ids: spark.createDataFrame([(f"id{k}", "b", k) for k in ids], "i string, b string, o bigint")
+    calls = [range(3), range(2, 400), range(300, 2000), range(1990, 2100), range(0, 2200)]
+    seen: set = set()
+    for ids in calls:
+        index = dedup_index.IdentifierIndex(spark, path, bits=1, max_runs=4, ids_per_prefix=50)
+        got = {int(r["id"][2:]): r["known"] for r in index.ingest(make(ids), *by).collect()}
+        assert got == {k: k in seen for k in ids}
+        seen |= set(ids)
+    assert index.bits >= 5 and max(int(p.rpartition("/")[2][:-4]) for p, _, _ in walk(spark, f"{path}/runs") if p.endswith(".npy")) >= 31
+    sizes = [len(dedup_index._load(p)) for p, _, _ in walk(spark, f"{path}/runs/{index.live[-1]['name']}") if p.endswith(".npy")]
+    assert sizes and max(sizes) < 150
+
+
+def test_index_in_slices(spark, path):
+    rows = [(f"id{k % 37}", f"b{k % 7}", k) for k in range(300)] + [(None, "b1", 0), ("id1", None, 5)]
+    df = spark.createDataFrame(rows, "i string, b string, o bigint")
+    by = bare_id("i"), F.col("b"), F.col("o")
+    index = dedup_index.IdentifierIndex(spark, path + "/s", max_runs=3)
+    whole = dedup_index.IdentifierIndex(spark, path + "/w").ingest(df, *by)
+    assert Counter(index.ingest_slices(df, *by, slices=3).collect()) == Counter(whole.collect()) and index.version == 3 and len(index.live) == 1
+    assert dedup_index.IdentifierIndex(spark, path + "/e").ingest_slices(df.limit(0), *by, slices=3).count() == 0
+
+
 def test_index_copies_and_kept(spark, path):
     df = spark.createDataFrame([("x", "1", 5), ("X", "1", 3), ("y", "1", 1), ("y", "2", 2), ("z", "2", 9), (None, "2", 1), ("q\u0000", None, 1)], "i string, b string, o bigint")
     r = dedup_index.IdentifierIndex(spark, path).ingest(df, bare_id("i"), F.col("b"), F.col("o"))

@@ -1,9 +1,11 @@
 """Per-period aggregates by event time, corrected as late records arrive, with a cut-off for lateness.
 
-Each source punctuates its own stream: by arrival time ``a`` it declares the periods that ended ``lateness`` or more
-before ``a`` finished. A record that reaches such a period afterwards breaks its source's bound and is diverted. A period
-closes for all when the low watermark passes it, that is when every source has shown an arrival past the bound; a source
-silent for ``idle`` after the bound counts as idle and holds nothing back.
+Each source has a low watermark of its own: the arrivals it has shown so far, less ``lateness``. Its first arrival past a
+period's bound (the period's end and ``lateness``) is its punctuation for the period: it declares the period over for
+the source, and itself and what the source brings for that period from then on is diverted. Since a record is an arrival
+of its own source, that diverts exactly the records beyond the bound, whatever the other sources do. A period closes for
+all, and its counts are final, when every source has punctuated it; a source silent for ``idle`` after the bound counts
+as idle and holds nothing back.
 """
 
 from __future__ import annotations
@@ -12,10 +14,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.ids import bare_id, message_id
+from tidewell.session import materialise
 
 PERIOD = 3600
 LATENESS = 24 * 3600
 IDLE = 6 * 3600
+#: Punctuations (one for each source and period) up to which they are sent to all tasks: about 40 MB.
+BROADCAST_MARKS = 500_000
 
 
 def arrivals(events: DataFrame, messages: DataFrame, *columns: str) -> DataFrame:
@@ -42,52 +47,81 @@ def seconds(c: Column | str) -> Column:
     return F.unix_micros(F.col(c) if isinstance(c, str) else c)
 
 
-def punctuate(events: DataFrame, ts: str = "event_timestamp", arrival: str = "arrival", period: int = PERIOD, lateness: int = LATENESS) -> DataFrame:
-    """Events with ``period_start`` (epoch seconds), ``delay_us`` past the period's end, and ``diverted``.
+def periods(events: DataFrame, ts: str = "event_timestamp", arrival: str = "arrival", source: str = "source", period: int = PERIOD) -> DataFrame:
+    """Events with ``period_start`` (epoch seconds), ``delay_us`` of the arrival past the period's end, and ``__src``.
 
-    Events without time have no period and are left out. One without arrival is taken as on time.
+    Events without time have no period and are left out. One without arrival is taken as on time, one without source as
+    of a source with an empty name.
     """
     us = F.col("__us")
     start = F.expr(f"(__us - pmod(__us, {period * 1_000_000}L)) div 1000000")
     e = events.where(F.col(ts).isNotNull()).withColumn("__us", seconds(ts)).withColumn("period_start", start)
     delay = seconds(arrival) - (F.col("period_start") + period) * 1_000_000
-    e = e.withColumn("delay_us", F.coalesce(delay, F.lit(0)))
-    return e.withColumn("diverted", F.col("delay_us") > lateness * 1_000_000).drop(us)
+    return e.withColumns({"delay_us": F.coalesce(delay, F.lit(0)), "__src": F.coalesce(F.col(source), F.lit(""))}).drop(us)
 
 
-def closings(events: DataFrame, source: str = "source", arrival: str = "arrival", period: int = PERIOD, lateness: int = LATENESS, idle: int = IDLE) -> DataFrame:
-    """``(period_start, closed_at, open_sources)``: when the low watermark over all sources passes each period.
+def low_watermarks(events: DataFrame, arrival: str = "arrival", period: int = PERIOD, lateness: int = LATENESS, idle: int = IDLE) -> DataFrame:
+    """``(period_start, __src, bound_us, punctuated_us, passed_us, active)`` for every source and every period there is.
 
-    Works on punctuations, one for each source and arrival hour; their number follows elapsed time, not events.
+    ``punctuated_us`` is the source's first arrival past the bound, null if it shows none; ``passed_us`` the time from
+    which it holds the period open no longer: that arrival, or ``idle`` after the bound if it comes later or never.
+    ``events`` come from ``periods``. One aggregation per source and arrival period leaves a row for each stretch of
+    elapsed time, so that what is sorted per source follows time, not events.
     """
-    name = F.coalesce(F.col(source), F.lit(""))
-    marks = events.where(F.col(arrival).isNotNull()).groupBy(name.alias("src"), F.expr(f"(unix_micros({arrival}) div 1000000) div {period}").alias("slot"))
-    marks = marks.agg(F.min(F.expr(f"unix_micros({arrival}) div 1000000")).alias("first"))
-    sources = [r["src"] for r in marks.select("src").distinct().collect()]  # the producers, as many as are declared
-    asked = events.select("period_start").distinct().withColumn("src", F.explode(F.array(*map(F.lit, sources)) if sources else F.array(F.lit(""))))
-    bound = F.col("period_start") + period + lateness
-    both = marks.select("src", F.col("first").alias("at"), "first", F.lit(None).cast("bigint").alias("period_start"))
-    both = both.unionByName(asked.select("src", bound.alias("at"), F.lit(None).cast("bigint").alias("first"), "period_start"))
-    ahead = Window.partitionBy("src").orderBy(F.col("at"), F.col("first").isNotNull()).rowsBetween(0, Window.unboundedFollowing)
-    nxt = both.withColumn("passed", F.min("first").over(ahead)).where(F.col("period_start").isNotNull())
-    by = F.when(F.col("passed") - F.col("at") <= idle, F.col("passed")).otherwise(F.col("at") + idle)
-    return nxt.groupBy("period_start").agg(F.max(by).alias("closed_at"), F.count_if(F.col("passed") - F.col("at") <= idle).alias("active_sources"))
-
-
-def diverted(events: DataFrame, source: str = "source", period: int = PERIOD, lateness: int = LATENESS, idle: int = IDLE) -> DataFrame:
-    """The events beyond their source's bound, with the time their period closed for all sources."""
-    closed = closings(events, source, period=period, lateness=lateness, idle=idle)
-    return events.where("diverted").join(closed, "period_start", "left")
-
-
-def corrected_counts(events: DataFrame, kinds: tuple[str, ...], kind: str = "event_type", source: str = "source", period: int = PERIOD, lateness: int = LATENESS, idle: int = IDLE) -> DataFrame:
-    """For each period: first counts at its end, final counts after corrections, diverted events and the closing time.
-
-    ``events`` come from ``punctuate``. Kinds outside ``kinds`` (null too) count in n_other.
+    late, long = lateness * 1_000_000, period * 1_000_000
+    # an arrival lies past the bounds of all periods up to the one of its slot
+    slot = F.expr(f"(unix_micros({arrival}) - 1 - {late}L - pmod(unix_micros({arrival}) - 1 - {late}L, {long}L)) div {long}L")
+    seen = events.groupBy("__src", "period_start", slot.alias("slot")).agg(F.min(seconds(arrival)).alias("first"))
+    marks = seen.where(F.col("slot").isNotNull()).groupBy("__src", "slot").agg(F.min("first").alias("first"))
+    sources = [r["__src"] for r in seen.select("__src").distinct().collect()]  # the producers, as many as are declared
+    every = seen.select("period_start").distinct().withColumn("__src", F.explode(F.array(*map(F.lit, sources)) if sources else F.array(F.lit(""))))
+    asked = every.select("__src", F.expr(f"period_start div {period}L + 1").alias("slot"), F.lit(None).cast("bigint").alias("first"), "period_start")
+    both = marks.select("__src", "slot", "first", F.lit(None).cast("bigint").alias("period_start")).unionByName(asked)
+    ahead = Window.partitionBy("__src").orderBy(F.col("slot"), F.col("first").isNotNull()).rowsBetween(0, Window.unboundedFollowing)
+    bound = (F.col("period_start") + period) * 1_000_000 + late
+    m = both.withColumn("punctuated_us", F.min("first").over(ahead)).where(F.col("period_start").isNotNull()).withColumn("bound_us", bound)
+    active = F.coalesce(F.col("punctuated_us") - F.col("bound_us") <= idle * 1_000_000, F.lit(False))
+    passed = F.when(active, F.col("punctuated_us")).otherwise(F.col("bound_us") + idle * 1_000_000)
+    return m.select("period_start", "__src", "bound_us", "punctuated_us", passed.alias("passed_us"), active.alias("active"))
+
+
+def closings(marks: DataFrame) -> DataFrame:
+    """``(period_start, closed_us, active_sources)``: when every source has passed each period, from ``low_watermarks``."""
+    return marks.groupBy("period_start").agg(F.max("passed_us").alias("closed_us"), F.count_if("active").alias("active_sources"))
+
+
+def punctuate(events: DataFrame, ts: str = "event_timestamp", arrival: str = "arrival", source: str = "source", period: int = PERIOD, lateness: int = LATENESS, idle: int = IDLE) -> DataFrame:
+    """The events of ``periods`` with ``diverted``, ``closed_us`` and ``active_sources`` of their period.
+
+    A record is diverted if its source had punctuated the period by the record's arrival. The punctuations go to all
+    tasks if they are few enough, which is counted; else they are joined by source and period, where AQE splits what is
+    skewed. ``events`` are read twice, so they should be written down.
+    """
+    e = periods(events, ts, arrival, source, period)
+    marks = materialise(low_watermarks(e, arrival, period, lateness, idle), "watermarks")
+    m = marks.join(closings(marks), "period_start").select("period_start", "__src", "punctuated_us", "closed_us", "active_sources")
+    if marks.count() <= BROADCAST_MARKS:
+        m = F.broadcast(m)
+    joined = e.join(m, ["period_start", "__src"])
+    return joined.withColumn("diverted", F.coalesce(seconds(arrival) >= F.col("punctuated_us"), F.lit(False))).drop("punctuated_us", "__src")
+
+
+def diverted(events: DataFrame) -> DataFrame:
+    """The events beyond their source's bound, beside the time their period closed for all sources."""
+    return events.where("diverted")
+
+
+def corrected_counts(events: DataFrame, kinds: tuple[str, ...], kind: str = "event_type", arrival: str = "arrival") -> DataFrame:
+    """For each period: first counts at its end, final counts at its closing, corrections, diverted events, closing time.
+
+    ``events`` come from ``punctuate``. Kinds outside ``kinds`` (null too) count in n_other. ``n_after_close`` are the
+    diverted events that came when the period was closed for all sources; the other diverted ones met a period that
+    another source still held open.
     """
     on_time, late = F.col("delay_us") <= 0, ~F.col("diverted")
     one = {k: F.coalesce(F.col(kind) == k, F.lit(False)) for k in kinds}
     one["other"] = ~F.coalesce(F.col(kind).isin(*kinds), F.lit(False))
     agg = [F.count_if(c & on_time).alias(f"first_{k}") for k, c in one.items()] + [F.count_if(c & late).alias(f"n_{k}") for k, c in one.items()]
-    counted = events.groupBy("period_start").agg(*agg, F.count_if(late & ~on_time).alias("corrections"), F.count_if("diverted").alias("n_diverted"))
-    return counted.join(closings(events, source, period=period, lateness=lateness, idle=idle), "period_start", "left")
+    after = F.col("diverted") & (seconds(arrival) >= F.col("closed_us"))
+    closed = [F.expr("max(closed_us) div 1000000").alias("closed_at"), F.max("active_sources").alias("active_sources")]
+    return events.groupBy("period_start").agg(*agg, F.count_if(late & ~on_time).alias("corrections"), F.count_if("diverted").alias("n_diverted"), F.count_if(after).alias("n_after_close"), *closed)

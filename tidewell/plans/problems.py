@@ -12,6 +12,7 @@ from tidewell.schemas import EVENT_TYPES, WIRE
 from tidewell.session import materialise, scratch
 from tidewell.sources.tables import load, spread
 
+SLICES = 3
 FILE_OF_ROW = {"dt": "dt", "hour": "hour", "kafka_partition": "kafka_partition", "ingested_at": "committed_at"}
 
 
@@ -26,7 +27,7 @@ def _sessions(spark: SparkSession, d: str) -> DataFrame:
 
 def _punctuated(spark: SparkSession, d: str) -> DataFrame:
     events = late_events.arrivals(load(spark, d, "processed_events"), load(spark, d, "ad_clicks"), "event_timestamp", "event_type", "source")
-    return materialise(late_events.punctuate(events), "punctuated")
+    return late_events.punctuate(materialise(events, "arrivals"))
 
 
 def _compacted(spark: SparkSession, d: str) -> DataFrame:
@@ -34,14 +35,18 @@ def _compacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _ingested(spark: SparkSession, d: str, table: str) -> tuple[DataFrame, DataFrame, tuple[Column, Column, Column]]:
-    """The table, the result of its ingestion, and the identifier, batch and order it went by."""
+    """The table, the result of its ingestion, and the identifier, batch and order it went by.
+
+    The days of arrival go in three calls, one after the other: the second is searched in the persisted arrays of the
+    first, and the third merges the runs of both.
+    """
     df = load(spark, d, table)
-    index = dedup_index.IdentifierIndex(spark, scratch(spark, f"index-{table}"))
+    index = dedup_index.IdentifierIndex(spark, scratch(spark, f"index-{table}"), max_runs=SLICES)
     if table == "ad_clicks":
         by = message_id("value"), F.col("dt"), F.unix_micros("kafka_timestamp")
     else:
         by = bare_id("event_id"), F.to_date("updated_at"), F.unix_micros("updated_at")
-    return df, index.ingest(df, *by), by
+    return df, index.ingest_slices(df, *by, slices=SLICES), by
 
 
 def _indexed(spark: SparkSession, d: str, table: str) -> DataFrame:
@@ -202,12 +207,12 @@ def _hourly_sql() -> str:
     one = {k: f"event_type = '{k}'" for k in EVENT_TYPES} | {"other": f"coalesce(event_type, '') NOT IN ({', '.join(repr(k) for k in EVENT_TYPES)})"}
     wait = "coalesce(delay_us, 0)"
     counts = [f"count(*) FILTER ({c} AND {wait} <= 0) AS first_{k}, count(*) FILTER ({c} AND {wait} <= 86400000000) AS n_{k}" for k, c in one.items()]
-    return f"""{_ARRIVAL}, q AS (SELECT DISTINCT coalesce(source, '') AS src, epoch_us(arrival) // 1000000 AS at FROM b WHERE arrival IS NOT NULL),
- x AS (SELECT period_start, src, period_start + 90000 AS bound FROM (SELECT DISTINCT period_start FROM b), (SELECT DISTINCT src FROM q)),
- y AS (SELECT x.period_start, x.src, x.bound, min(q.at) AS passed FROM x LEFT JOIN q ON q.src = x.src AND q.at >= x.bound GROUP BY ALL),
- z AS (SELECT period_start, max(CASE WHEN passed - bound <= 21600 THEN passed ELSE bound + 21600 END) AS closed_at, count(*) FILTER (passed - bound <= 21600) AS active_sources FROM y GROUP BY period_start),
- c AS (SELECT period_start, {', '.join(counts)}, count(*) FILTER ({wait} > 0 AND {wait} <= 86400000000) AS corrections, count(*) FILTER ({wait} > 86400000000) AS n_diverted FROM b GROUP BY period_start)
- SELECT * FROM c LEFT JOIN z USING (period_start)"""
+    return f"""{_ARRIVAL}, q AS (SELECT DISTINCT coalesce(source, '') AS src, epoch_us(arrival) AS at FROM b WHERE arrival IS NOT NULL),
+ x AS (SELECT period_start, src, (period_start + 90000) * 1000000 AS bound FROM (SELECT DISTINCT period_start FROM b), (SELECT DISTINCT coalesce(source, '') AS src FROM b)),
+ y AS (SELECT x.period_start, x.src, x.bound, q.at AS passed FROM x ASOF LEFT JOIN q ON q.src = x.src AND q.at > x.bound),
+ z AS (SELECT period_start, max(CASE WHEN passed - bound <= 21600000000 THEN passed ELSE bound + 21600000000 END) AS closed_us, count(*) FILTER (passed - bound <= 21600000000) AS active_sources FROM y GROUP BY period_start)
+ SELECT period_start, {', '.join(counts)}, count(*) FILTER ({wait} > 0 AND {wait} <= 86400000000) AS corrections, count(*) FILTER ({wait} > 86400000000) AS n_diverted,
+  count(*) FILTER ({wait} > 86400000000 AND epoch_us(arrival) >= closed_us) AS n_after_close, any_value(closed_us) // 1000000 AS closed_at, any_value(active_sources) AS active_sources FROM b JOIN z USING (period_start) GROUP BY period_start"""
 
 
 SQL = {
