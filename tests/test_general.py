@@ -103,6 +103,26 @@ def test_drift_nothing(spark):
     assert found(spark, native(), None) == set()
 
 
+def test_drift_is_alike_at_every_size(spark):
+    few = [native(bid_price=round(0.2 + i / 100, 4), site_domain=f"s{i % 7}.example", uid=f"u_{i}") for i in range(60)]
+    few += [{k if k != "bid_price" else "bidPrice": v for k, v in m.items()} for m in few[:3]] + [native(country=..., geo={"country": "KR"}), native(os=..., ad_format="reel"), native(banner_h=..., viewable_ms=2198)]
+    want = {("renamed", "bid_price"), ("renamed", "country"), ("removed", "os"), ("added", "ad_format"), ("removed", "banner_h"), ("added", "viewable_ms")}
+    assert found(spark, *few) == want == found(spark, *(few * 40))
+
+
+def test_drift_of_names_without_number(spark):
+    odd = [native(os=..., seen={f"k{i}": i, "x": [1]}, **{f"id{i}": f"v{i}"}) for i in range(150)]
+    got = found(spark, *[native() for _ in range(20)], *odd)
+    assert got == {("removed", "os"), ("added", "seen")} | {("added", f"id{i}") for i in range(150)}
+
+
+def test_day_schemas(spark):
+    df = messages(spark, native(os=None, banner_w=1), native(os=None, banner_w="x", site_cat=["a"]), native(os=None, banner_h=True), "{broken").withColumn("n", F.lit(1))
+    got = {r["field_name"]: r["json_type"] for r in schema_drift.day_schemas(df, WIRE).collect()}
+    assert (got["os"], got["banner_w"], got["site_cat"], got["banner_h"], got["cost"] if "cost" in got else None) == ("null", "string", "string", "string", None)
+    assert got["bid_price"] == got["campaign_id"] == "number" and len(got) == len(WIRE["dummy"])
+
+
 def test_union_table_keeps_content(spark):
     df = messages(spark, native(), native(banner_w="300px", site_cat=["IAB1", "IAB2"]), native(campaign_id=5.5)).withColumns({"uid": F.lit("mine"), "v": F.lit(1), "names": F.lit(2)})
     t = schema_drift.union_table(df, WIRE, keep=("dt", "uid", "v", "names"))

@@ -1,8 +1,9 @@
 """Schemas that drift: headers read in parallel, folded through a type lattice, one union table, an ordered change log.
 
 The header of a JSON message is the list of its names and the JSON type of each; the header of a Parquet file is its
-footer. Types are bits, so that folding any number of headers is one OR per source and field, combined on the map side.
-``promote`` maps a set of bits to the least type that holds all of them.
+footer. Messages of one header are told apart no further: each is parsed where it is, and what leaves the scan is one row
+for each day, source and header, with the number of its messages. Types are bits, so that folding any number of headers
+is one OR per source and field. ``promote`` maps a set of bits to the least type that holds all of them.
 """
 
 from __future__ import annotations
@@ -12,11 +13,11 @@ import operator
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.ids import json_object
-from tidewell.session import materialise
+from tidewell.session import materialise, shipped
 
 #: JSON types as bits of the lattice.
 BIT = {"null": 1, "boolean": 2, "number": 4, "string": 8, "object": 16, "array": 32}
@@ -26,7 +27,11 @@ LONG, HUGE, FRACTION, WIDE = 64, 128, 256, 512
 JSON_OF = {"string": "string", "int": "number", "bigint": "number", "double": "number", "boolean": "boolean"}
 
 # a new name is taken for a declared one if the declared one is absent where it stands and their contents look alike
-ABSENT_SHARE, INSIDE_SHARE, OVERLAP, FEW_ROWS = 0.95, 0.8, 0.3, 20
+ABSENT_SHARE, INSIDE_SHARE, OVERLAP, SURE_OVERLAP = 0.95, 0.8, 0.3, 0.5
+#: Values tell contents apart if two of them, drawn by chance, are equal so often.
+REPEATS = 1 / 256
+#: Places of a declared field that the union table looks into; what stands at rarer ones stays in ``rest``.
+PLACES = 32
 
 
 def kind_of(v: Column) -> Column:
@@ -73,49 +78,48 @@ def promote(bits: Column, declared: Column | str = "string") -> Column:
     )
 
 
-def headers(messages: DataFrame, wire: dict[str, dict[str, str]], value: str = "value", source: str = "source") -> DataFrame:
-    """Messages of the declared sources with ``v`` (variant), ``src``, ``names``, ``absent``, ``extra`` and ``kinds``.
-
-    Rows whose value isn't one valid JSON object, or names another source, are left out. An object that repeats a name
-    isn't valid here.
-    """
-    return _parsed(messages, wire, value, source).where(F.col("reason").isNull()).drop("reason")
-
-
 def _parsed(messages: DataFrame, wire: dict[str, dict[str, str]], value: str, source: str = "source") -> DataFrame:
-    """``headers`` of every message; ``reason`` tells why one has none: ``broken`` or ``undeclared source``."""
+    """Messages with ``v`` (variant), ``src``, ``names``, ``absent``, ``extra``; ``reason`` tells why one has no header:
+    ``broken`` or ``undeclared source``. An object that repeats a name is broken here."""
     v = messages.withColumn("v", json_object(value))
-    src = F.try_variant_get("v", f"$.{source}", "string")
-    is_text = kind_of(F.try_variant_get("v", f"$.{source}", "variant")) == "string"
-    known = F.coalesce(is_text & src.isin(*wire), F.lit(False))
-    v = v.withColumns({"reason": F.when(F.col("v").isNull(), "broken").when(~known, "undeclared source"), "src": F.when(known, src)}).withColumn("names", F.json_object_keys(value))
+    src = F.try_variant_get("v", f"$.{source}", "variant")
+    known = F.coalesce((kind_of(src) == "string") & F.try_variant_get("v", f"$.{source}", "string").isin(*wire), F.lit(False))
+    reason = F.when(F.col("v").isNull(), "broken").when(~known, "undeclared source")
+    v = v.withColumns({"reason": reason, "src": F.when(known, F.try_variant_get("v", f"$.{source}", "string")), "names": F.json_object_keys(value)})
     declared = _by_source(wire, lambda fields: F.array(*map(F.lit, fields)))
-    kinds = _by_source(wire, lambda fields: F.array(*(F.struct(F.lit(n).alias("name"), kind_of(F.try_variant_get("v", f"$.{n}", "variant")).alias("kind")) for n in fields)))
-    return v.withColumns({"absent": F.array_except(declared, "names"), "extra": F.array_except("names", declared), "kinds": F.filter(kinds, lambda x: x["kind"].isNotNull())})
+    return v.withColumns({"absent": F.array_except(declared, "names"), "extra": F.array_except("names", declared)})
+
 
+def headers(messages: DataFrame, wire: dict[str, dict[str, str]], value: str = "value", source: str = "source", day: str = "dt") -> DataFrame:
+    """``(dt, src, head, n, v, absent, extra)``: the headers of the declared sources' messages by day, written down.
 
-def read_headers(messages: DataFrame, wire: dict[str, dict[str, str]], value: str) -> DataFrame:
-    """``headers`` without the text, written once to the shared folder: each message is parsed a single time."""
-    return materialise(headers(messages, wire, value).drop(value, "names"), "headers")
+    ``head`` is the header as text, ``n`` the number of its messages, ``v`` one of them, which stands for the names and
+    types of all. Rows whose value isn't one valid JSON object, or names another source, are left out.
+    """
+    p = _parsed(messages.select(F.col(day).alias("dt"), F.col(value).alias("raw")), wire, "raw", source)
+    head = F.when(F.col("reason").isNull(), F.regexp_replace(F.schema_of_variant("v"), r"DECIMAL\(\d+,\d+\)", "DECIMAL"))
+    h = p.groupBy("dt", "src", head.alias("head")).agg(F.count(F.lit(1)).alias("n"), F.any_value(F.struct(F.when(F.col("reason").isNull(), F.col("v")).alias("v"), "absent", "extra")).alias("one"))
+    # those without header are one group a day, left out here: a filter before would parse twice
+    return materialise(h.select("dt", "src", "head", "n", "one.*").where(F.col("v").isNotNull()), "headers")
 
 
 def _by_source(wire: dict, make) -> Column:
     return functools.reduce(lambda c, s: c.when(F.col("src") == s, make(wire[s])), list(wire)[1:], F.when(F.col("src") == next(iter(wire)), make(wire[next(iter(wire))])))
 
 
-def _places(h: DataFrame) -> DataFrame:
-    """A row for each undeclared place of a message: ``path`` (array of one or two names), ``top``, ``val`` (variant)."""
-    spark = h.sparkSession
-    top = h.where(F.size("extra") > 0).select("src", "absent", "extra", "v").lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
-    top = top.where(F.array_contains("extra", F.col("key"))).select("src", "absent", F.col("key").alias("top"), F.col("value").alias("val"))
-    inner = top.where(kind_of(F.col("val")) == "object").lateralJoin(spark.tvf.variant_explode(F.col("val").outer()))
-    inner = inner.select("src", "absent", "top", F.col("key").alias("leaf"), F.col("value").alias("inner"))
-    return top.select("src", "absent", "top", F.lit(None).cast("string").alias("leaf"), "val").unionByName(inner.withColumnRenamed("inner", "val"))
+def _places(extra: Column, v: Column) -> Column:
+    """The undeclared places of a message, as an array: ``top``, ``leaf`` (of an object's members, else null), ``val``."""
+    entries = lambda x: F.map_entries(F.try_variant_get(x, "$", "map<string,variant>"))
+    place = lambda top, leaf, val: F.struct(top.alias("top"), leaf.alias("leaf"), val.alias("val"))
+    none = F.lit(None).cast("string")
+    inner = lambda e: F.when(kind_of(e["value"]) == "object", F.transform(entries(e["value"]), lambda i: place(e["key"], i["key"], i["value"])))
+    tops = F.filter(entries(v), lambda e: F.array_contains(extra, e["key"]))
+    each = F.transform(tops, lambda e: F.concat(F.array(place(e["key"], none, e["value"])), F.coalesce(inner(e), F.array().cast("array<struct<top:string,leaf:string,val:variant>>"))))
+    return F.when(F.size(extra) > 0, F.flatten(each))
 
 
-def _feature(val: Column) -> Column:
+def _feature(kind: Column, text: Column) -> Column:
     """What a value looks like: its kind, with a bounded number of classes by value, by shape and by magnitude."""
-    text, kind = val.cast("string"), kind_of(val)
     shape = F.regexp_replace(F.regexp_replace(text, r"\p{L}+", "a"), r"\d+", "9")
     size = F.floor(F.log2(F.abs(text.try_cast("double")) + F.lit(1e-9)) * 2)
     return F.array(
@@ -124,95 +128,108 @@ def _feature(val: Column) -> Column:
     )
 
 
-def renames(h: DataFrame, wire: dict[str, dict[str, str]]) -> list[dict]:
-    """Declared fields found under another name or place: ``src, top, leaf, name``, at most one place for each name's best.
+def renames(h: DataFrame, messages: DataFrame, wire: dict[str, dict[str, str]], value: str = "value") -> DataFrame:
+    """Declared fields found under another name or place: ``(src, top, leaf, name, n)``, one row for each such place.
 
-    Evidence is counted over all messages: (1) the declared name is absent nearly everywhere the new place is filled;
-    (2) the contents look alike: the values, or where those are too many to repeat, their magnitudes or shapes, of the
-    new place lie where those of the declared name lie. Only the winners, no more than there are declared names and new
-    places for them, reach the driver.
+    Evidence is counted over all messages: (1) from headers alone, the declared name is absent nearly everywhere the new
+    place is filled; (2) the contents look alike: the values, or where those are too many to repeat, their magnitudes or
+    shapes, of the new place lie where those of the declared name lie. Shares are held against thresholds with the
+    sampling error of the number of values behind them. Contents are read in one scan, and counted by class; only the
+    declared names in question reach the driver.
     """
-    places = _places(h)
     key = ["src", "top", "leaf"]
-    n = places.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-    pairs = places.select(*key, F.explode("absent").alias("name")).groupBy(*key, "name").agg(F.count(F.lit(1)).alias("without"))
+    there = h.select("src", "absent", "n", F.explode(_places(F.col("extra"), F.col("v"))).alias("p")).select("src", "p.top", "p.leaf", "absent", "n")
+    filled = there.groupBy(*key).agg(F.sum("n").alias("n"))
+    pairs = there.select(*key, "n", F.explode("absent").alias("name")).groupBy(*key, "name").agg(F.sum("n").alias("without"))
     same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in key]
-    pairs = pairs.alias("l").join(n.alias("r"), same).where(F.col("without") >= ABSENT_SHARE * F.col("n")).select("l.*", "n")
-    missing = h.select("src", F.explode("absent").alias("name")).groupBy("src", "name").agg(F.count(F.lit(1)).alias("missing"))
-    pairs = pairs.join(missing, ["src", "name"]).persist()
-
-    def profile(df: DataFrame, by: list[str]) -> DataFrame:
-        f = df.where(kind_of(F.col("val")) != "null").select(*by, F.explode(_feature(F.col("val"))).alias("f"))
-        f = f.groupBy(*by, "f").agg(F.count(F.lit(1)).alias("c"))
-        return f
-
-    new = profile(places, key)
+    pairs = pairs.alias("l").join(filled.alias("r"), same).where(F.col("without") >= ABSENT_SHARE * F.col("n")).select("l.*", "n")
+    missing = h.select("src", "n", F.explode("absent").alias("name")).groupBy("src", "name").agg(F.sum("n").alias("missing"))
+    pairs = materialise(pairs.join(missing, ["src", "name"]), "pairs")
     wanted: dict[str, list[str]] = {}
     for r in pairs.select("src", "name").distinct().collect():  # declared names only
         wanted.setdefault(r["src"], []).append(r["name"])
     if not wanted:
-        return []
-    own = h.where(F.col("src").isin(*wanted)).select("src", F.explode(_by_source(wanted, lambda f: F.array(*(F.struct(F.lit(x).alias("name"), F.try_variant_get("v", f"$.{x}", "variant").alias("val")) for x in f)))).alias("o"))
-    old = profile(own.select("src", "o.name", "o.val").where(F.col("val").isNotNull()), ["src", "name"])
-
-    side = F.substring("f", 1, 1)
-    totals_new = new.groupBy(*key, side.alias("side")).agg(F.sum("c").alias("total"))
-    totals_old = old.groupBy("src", "name", side.alias("side")).agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("classes"))
-    j = pairs.alias("l").join(new.alias("r"), same).select("l.*", "r.f", F.col("r.c").alias("c"))
-    j = j.join(old.withColumnRenamed("c", "c_old"), ["src", "name", "f"], "left")
-    sides = j.groupBy(*key, "name", "n", "without", "missing", F.substring("f", 1, 1).alias("side")).agg(F.collect_list(F.struct("c", "c_old")).alias("fs"))
-    sides = sides.alias("l").join(totals_new.alias("r"), [*same, F.col("l.side") == F.col("r.side")]).select("l.*", F.col("r.total").alias("t_new"))
-    sides = sides.join(totals_old.withColumnRenamed("total", "t_old"), ["src", "name", "side"])
-    inside = F.aggregate("fs", F.lit(0.0), lambda a, x: a + F.when(x["c_old"].isNotNull() & (x["c_old"] >= F.col("t_old") * 0.0005), x["c"]).otherwise(0.0)) / F.col("t_new")
-    overlap = F.aggregate("fs", F.lit(0.0), lambda a, x: a + F.least(x["c"] / F.col("t_new"), F.coalesce(x["c_old"], F.lit(0)) / F.col("t_old")))
+        return h.sparkSession.createDataFrame([], "src string, top string, leaf string, name string, n bigint")
+
+    p = _parsed(messages.select(F.col(value).alias("raw")), wire, "raw")
+    own = _by_source(wanted, lambda f: F.array(*(F.struct(F.lit(None).cast("string").alias("top"), F.lit(None).cast("string").alias("leaf"), F.lit(x).alias("name"), F.try_variant_get("v", f"$.{x}", "variant").alias("val")) for x in f)))
+    new = F.transform(_places(F.col("extra"), F.col("v")), lambda x: F.struct(x["top"].alias("top"), x["leaf"].alias("leaf"), F.lit(None).cast("string").alias("name"), x["val"].alias("val")))
+    own = F.filter(own, lambda x: x["val"].isNotNull())
+    c = p.select("src", F.explode(F.flatten(F.array_compact(F.array(own, new)))).alias("o")).select("src", "o.*")
+    c = c.select(*key, "name", F.nullif(kind_of(F.col("val")), F.lit("null")).alias("kind"), F.col("val").cast("string").alias("text"))
+    classes = c.select(*key, "name", F.explode(_feature(F.col("kind"), F.col("text"))).alias("f")).where(F.col("f").isNotNull()).groupBy(*key, "name", "f").agg(F.count(F.lit(1)).alias("c"))
+    classes = materialise(classes.withColumn("side", F.substring("f", 1, 1)), "classes")
+
+    new, old = classes.where(F.col("name").isNull()).drop("name"), classes.where(F.col("name").isNotNull()).drop("top", "leaf")
+    totals_new = new.groupBy(*key, "side").agg(F.sum("c").alias("t_new"))
+    totals_old = old.groupBy("src", "name", "side").agg(F.sum("c").alias("t_old"), F.sum(F.col("c") * (F.col("c") - 1)).alias("equal"), F.sum(F.col("c") * F.col("c")).alias("squares"))
+    j = pairs.alias("l").join(new.alias("r"), same).select("l.*", "r.f", "r.side", "r.c")
+    j = j.join(old.withColumnRenamed("c", "c_old"), ["src", "name", "f", "side"], "left")
+    j = j.join(totals_old, ["src", "name", "side"])
     # values tell only where they repeat
-    few = (F.col("side") != "v") | ((F.col("classes") <= 200) & (F.col("t_old") >= 5 * F.col("classes")))
-    scored = sides.where(few).withColumns({"inside": inside, "overlap": overlap})
-    per = scored.groupBy(*key, "name", "n", "without", "missing").agg(
-        F.max_by(F.struct("inside", "overlap"), F.when(F.col("side") == "v", 1).otherwise(0)).alias("s")
-    )
+    j = j.where((F.col("side") != "v") | (F.col("equal") >= REPEATS * F.col("t_old") * (F.col("t_old") - 1)) & (F.col("equal") > 0))
+    j = j.alias("l").join(totals_new.alias("r"), [*same, F.col("l.side") == F.col("r.side")]).select("l.*", "r.t_new")
+    within = F.when(F.col("c_old") >= F.col("t_old") * 0.0005, F.col("c") / F.col("t_new")).otherwise(0.0)
+    meet = F.least(F.col("c") / F.col("t_new"), F.coalesce(F.col("c_old"), F.lit(0)) / F.col("t_old"))
+    # t_new values over so many classes differ from the distribution they come from by about this much
+    error = 0.4 * F.sqrt(F.col("t_old") * F.col("t_old") / F.col("squares") / F.col("t_new"))
+    sides = j.groupBy(*key, "name", "n", "without", "missing", "side").agg(F.sum(within).alias("inside"), F.sum(meet).alias("overlap"), F.first(error).alias("error"))
+    per = sides.groupBy(*key, "name", "n", "without", "missing").agg(F.max_by(F.struct("inside", "overlap", "error"), F.when(F.col("side") == "v", 1).otherwise(0)).alias("s"))
     # a member of a new object counts as a declared field only under the declared name, or with plainly the same content
-    leaf_ok = F.col("leaf").isNull() | (F.col("leaf") == F.col("name")) | ((F.col("s.overlap") >= 0.6) & (F.col("n") >= FEW_ROWS))
+    leaf_ok = F.col("leaf").isNull() | (F.col("leaf") == F.col("name")) | (F.col("s.overlap") - F.col("s.error") >= SURE_OVERLAP)
     both_ways = F.col("without") >= ABSENT_SHARE * F.col("missing")  # values that move with time overlap little
-    alike = (F.col("s.inside") >= INSIDE_SHARE) & ((F.col("s.overlap") >= OVERLAP) | (F.col("n") < FEW_ROWS) | both_ways)
-    good = per.where(alike & leaf_ok)
-    best = good.groupBy(*key).agg(F.max_by("name", F.struct(F.coalesce(F.col("leaf") == F.col("name"), F.lit(False)), "s.overlap", "without", "name")).alias("name"))
-    found = [r.asDict() for r in best.collect()]
-    pairs.unpersist()
-    return found
-
-
-def changes(h: DataFrame, wire: dict[str, dict[str, str]], moved: list[dict]) -> DataFrame:
-    """The ordered change log ``(dt, source, change_kind, field_name, found_as, n_messages)`` of headers ``h``."""
-    def at(s: str) -> Column:
-        rows = [m for m in moved if m["src"] == s]
-        entries = [
-            F.when(F.array_contains("extra", m["top"]) & (F.lit(True) if m["leaf"] is None else kind_of(F.try_variant_get("v", f"$['{m['top']}']['{m['leaf']}']", "variant")).isNotNull()),
-                   F.struct(F.lit(m["name"]).alias("name"), F.lit(m["top"]).alias("top"), F.lit(m["top"] + ("." + m["leaf"] if m["leaf"] else "")).alias("place")))
-            for m in rows
-        ]
-        none = F.lit(None).cast("struct<name:string,top:string,place:string>")
-        return F.array_compact(F.array(*entries, none))
-
-    h = h.withColumn("moves", F.filter(_by_source(wire, lambda f: at(next(s for s in wire if wire[s] is f))), lambda m: F.array_contains("absent", m["name"])))
-    h = h.withColumns({"moved": F.transform("moves", lambda m: m["name"]), "tops": F.transform("moves", lambda m: m["top"])})
+    alike = (F.col("s.inside") >= INSIDE_SHARE) & ((F.col("s.overlap") + F.col("s.error") >= OVERLAP) | both_ways)
+    best = F.max_by(F.struct("name", "n"), F.struct(F.coalesce(F.col("leaf") == F.col("name"), F.lit(False)), "s.overlap", "without", "name"))
+    return materialise(per.where(alike & leaf_ok).groupBy(*key).agg(best.alias("b")).select(*key, "b.name", "b.n"), "renames")
+
+
+def fold_days(h: DataFrame, wire: dict[str, dict[str, str]]) -> DataFrame:
+    """``(dt, src, name, bits, n_<kind>...)``: each day's schema of each source, its headers folded through the lattice."""
+    kinds = _by_source(wire, lambda fields: F.array(*(F.struct(F.lit(n).alias("name"), kind_of(F.try_variant_get("v", f"$.{n}", "variant")).alias("kind")) for n in fields)))
+    each = h.select("dt", "src", "n", F.explode(kinds).alias("k")).select("dt", "src", "n", "k.name", "k.kind").where(F.col("kind").isNotNull())
+    bit = F.element_at(F.create_map(*(F.lit(x) for pair in BIT.items() for x in pair)), F.col("kind"))
+    return each.groupBy("dt", "src", "name").agg(F.bit_or(bit).alias("bits"), *(F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"n_{k}") for k in BIT))
+
+
+def changes(h: DataFrame, wire: dict[str, dict[str, str]], moved: DataFrame) -> DataFrame:
+    """The change log ``(dt, source, change_kind, field_name, found_as, n_messages)`` of headers ``h``: where each day's
+    folded schema, and the names of its headers, differ from the declared ones."""
+    key = ["dt", "src", "head"]
+    there = h.select(*key, "absent", F.explode(_places(F.col("extra"), F.col("v"))).alias("p")).select(*key, "absent", "p.top", "p.leaf")
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in ("src", "top", "leaf")]
+    there = there.alias("l").join(moved.alias("r"), same).select("l.*", "r.name").where(F.array_contains("absent", F.col("name")))
+    moves = there.groupBy(*key).agg(F.collect_set(F.struct("name", "top", F.concat_ws(".", "top", "leaf").alias("place"))).alias("moves"))
+    h = h.alias("h").join(moves.alias("m"), [F.col(f"h.{c}").eqNullSafe(F.col(f"m.{c}")) for c in key], "left").select("h.*", "m.moves")
+    h = h.withColumn("moves", F.coalesce("moves", F.array().cast("array<struct<name:string,top:string,place:string>>")))
 
     def log(kind: str, names: Column) -> Column:
         return F.transform(names, lambda x: F.struct(F.lit(kind).alias("change_kind"), x.alias("field_name"), F.lit(None).cast("string").alias("found_as")))
 
-    declared_kind = _by_source(wire, lambda fields: F.create_map(*(x for n, t in fields.items() for x in (F.lit(n), F.lit(JSON_OF[t])))))
-    retyped = F.transform(F.filter("kinds", lambda x: (x["kind"] != "null") & (x["kind"] != F.element_at(declared_kind, x["name"]))),
-                          lambda x: F.struct(F.lit("retyped").alias("change_kind"), x["name"].alias("field_name"), x["kind"].alias("found_as")))
     renamed = F.transform("moves", lambda m: F.struct(F.lit("renamed").alias("change_kind"), m["name"].alias("field_name"), m["place"].alias("found_as")))
-    every = F.concat(renamed, log("removed", F.array_except("absent", "moved")), log("added", F.array_except("extra", "tops")), retyped)
-    rows = h.select("dt", F.col("src").alias("source"), F.explode(every).alias("c")).select("dt", "source", "c.*")
-    return rows.groupBy("dt", "source", "change_kind", "field_name", "found_as").agg(F.count(F.lit(1)).alias("n_messages"))
+    gone = F.array_except("absent", F.transform("moves", lambda m: m["name"]))
+    every = F.concat(renamed, log("removed", gone), log("added", F.array_except("extra", F.transform("moves", lambda m: m["top"]))))
+    rows = h.select("dt", F.col("src").alias("source"), "n", F.explode(every).alias("c")).select("dt", "source", "c.*", "n")
+    declared = _by_source(wire, lambda fields: F.element_at(F.create_map(*(x for n, t in fields.items() for x in (F.lit(n), F.lit(BIT[JSON_OF[t]])))), F.col("name")))
+    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(f"n_{k}").alias("n"), F.lit(BIT[k]).alias("bit")) for k in BIT if k != "null"))
+    other = F.filter(kinds, lambda x: (F.col("bits").bitwiseAND(x["bit"]) != 0) & (x["bit"] != declared))
+    retyped = fold_days(h, wire).select("dt", F.col("src").alias("source"), F.lit("retyped").alias("change_kind"), F.col("name").alias("field_name"), F.explode(other).alias("k"))
+    rows = rows.unionByName(retyped.select("dt", "source", "change_kind", "field_name", F.col("k.kind").alias("found_as"), "k.n"))
+    return rows.groupBy("dt", "source", "change_kind", "field_name", "found_as").agg(F.sum("n").alias("n_messages"))
 
 
 def drift_report(messages: DataFrame, wire: dict[str, dict[str, str]], value: str = "value") -> DataFrame:
     """Every change of every day, source and field, in order of day. Null or broken values show no change."""
-    h = read_headers(messages.select("dt", F.col(value).alias("raw")), wire, "raw")
-    return changes(h, wire, renames(h, wire)).orderBy("dt", "source", "change_kind", "field_name", "found_as")
+    h = headers(messages, wire, value)
+    return changes(h, wire, renames(h, messages, wire, value)).orderBy("dt", "source", "change_kind", "field_name", "found_as")
+
+
+def day_schemas(messages: DataFrame, wire: dict[str, dict[str, str]], value: str = "value") -> DataFrame:
+    """``(dt, source, field_name, json_type)``: the least type of the lattice for each declared field that came that day;
+    ``null`` if nothing but nulls did."""
+    f = fold_days(headers(messages, wire, value), wire)
+    kinds = F.col("bits").bitwiseAND(~1)
+    one = functools.reduce(lambda c, k: c.when(kinds == BIT[k], k), list(BIT)[1:], F.when(kinds == 0, "null"))
+    return f.select("dt", F.col("src").alias("source"), F.col("name").alias("field_name"), one.otherwise("string").alias("json_type"))
 
 
 def _moved(m: dict) -> Column:
@@ -259,10 +276,12 @@ def union_table(messages: DataFrame, wire: dict[str, dict[str, str]], value: str
     ``reject_value``. The columns of ``keep`` come along under their names, prefixed with ``msg_`` where they clash.
     """
     along = [F.struct(*keep).alias("__keep")] if keep else []  # apart, as their names may be any
-    parsed = _parsed(messages.select(F.col(value).alias("raw"), *along), wire, "raw").drop("names")
-    every = materialise(parsed.withColumn("raw", F.when(F.col("reason").isNotNull(), F.col("raw"))), "headers")
+    source = messages.select(F.col(value).alias("raw"), *along)
+    found = renames(headers(source.withColumn("dt", F.lit("")), wire, "raw"), source, wire, "raw")
+    often = F.row_number().over(Window.partitionBy("src", "name").orderBy(F.desc("n"), "top", "leaf"))
+    moved = [r.asDict() for r in found.withColumn("k", often).where(F.col("k") <= PLACES).orderBy("src", "name", "k").collect()]  # so many for a declared name
+    every = materialise(_parsed(source, wire, "raw").drop("names").withColumn("raw", F.when(F.col("reason").isNotNull(), F.col("raw"))), "parsed")
     h = every.where(F.col("reason").isNull())
-    moved = renames(h, wire)
     names = list(dict.fromkeys(n for f in wire.values() for n in f))
     order = ["boolean", "int", "bigint", "double", "string"]
     widest = {n: max((f[n] for f in wire.values() if n in f), key=order.index) for n in names}

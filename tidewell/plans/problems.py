@@ -61,6 +61,11 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return schema_drift.drift_report(_messages(spark, d), WIRE)
 
 
+def p1_schemas(spark: SparkSession, d: str) -> DataFrame:
+    """The folded schema of each day and source."""
+    return schema_drift.day_schemas(_messages(spark, d), WIRE)
+
+
 def p1_clicks(spark: SparkSession, d: str) -> DataFrame:
     return schema_drift.union_table(_messages(spark, d), WIRE, keep=("kafka_partition", "kafka_offset", "dt", "hour"))
 
@@ -135,7 +140,7 @@ def p7_events_rows(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("event_id", spelled("__id")).select(df.columns)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_clicks, p2_found, p2_sessions, p3_found, p3_campaigns, p3_banners, p4_distinct, p5_found, p5_compacted, p6_found, p6_hourly, p7_found, p7_clicks, p7_events, p7_clicks_rows, p7_events_rows)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_schemas, p1_clicks, p2_found, p2_sessions, p3_found, p3_campaigns, p3_banners, p4_distinct, p5_found, p5_compacted, p6_found, p6_hourly, p7_found, p7_clicks, p7_events, p7_clicks_rows, p7_events_rows)}
 
 _BARE = "nullif(lower(trim(replace(event_id, '-', ''))), '')"
 _UUID = "substr({0},1,8)||'-'||substr({0},9,4)||'-'||substr({0},13,4)||'-'||substr({0},17,4)||'-'||substr({0},21,12)"
@@ -218,6 +223,8 @@ def _hourly_sql() -> str:
 SQL = {
     "p1_found": f"{_drift_sql()} SELECT DISTINCT dt, source, change_kind, field_name FROM every",
     "p1_report": f"{_drift_sql()} SELECT dt, source, change_kind, field_name, found_as, count(DISTINCT r) AS n_messages FROM every GROUP BY ALL",
+    "p1_schemas": f"""{_drift_sql()} SELECT dt, source, k AS field_name, CASE WHEN count(DISTINCT nullif(keys.kind, 'null')) > 1 THEN 'string' ELSE coalesce(max(nullif(keys.kind, 'null')), 'null') END AS json_type
+ FROM keys WHERE EXISTS (SELECT 1 FROM decl WHERE decl.source = keys.source AND decl.name = keys.k) GROUP BY dt, source, k""",
     "p2_found": f"{_SESSIONS} SELECT uid, session_start, session_end FROM r",
     "p2_sessions": f"{_SESSIONS} SELECT uid, session_start, session_end, session_end - session_start AS duration_sec, n_events, n_request, n_impression, n_click, n_conversion, n_other FROM r",
     "p3_found": " UNION ALL ".join(
