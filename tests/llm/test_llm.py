@@ -1,5 +1,6 @@
 """Operators on training text against brute force, a public tokenizer and exact round trips."""
 
+import hashlib
 import random
 import re
 import unicodedata
@@ -110,6 +111,17 @@ def test_leaks_in_blocks_of_items(spark, block):
     assert got == brute_pairs(docs, items, 13)
 
 
+def test_blocks_read_the_corpus_once(spark, monkeypatch):
+    docs, items = corpus(4)
+    d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    calls = []
+    plain = contamination.passages
+    monkeypatch.setattr(contamination, "passages", lambda *a: calls.append(1) or plain(*a))
+    some = {tuple(r) for r in contamination.leaks(d, i, block=300).select("doc_id", "item_id", "run", "lcs").where("run >= 13").collect()}
+    whole = {tuple(r) for r in contamination.leaks(d, i).select("doc_id", "item_id", "run", "lcs").where("run >= 13").collect()}
+    assert len(calls) == 2 and {x[:3] for x in some} == {x[:3] for x in whole} and whole
+
+
 def test_leaks_empty(spark):
     d = spark.createDataFrame([(1, "a b c")], "doc_id bigint, text string")
     i = spark.createDataFrame([(1, " ".join("abcdefghijklmnop"))], "item_id bigint, text string")
@@ -195,22 +207,22 @@ def test_latent_space_is_that_of_the_svd(spark):
 # --- 9 ---
 
 
-def mixture(spark, docs, targets, seed=17):
+def mixture(spark, docs, targets, bits=None):
     sizes = mixing.sized(spark.createDataFrame(docs, "doc_id bigint, text string, source string").withColumn("n_tokens", F.lit(-1)))
-    budget = mixing.budgets(sizes, spark.createDataFrame(targets, "source string, target_share double, max_repeats int"))
-    return sizes, budget, mixing.mix(sizes, budget, seed)
+    plan = mixing.cuts(sizes, spark.createDataFrame(targets, "source string, target_share double, max_repeats int"), bits=bits)
+    return sizes, plan, mixing.mix(sizes, plan)
 
 
 def test_mix_meets_budgets(spark):
     rng = random.Random(6)
     docs = [(k, "w " * rng.randrange(0, 60), rng.choice(["big", "big", "big", "mid", "tiny", None])) for k in range(3000)] + [(9000, None, "mid"), (9001, "", "big")]
     targets = [("big", 0.3, 1), ("mid", 0.3, 4), ("tiny", 0.39, 2), ("none", 0.01, 5)]
-    sizes, budget, mixed = mixture(spark, docs, targets)
+    sizes, plan, mixed = mixture(spark, docs, targets)
     total = sum(len((t or "").split()) for _, t, _ in docs)
     have = defaultdict(int)
     for _, t, s in docs:
         have[s] += len((t or "").split())
-    b = {r["source"]: r for r in budget.collect()}
+    b = {r["source"]: r for r in plan.collect()}
     assert {s for s in b if b[s]["short"]} == {s for s, share, reps in targets if reps * have[s] < share * total}
     rows = mixed.collect()
     used, longest = defaultdict(int), max(len((t or "").split()) for _, t, _ in docs)
@@ -222,27 +234,45 @@ def test_mix_meets_budgets(spark):
         assert all(r["repeats"] <= reps for r in rows if r["source"] == s)
         assert len({r["repeats"] for r in rows if r["source"] == s}) <= 2
     assert None not in used and len(rows) == len({r["doc_id"] for r in rows})
-    shown = {r["source"]: r for r in mixing.shares(mixed, budget).collect()}
+    shown = {r["source"]: r for r in mixing.shares(mixed, plan).collect()}
     assert abs(sum(r["actual_share"] for r in shown.values()) - 1) < 1e-5 and shown["none"]["used_tokens"] == 0
 
 
 def test_mix_takes_the_first_in_hash_order(spark):
     docs = [(k, "w " * (k % 7 + 1), "s") for k in range(500)]
-    sizes, budget, mixed = mixture(spark, docs, [("s", 0.37, 1)])
-    order = [r["doc_id"] for r in sizes.orderBy(F.xxhash64(F.lit(17), "doc_id", "source").bitwiseXOR(F.lit(-(2**63))), "doc_id").collect()]
+    order = sorted(range(500), key=lambda k: (int(hashlib.md5(f"{mixing.SEED}/{k}/s".encode()).hexdigest()[:15], 16), k))
     limit, total, want = 0.37 * sum(k % 7 + 1 for k in range(500)), 0, set()
-    for d in order:  # keys in unsigned order
+    for d in order:
         total += d % 7 + 1
         if total > limit:
             break
         want.add(d)
-    assert {r["doc_id"] for r in mixed.collect()} == want
+    for bits in (None, 1, 12, 20):  # whatever the number of ranges
+        assert {r["doc_id"] for r in mixture(spark, docs, [("s", 0.37, 1)], bits)[2].collect()} == want
+
+
+def test_cuts_are_on_the_way_to_the_short_sources(spark):
+    from tidewell.llm import queries
+
+    from conftest import SF
+
+    plan = queries.p9_found(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "cuts-" in plan
+    short = queries._plan(spark, SF)[1].where("short").collect()
+    assert short and all(r["passes"] == r["max_repeats"] or not r["available"] for r in short)
 
 
 def test_mix_empty(spark):
     assert mixture(spark, [], [("s", 1.0, 3)])[2].count() == 0
-    sizes, budget, mixed = mixture(spark, [(1, "a b", "s")], [("s", None, None), (None, 0.5, 2)])
-    assert mixed.count() == 0 and mixing.shares(mixed, budget).count() == 2
+    assert mixture(spark, [(1, "a b", "s")], [])[2].count() == 0
+    sizes, plan, mixed = mixture(spark, [(1, "a b", "s")], [("s", None, None), (None, 0.5, 2)])
+    assert mixed.count() == 0 and mixing.shares(mixed, plan).count() == 2
+
+
+def test_source_listed_twice(spark):
+    docs = [(k, "a b", "s") for k in range(100)] + [(k, "a b", "r") for k in range(100, 200)]
+    sizes, plan, mixed = mixture(spark, docs, [("s", 0.25, 1), ("s", 0.25, 2), ("r", 0.5, 1)])
+    assert mixed.count() == 200 and mixing.shares(mixed, plan).count() == 2
 
 
 # --- 10 ---
@@ -289,6 +319,28 @@ def test_split_round_trip(spark):
             assert joined(rows) == t
 
 
+def test_rejoined_texts(spark):
+    rng = random.Random(10)
+    docs = [(k, noise(rng, 600).replace("\ufdd0", "")) for k in range(40)] + [(100, "w " * 5000), (101, None), (102, "")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    back = {r["doc_id"]: (r["text"], r["most_tokens"]) for r in splitting.rejoined(splitting.split_documents(df, limit=30, overlap=5)).collect()}
+    long = {d: t for d, t in docs if len(public_tokens(t)) > 30}
+    assert {d: t for d, (t, _) in back.items()} == long and max(n for _, n in back.values()) <= 30
+
+
+def test_many_pieces_add_up(spark):
+    text = " ".join(f"w{k}" for k in range(9000))
+    rows = pieces(spark, [(1, text)], limit=10, overlap=2)[1]
+    assert len(rows) > 1000 and all(a["first_token"] + a["n_tokens"] - 2 == b["first_token"] for a, b in zip(rows, rows[1:]))
+    assert rows[-1]["first_token"] + rows[-1]["n_tokens"] == 9000
+
+
+def test_headings_are_a_parameter(spark):
+    text = "a " * 12 + "\nchapter nine\n" + "b " * 4 + "\nNot A Heading\n" + "c " * 30
+    assert pieces(spark, [(1, text)], limit=20, overlap=2)[1][0]["n_tokens"] == 18
+    assert pieces(spark, [(1, text)], limit=20, overlap=2, heading="chapter [a-z]++")[1][0]["n_tokens"] == 12
+
+
 def test_split_noise_keeps_every_token(spark):
     rng = random.Random(9)
     docs = [(k, noise(rng, 400)) for k in range(60)]

@@ -1,16 +1,15 @@
 """Evaluation texts in training text: latent semantic retrieval, then word-exact and subsequence checks.
 
 Words of all documents are counted and cut into passages of ``SPAN`` words in one pass: a passage is a window of which all
-words but ``SLACK`` at most occur in the evaluation set; every window of a shared run of ``SPAN`` words is one, and so are
-paraphrases with a few words of their own. Passages become TF-IDF vectors
+words but ``SLACK`` at most occur in the evaluation set: every window that can keep ``ORDERED`` words of an item is one. Passages become TF-IDF vectors
 (document frequencies over all documents); a randomised SVD, whose products with the passage matrix are distributed,
 gives a latent space; candidates are the pairs of passages and item windows whose latent vectors have a cosine of at
 least ``COSINE``. A copied window has the vector of its original, so cosine 1, whatever the quality of the space.
 Candidates are then checked word by word.
 
 Only what is bounded by the evaluation items reaches the driver or is sent to all tasks: their vocabulary, their latent
-vectors and matrices of one row for each of their words. Items come in blocks of ``BLOCK`` items, so that this bound
-holds for any evaluation set.
+vectors and matrices of one row for each of their words. Items come in blocks of ``BLOCK`` words, so that vectors and
+matrices are bounded for any evaluation set; only its vocabulary is held whole.
 """
 
 from __future__ import annotations
@@ -27,9 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.session import materialise
+from tidewell.session import materialise, shipped
 
-SPAN, SLACK = 13, 2
+SPAN = 13
+#: A paraphrase keeps so many of a passage's words in their order; so at most SPAN - ORDERED of them may be foreign.
+ORDERED = 10
+SLACK = SPAN - ORDERED
 RANK, EXTRA = 64, 8
 COSINE, ANSWER = 0.9, 0.7
 CELLS, PAIRS = 256, 500_000
@@ -148,6 +150,14 @@ def latent(w: np.ndarray, idf: np.ndarray, space: np.ndarray) -> np.ndarray:
 # --- randomised SVD --------------------------------------------------------------------------------------------------
 
 
+PARTS = "slice int, words binary, z binary"
+
+
+def _part(k: int, words_: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+    """Rows of a matrix, one for each of the words of slice ``k``, as a record of ``PARTS``."""
+    return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([words_.astype(np.int32).tobytes()], pa.binary()), pa.array([np.ascontiguousarray(rows).tobytes()], pa.binary())], names=["slice", "words", "z"])
+
+
 def _gram(parts: DataFrame, idf: np.ndarray, q: np.ndarray, span: int, least: float = 0.0) -> np.ndarray:
     """A'(A q) of the TF-IDF matrix A of all passages, rows of unit length: summed by tasks, then by slices of words."""
     size, rank = q.shape
@@ -181,19 +191,27 @@ def _gram(parts: DataFrame, idf: np.ndarray, q: np.ndarray, span: int, least: fl
                 order = np.argsort(ids, kind="stable")
                 first = np.flatnonzero(np.r_[True, np.diff(ids[order]) != 0])
                 z[ids[order][first]] += np.add.reduceat(back[order], first, axis=0)
-        if any_:
-            pieces = [(k // SLICE, z[k : k + SLICE].tobytes()) for k in range(0, size, SLICE)]
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pieces], pa.int32()), pa.array([p[1] for p in pieces], pa.binary())], names=["slice", "z"])
-
-    def add(pdf):
-        total = functools.reduce(np.add, (np.frombuffer(z) for z in pdf["z"]))
-        return pdf.iloc[:1].assign(z=[total.tobytes()])
-
-    done = parts.select("ids").mapInArrow(multiply, "slice int, z binary").groupBy("slice").applyInPandas(add, "slice int, z binary").collect()
+        if any_:  # the words the task has met, by slices
+            met = np.flatnonzero(z.any(axis=1))
+            for k in np.unique(met // SLICE).tolist():
+                mine = met[met // SLICE == k]
+                yield _part(k, mine, z[mine])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}  # of the slices of this task only, whatever number of tasks sent parts of them
+        for batch in batches:
+            for k, words_, part in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                at = np.frombuffer(words_, dtype=np.int32)
+                total.setdefault(k, np.zeros((SLICE, rank)))[at - k * SLICE] += np.frombuffer(part).reshape(len(at), rank)
+        for k, part in total.items():
+            met = np.flatnonzero(part.any(axis=1))
+            yield _part(k, met + k * SLICE, part[met])
+
+    sums = parts.select("ids").mapInArrow(multiply, PARTS).repartition("slice").mapInArrow(add, PARTS)
     z = np.zeros((size, rank))
-    for r in done:  # one row for every 256 words of the evaluation set
-        part = np.frombuffer(r["z"]).reshape(-1, rank)
-        z[r["slice"] * SLICE : r["slice"] * SLICE + len(part)] = part
+    for r in sums.select("words", "z").collect():  # one row for every 256 words of the evaluation set
+        at = np.frombuffer(r["words"], dtype=np.int32)
+        z[at] = np.frombuffer(r["z"]).reshape(len(at), rank)
     return z
 
 
@@ -368,17 +386,44 @@ def _search(parts: DataFrame, items: list[np.ndarray], idf: np.ndarray, space: n
     return parts.select("doc_id", "start", "ids").mapInArrow(find, MATCH)
 
 
-def _block(spark: SparkSession, documents: DataFrame, items: list[tuple[int, list[str]]], span: int, slack: int, cosine: float, answer: float, copies: bool) -> DataFrame:
-    vocabulary = {w: k for k, w in enumerate(sorted({w for _, t in items for w in t}))}
-    ids = [np.array([vocabulary[w] for w in t], dtype=np.int32) for _, t in items]
-    found = materialise(passages(documents, vocabulary, span, slack), "passages")
-    stats = found.where(F.col("n_docs").isNotNull())
-    n = stats.agg(F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n")).first()["n"]
-    freq = np.zeros(len(vocabulary))
-    for r in stats.select(F.posexplode("freqs")).groupBy("pos").agg(F.sum("col").alias("df")).collect():  # a row a word
-        freq[r["pos"]] = r["df"]
+def tokenised(items: DataFrame) -> DataFrame:
+    """``(item_id, words)`` of the items that have words."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            every = [words(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(every, pa.list_(pa.string()))], names=["item_id", "words"])
+
+    return items.mapInArrow(split, "item_id bigint, words array<string>").where(F.size("words") > 0)
+
+
+def recut(parts: DataFrame, block_of: np.ndarray, span: int, slack: int) -> DataFrame:
+    """The passages of a block of items: identifiers of all words become those of the block's (``block_of``, where the
+    greatest stands for the words it hasn't), and stretches are cut anew."""
+    size = int(block_of.max())
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: tuple[list, list, list] = ([], [], [])
+            for doc, start, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_numpy(zero_copy_only=False)):
+                ids = block_of[ids]
+                for a, b in stretches(ids < size, span, slack):
+                    for column, v in zip(out, (doc, start + a, ids[a:b])):
+                        column.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.list_(pa.int32()))], names=["doc_id", "start", "ids"])
+
+    return parts.mapInArrow(cut, "doc_id bigint, start int, ids array<int>")
+
+
+def _block(spark: SparkSession, parts: DataFrame, items: list[tuple[int, np.ndarray]], freq: np.ndarray, n: int, span: int, slack: int, cosine: float, answer: float, copies: bool) -> DataFrame:
+    mine = np.unique(np.concatenate([t for _, t in items]))
+    if len(mine) < len(freq):
+        block_of = np.full(len(freq) + 1, len(mine), dtype=np.int32)
+        block_of[mine] = np.arange(len(mine))
+        parts = materialise(recut(parts, block_of, span, slack), "block")
+        items, freq = [(i, block_of[t]) for i, t in items], freq[mine]
+    ids = [t for _, t in items]
     idf = np.append(np.log((1 + n) / (1 + freq)) + 1, 0.0)  # what is unknown weighs nothing
-    parts = found.where(F.col("ids").isNotNull()).select("doc_id", "start", "ids")
     # what a window must weigh to repeat the answer part of the lightest item window
     least = answer * min(float(idf[windows(i, span)].sum(1).min()) for i in ids)
     space = latent_space(parts, idf, span, least=least)
@@ -387,6 +432,24 @@ def _block(spark: SparkSession, documents: DataFrame, items: list[tuple[int, lis
     return matches.join(F.broadcast(table), "item")  # a row an item of the block
 
 
+def _blocks(items: DataFrame, vocabulary: dict[str, int], span: int, block: int) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """Items as word identifiers, so many words at a time; one beyond a block comes in overlapping parts."""
+    batch, size = [], 0
+    for r in items.toLocalIterator():  # the evaluation set, of which no more than a block is held
+        ids = np.array([vocabulary[w] for w in r["words"]], dtype=np.int32)
+        for at in range(0, max(1, len(ids) - span + 1), block - span + 1):
+            part = ids[at : at + block]
+            if len(part) < span:
+                continue
+            if batch and size + len(part) > block:
+                yield batch
+                batch, size = [], 0
+            batch.append((r["item_id"], part))
+            size += len(part)
+    if batch:
+        yield batch
+
+
 def leaks(documents: DataFrame, items: DataFrame, span: int = SPAN, slack: int = SLACK, cosine: float = COSINE, answer: float = ANSWER, block: int = BLOCK, copies: bool = False) -> DataFrame:
     """``(doc_id, item_id, run, lcs, answer, cosine, n_places, first_word)`` of every document and item that are candidates and
     share a run of ``span`` words or the ``answer`` part of a passage's information.
@@ -394,29 +457,34 @@ def leaks(documents: DataFrame, items: DataFrame, span: int = SPAN, slack: int =
     ``run`` is the longest common run of words (0 if below ``span``; of an item beyond a block, within one part), ``lcs`` the longest common subsequence of
     any candidate passage, ``answer`` the share of that passage's information (IDF weight of its words: names and numbers weigh
     most) that the document repeats, ``first_word`` where the passage begins. Null and empty texts and items of fewer than ``span``
-    words match nothing; documents with the same text match alike; items that share a passage are all found.
-    With ``copies`` only the runs are complete, and cost less to find.
+    words match nothing; documents with the same text match alike; items that share a passage are all found. The corpus is read
+    once, whatever the number of blocks. ``slack`` words of a passage may be foreign to all items; ``span - slack`` is the least
+    number of words that a passage found shares with an item. With ``copies`` only the runs are complete, and cost less to find,
+    as a copy has no foreign word.
     """
-    spark = documents.sparkSession
+    spark = shipped(documents.sparkSession)
+    if copies:
+        slack = 0
     docs = documents.select(F.col("doc_id").cast("bigint"), "text").where(F.length("text") > 0)
-    chosen = items.select(F.col("item_id").cast("bigint"), "text").where(F.length("text") > 0)
-    found, batch, size = [], [], 0
-    for r in chosen.toLocalIterator():  # the evaluation set, of which no more than a block is held
-        w = words(r["text"])
-        for at in range(0, max(1, len(w) - span + 1), block - span + 1):
-            part = w[at : at + block]
-            if len(part) < span:
-                continue
-            if batch and size + len(part) > block:
-                found.append(_block(spark, docs, batch, span, slack, cosine, answer, copies))
-                batch, size = [], 0
-            batch.append((r["item_id"], part))
-            size += len(part)
-    if batch:
-        found.append(_block(spark, docs, batch, span, slack, cosine, answer, copies))
-    result = functools.reduce(DataFrame.unionByName, found) if found else None
-    if result is None:
+    chosen = materialise(tokenised(items.select(F.col("item_id").cast("bigint"), "text").where(F.length("text") > 0)), "items")
+    distinct = chosen.select(F.explode(F.array_distinct("words")).alias("w")).distinct().collect()  # the vocabulary of the evaluation set
+    vocabulary = {w: k for k, w in enumerate(sorted(r["w"] for r in distinct))}
+    blocks = _blocks(chosen, vocabulary, span, block)
+    batch = next(blocks, None)
+    if batch is None:
         return spark.createDataFrame([], "doc_id bigint, item_id bigint, run int, lcs int, answer float, cosine float, n_places bigint, first_word int")
+    cut = materialise(passages(docs, vocabulary, span, slack), "passages")
+    stats = cut.where(F.col("n_docs").isNotNull())
+    n = stats.agg(F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n")).first()["n"]
+    freq = np.zeros(len(vocabulary))
+    for r in stats.select(F.posexplode("freqs")).groupBy("pos").agg(F.sum("col").alias("df")).collect():  # a row a word
+        freq[r["pos"]] = r["df"]
+    parts = cut.where(F.col("ids").isNotNull()).select("doc_id", "start", "ids")
+    found = []
+    while batch is not None:
+        found.append(_block(spark, parts, batch, freq, n, span, slack, cosine, answer, copies))
+        batch = next(blocks, None)
+    result = functools.reduce(DataFrame.unionByName, found)
     return result.groupBy("doc_id", "item_id").agg(
         F.max("run").alias("run"), F.max("lcs").alias("lcs"), F.max("answer").alias("answer"), F.max("cosine").alias("cosine"), F.count(F.lit(1)).alias("n_places"), F.min("start").alias("first_word")
     )

@@ -1,11 +1,12 @@
-"""Queries of the training-text problems 8 to 10, each over its whole tables, and their SQL."""
+"""Queries of the distinct counts (problem 4) and the training-text problems 8 to 10, each over its whole tables, and
+their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import contamination, mixing, splitting
+from tidewell.llm import contamination, mixing, multires, splitting
 from tidewell.llm.tokens import TOKEN_RE2
 from tidewell.sources.tables import load, spread
 
@@ -18,9 +19,18 @@ def _leaks(spark: SparkSession, d: str, copies: bool = False) -> DataFrame:
     return contamination.leaks(_documents(spark, d), load(spark, d, "eval_items"), copies=copies)
 
 
-def _budgets(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _plan(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     sizes = mixing.sized(_documents(spark, d))
-    return sizes, mixing.budgets(sizes, load(spark, d, "mix_targets"))
+    return sizes, mixing.cuts(sizes, load(spark, d, "mix_targets"))
+
+
+def p4_distinct(spark: SparkSession, d: str) -> DataFrame:
+    return multires.distinct_counts(load(spark, d, "processed_events"), "uid", "event_date", "campaign_id")
+
+
+def p4_error(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the estimates keep their bound, beside exact counts."""
+    return multires.errors(load(spark, d, "processed_events"), "uid", "event_date", "campaign_id")
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -29,20 +39,21 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
     """Copies, and paraphrases that keep ten of thirteen words in order and most of what they say."""
-    return _leaks(spark, d).where((F.col("run") >= contamination.SPAN) | ((F.col("lcs") >= 10) & (F.col("answer") >= 0.7)))
+    return _leaks(spark, d).where((F.col("run") >= contamination.SPAN) | ((F.col("lcs") >= contamination.ORDERED) & (F.col("answer") >= contamination.ANSWER)))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return _budgets(spark, d)[1].where("short").select("source")
+    """Sources whose prefix sums, repeated as often as allowed, end before their budget."""
+    return _plan(spark, d)[1].where("short").select("source")
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix(*_budgets(spark, d))
+    return mixing.mix(*_plan(spark, d))
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
-    sizes, budget = _budgets(spark, d)
-    return mixing.shares(mixing.mix(sizes, budget), budget)
+    sizes, plan = _plan(spark, d)
+    return mixing.shares(mixing.mix(sizes, plan), plan)
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
@@ -53,11 +64,30 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_documents(_documents(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p8_found, p8_leaks, p9_found, p9_mix, p9_shares, p10_found, p10_pieces)}
+def p10_rejoined(spark: SparkSession, d: str) -> DataFrame:
+    """The texts of the pieces put together again, by their digest."""
+    r = splitting.rejoined(splitting.split_documents(_documents(spark, d)))
+    return r.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), (F.col("most_tokens") <= splitting.LIMIT).alias("within_limit"))
+
+
+QUERIES = {f.__name__: f for f in (p4_distinct, p4_error, p8_found, p8_leaks, p9_found, p9_mix, p9_shares, p10_found, p10_pieces, p10_rejoined)}
 
-_SIZED = f"n AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{TOKEN_RE2}')), 0) AS n FROM documents)"
+_SIZED = f"n AS (SELECT doc_id, source, text, coalesce(len(regexp_extract_all(text, '{TOKEN_RE2}')), 0) AS n FROM documents)"
+_GRAIN = "SELECT '{0}' AS grain, count(*) AS n_groups, sum(n)::bigint AS exact_total, true AS within_bound FROM (SELECT count(DISTINCT uid) AS n FROM processed_events WHERE uid IS NOT NULL GROUP BY {1})"
+_MIX = f"""WITH {_SIZED}, b AS (SELECT m.source, target_share, max_repeats, coalesce((SELECT sum(n) FROM n WHERE n.source = m.source), 0)::bigint AS available, (SELECT sum(n) FROM n)::bigint AS total FROM mix_targets m),
+ p AS (SELECT *, target_share * total AS budget, coalesce(least(floor(target_share * total / nullif(available, 0)), max_repeats), 0)::bigint AS passes FROM b),
+ r AS (SELECT *, CASE WHEN passes < max_repeats THEN budget - passes * available ELSE 0.0 END AS rest FROM p),
+ k AS (SELECT doc_id, source, n, sum(n) OVER (PARTITION BY source ORDER BY ('0x' || substr(md5('{mixing.SEED}/' || doc_id || '/' || source), 1, {mixing.KEY_BITS // 4}))::bigint, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM n WHERE source IS NOT NULL),
+ x AS (SELECT doc_id, source, n AS n_tokens, passes + (rest > 0 AND upto <= rest)::int AS repeats FROM k JOIN r USING (source)),
+ mixed AS (SELECT * FROM x WHERE repeats > 0)"""
 SQL = {
+    "p4_error": " UNION ALL ".join(_GRAIN.format(*g) for g in (("all", "()"), ("event_date", "event_date"), ("campaign_id", "campaign_id"), ("event_date+campaign_id", "event_date, campaign_id"))),
     "p9_found": f"""WITH {_SIZED} SELECT source FROM mix_targets m
  WHERE max_repeats * (SELECT coalesce(sum(n), 0) FROM n WHERE n.source = m.source) < target_share * (SELECT sum(n) FROM n)""",
+    "p9_mix": f"{_MIX} SELECT doc_id, source, n_tokens, repeats FROM mixed",
+    "p9_shares": f"""{_MIX}, u AS (SELECT source, sum(n_tokens * repeats)::bigint AS used, count(*) AS n_docs, max(repeats) AS most FROM mixed GROUP BY source)
+ SELECT r.source, target_share, round(coalesce(used, 0) / (SELECT sum(used) FROM u), 6) AS actual_share, coalesce(used, 0) AS used_tokens, available, max_repeats, coalesce(n_docs, 0) AS n_docs, coalesce(most, 0) AS most_repeats,
+  max_repeats * available < budget AS short FROM r LEFT JOIN u ON u.source = r.source""",
     "p10_found": f"WITH {_SIZED} SELECT doc_id FROM n WHERE n > 1000",
+    "p10_rejoined": f"WITH {_SIZED} SELECT doc_id, md5(text) AS text_md5, true AS within_limit FROM n WHERE n > 1000",
 }
