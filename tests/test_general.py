@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidewell.functions.ids import bare_id, json_object, message_id, spelled
-from tidewell.operators import compaction, dedup_index, late_events, multires, schema_drift, sessions, skew
+from tidewell.operators import compaction, dedup_index, late_events, schema_drift, sessions, skew
 from tidewell.operators.standing import standing_events
 from tidewell.schemas import WIRE
 from tidewell.table.files import CommitConflict, walk
@@ -254,53 +254,6 @@ def test_funnel_by_key(spark):
     assert got == {"1": (1, 2, 4, 2.5), None: (0, 0, 1, 0.0)}
 
 
-# --- 4 ---
-
-
-@pytest.mark.parametrize("n", [1, 50, 3000, 60_000, 400_000])
-def test_estimate_within_bound(spark, n):
-    df = spark.range(n).select(F.concat(F.lit("u"), "id").alias("uid"), F.lit(1).alias("g"))
-    r = multires.estimate(multires.partial_bitmaps(df, "uid", ["g"]), ["g"]).first()
-    assert abs(r["estimate"] - n) <= max(1, r["rel_error"] * n)
-
-
-def test_error_over_many_sets(spark):
-    n = 20_000
-    df = spark.range(n * 40).select(F.col("id").alias("uid"), F.pmod("id", F.lit(40)).alias("g"))
-    rel = np.array([r["estimate"] / n - 1 for r in multires.estimate(multires.partial_bitmaps(df, "uid", ["g"]), ["g"]).collect()])
-    assert len(rel) == 40 and np.sqrt((rel**2).mean()) < 1 / np.sqrt(multires.BITS) and (abs(rel) <= 2 / np.sqrt(multires.BITS)).mean() >= 0.9
-
-
-def test_partial_results_merge(spark):
-    df = spark.range(30_000).select("id", F.lit(1).alias("g"))
-    parts = multires.partial_bitmaps(df.where("id < 20000"), "id", ["g"]).unionByName(multires.partial_bitmaps(df.where("id >= 10000"), "id", ["g"]))
-    whole = multires.partial_bitmaps(df, "id", ["g"])
-    assert sorted(multires.merge_bitmaps(parts, ["g"]).collect()) == sorted(whole.collect())
-
-
-def test_distinct_counts_small(spark):
-    d1, d2 = at(0), at(86400)
-    df = events(spark, {"uid": "a", "event_timestamp": d1}, {"uid": "a", "event_timestamp": d1}, {"uid": "b", "event_timestamp": d2}, {"uid": None}, {"uid": "c", "event_timestamp": None, "campaign_id": None})
-    got = {(r["grain"], str(r["first_day"]), str(r["last_day"]), r["campaign_id"]): r["estimate"] for r in multires.distinct_counts(df, "uid", "event_date", "campaign_id").collect()}
-    assert got[("all", "None", "None", None)] == 3
-    assert got[("campaign_id", "None", "None", 1)] == 2 and got[("campaign_id", "None", "None", None)] == 1
-    assert got[("event_date", "2024-01-02", "2024-01-02", None)] == 1 and got[("event_date", "None", "None", None)] == 1
-    assert got[("range", "2024-01-02", "2024-01-03", None)] == 2 and got[("range+campaign_id", "2024-01-02", "2024-01-03", 1)] == 2
-    assert multires.distinct_counts(df.limit(0), "uid", "event_date", "campaign_id").count() == 0
-
-
-def test_ranges_longer_than_a_month(spark):
-    df = events(spark, *({"uid": f"u{k}", "event_timestamp": at(86400 * k)} for k in (0, 20, 39)))
-    counts = multires.distinct_counts(df, "uid", "event_date", "campaign_id")
-    got = {(r["grain"], str(r["first_day"]), str(r["last_day"])): r["estimate"] for r in counts.where("grain like 'range%'").collect()}
-    assert len(got) == 2 * 40 * 41 // 2 - 2 * (19 * 20 // 2 + 18 * 19 // 2)  # but those of empty days only
-    assert got[("range", "2024-01-02", "2024-02-10")] == got[("range+campaign_id", "2024-01-02", "2024-02-10")] == 3
-    state = multires.partial_bitmaps(df, "uid", ["event_date", "campaign_id"])
-    asked = spark.sql("SELECT date'2023-01-01' AS first_day, date'2025-01-01' AS last_day UNION ALL SELECT date'2024-01-03', date'2024-02-10' UNION ALL SELECT date'2025-01-01', date'2025-02-01'")
-    some = {(r["grain"], str(r["first_day"])): r["estimate"] for r in multires.range_counts(state, asked, "event_date", "campaign_id").collect()}
-    assert some == {("range", "2023-01-01"): 3, ("range+campaign_id", "2023-01-01"): 3, ("range", "2024-01-03"): 2, ("range+campaign_id", "2024-01-03"): 2}
-
-
 # --- 5 ---
 
 

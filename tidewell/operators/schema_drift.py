@@ -333,42 +333,48 @@ def _footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def read_drifting_parquet(spark: SparkSession, paths: list[str], aliases: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """One table from files of differing schemas, and the ordered log ``(seq, path, change, name, old_type, new_type)``.
+    """One table from files of differing schemas, and the ordered log ``(seq, path, change, name, old, new)``.
 
-    Footers are read by the executors, one row a column; files of one schema are read by one scan, cast to the union
-    schema and united by name. ``aliases`` maps new names to the old ones they replace; these show as ``renamed``.
-    Columns that a file lacks are null. A clash of types that no chain holds becomes string. No path: no table, an error.
+    Footers are read by the executors, one row a column, and written down; types fold through the lattice to one row a
+    column, and each file is compared with the one before it by a join on their numbers. Files of one schema are read by
+    one scan, cast to the union schema and united by name. ``aliases`` maps new names to the old ones they replace; these
+    show as ``renamed``. Columns that a file lacks are null. A clash of types that no chain holds becomes string. No
+    path: no table, an error. The driver holds the caller's list of paths and the number of each file's schema.
     """
     if not paths:
         raise ValueError("no files")
     aliases = aliases or {}
-    listing = spark.createDataFrame(list(enumerate(paths)), "seq bigint, path string").repartition(min(len(paths), spark.sparkContext.defaultParallelism))
+    listing = shipped(spark).createDataFrame(list(enumerate(paths)), "seq bigint, path string").repartition(min(len(paths), spark.sparkContext.defaultParallelism))
     seen = listing.mapInPandas(_footers, "seq bigint, path string, pos int, name string, type string")
-    groups = seen.groupBy("seq", "path").agg(F.sort_array(F.collect_list(F.struct("pos", "name", "type"))).alias("cols"))
-    rows = sorted(((r["seq"], r["path"], tuple((c["name"], c["type"]) for c in r["cols"])) for r in groups.collect()), key=lambda r: r[0])
-    union: dict[str, str] = {}
-    log, before = [], None
-    for seq, path, cols in rows:
-        named = {aliases.get(n, n): (n, t) for n, t in cols}
-        if before is not None:
-            for c in before.keys() - named.keys():
-                log.append((seq, path, "removed", c, before[c][1], None))
-            for c, (n, t) in named.items():
-                if c not in before:
-                    log.append((seq, path, "added", c, None, t))
-                elif n != before[c][0]:
-                    log.append((seq, path, "renamed", c, before[c][0], n))
-                if c in before and t != before[c][1]:
-                    log.append((seq, path, "retyped", c, before[c][1], t))
-        for c, (_, t) in named.items():
-            union[c] = widen(union.get(c, t), t)
-        before = named
-    by_schema: dict[tuple, list[str]] = {}
-    for _, path, cols in rows:
-        by_schema.setdefault(cols, []).append(path)
+    own = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in aliases.items() for x in pair)), F.col("name")), F.col("name")) if aliases else F.col("name")
+    fields = F.transform(F.sort_array(F.collect_list(F.struct("pos", own.alias("c"), "name", "type"))), lambda x: F.struct(x["c"].alias("c"), x["name"].alias("name"), x["type"].alias("type")))
+    files = materialise(seen.groupBy("seq", "path").agg(fields.alias("fields")), "footers")
+
+    columns = files.select("seq", F.posexplode("fields").alias("pos", "f")).groupBy("f.c").agg(F.collect_set("f.type").alias("types"), F.min(F.struct("seq", "pos")).alias("first"))
+    union = {r["c"]: functools.reduce(widen, sorted(r["types"])) for r in sorted(columns.collect(), key=lambda r: tuple(r["first"]))}  # a row a column
+
+    earlier = files.select((F.col("seq") + 1).alias("seq"), F.col("fields").alias("before"))
+    pair = lambda x, y, both: F.flatten(F.transform(x, lambda p: both(p, F.filter(y, lambda q: q["c"] == p["c"]))))
+    change = lambda kind, c, old, new: F.struct(F.lit(kind).alias("change"), c.alias("name"), old.cast("string").alias("old"), new.cast("string").alias("new"))
+    none = F.lit(None).cast("string")
+
+    def against(n: Column, b: Column) -> Column:
+        was = F.get(b, F.lit(0))
+        added = F.when(F.size(b) == 0, change("added", n["c"], none, n["type"]))
+        return F.array(added, F.when(was["name"] != n["name"], change("renamed", n["c"], was["name"], n["name"])), F.when(was["type"] != n["type"], change("retyped", n["c"], was["type"], n["type"])))
+
+    gone = pair(F.col("before"), F.col("fields"), lambda b, n: F.array(F.when(F.size(n) == 0, change("removed", b["c"], b["type"], none))))
+    every = F.array_compact(F.concat(pair(F.col("fields"), F.col("before"), against), gone))
+    log = files.join(earlier, "seq").where(~F.col("fields").eqNullSafe(F.col("before"))).select("seq", "path", F.explode(every).alias("x")).select("seq", "path", "x.*")
+
+    by_schema: dict[int, list[str]] = {}
+    shapes = {}
+    for r in files.select(F.xxhash64("fields").alias("h"), "fields").distinct().collect():  # a row a schema
+        shapes[r["h"]] = {f["c"]: f["name"] for f in r["fields"]}
+    for r in files.select("seq", F.xxhash64("fields").alias("h")).collect():
+        by_schema.setdefault(r["h"], []).append(paths[r["seq"]])
     parts = []
-    for cols, files in by_schema.items():
-        df, own = spark.read.parquet(*files), {aliases.get(n, n): n for n, _ in cols}
-        parts.append(df.select(*((F.col(f"`{own[c]}`") if c in own else F.lit(None)).cast(SPARK_OF.get(t, "string") if t != "null" else "string").alias(c) for c, t in union.items())))
-    table = functools.reduce(DataFrame.unionByName, parts)
-    return table, spark.createDataFrame(sorted(log, key=lambda x: (x[0], x[2], x[3])), "seq bigint, path string, change string, name string, old string, new string")
+    for h, named in by_schema.items():
+        df, here = spark.read.parquet(*named), shapes[h]
+        parts.append(df.select(*((F.col(f"`{here[c]}`") if c in here else F.lit(None)).cast(SPARK_OF.get(t, "string") if t != "null" else "string").alias(c) for c, t in union.items())))
+    return functools.reduce(DataFrame.unionByName, parts), log.orderBy("seq", "change", "name")

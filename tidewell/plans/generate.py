@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.functions.ids import spelled
 from tidewell.functions.kpi import ratio_or_zero
-from tidewell.schemas import CTR, CVR, FILL_RATE, IMPRESSIONS_PER_CLICK, REQUESTS_PER_CLICK, REVENUE_PER_CONVERSION
+from tidewell.schemas import CTR, CVR, FILL_RATE, IMPRESSIONS_PER_CLICK, NATIVE_FIELDS, REQUESTS_PER_CLICK, REVENUE_PER_CONVERSION, SITE_CATEGORIES
 
 SYNTHETIC_BASE, SYNTHETIC_CAMPAIGNS = 90_000_000, 5
 
@@ -24,15 +25,53 @@ def synthesise(clicks: DataFrame, requests: int = REQUESTS_PER_CLICK, impression
     return e.select(digest.alias("event_id"), "s.event_type", "auction_id", "campaign_id", "uid", F.when(free, 0.0).otherwise(F.col("cost")).alias("cost"))
 
 
-def random_funnel(spark: SparkSession, auctions: int, seed: int = 42, fill: float = FILL_RATE, ctr: float = CTR, cvr: float = CVR) -> DataFrame:
-    """A funnel of random auctions: a request always, each further step with its rate if the one before happened."""
+CAMPAIGNS, BANNERS = 50, [(300, 250, 1), (728, 90, 3), (320, 50, 1)]
+DEVICES = {1: ["android", "ios"], 2: ["windows", "macos", "linux"], 4: ["ios", "android"]}
+SITES = ["news.example", "sports.example", "tech.example", "shop.example"]
+COUNTRIES = ["KR", "US", "JP", "DE", "SG"]
+START = 1_704_067_200
+
+
+def drawn(name: str, row: Column, seed: int) -> Column:
+    """A number from 0 to below 1 that follows from the name, the row's number and the seed alone."""
+    digest = F.substring(F.md5(F.concat_ws("/", F.lit(name), F.lit(str(seed)), row.cast("string"))), 1, 7)
+    return F.conv(digest, 16, 10).cast("double") / F.lit(268435456.0)
+
+
+def random_funnel(
+    spark: SparkSession, auctions: int, seed: int = 42, fill: float = FILL_RATE, ctr: float = CTR, cvr: float = CVR, per_second: float = 100.0, start: int = START, floors: tuple[float, float] = (0.25, 0.9)
+) -> DataFrame:
+    """Wire events of random auctions: a request always, each further step with its rate if the one before happened.
+
+    All events of an auction share campaign, banner, device, site, user and bid, which is 1.2 to 1.8 times the campaign's
+    floor price; each campaign has a floor of its own between ``floors``. ``per_second`` auctions share a second from
+    ``start`` on, which is the pace at which a paced sink would send them. The same seed gives the same events. No
+    auction, no event.
+    """
+    u = lambda name: drawn(name, F.col("id"), seed)
+    pick = lambda name, n: F.floor(u(name) * n).cast("int")
+    of = lambda values, k: F.get(F.array(*map(F.lit, values)), k)
     a = spark.range(auctions).select(
-        F.col("id").alias("auction"), (10_000_001 + F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(50))).cast("int").alias("campaign_id"),
-        F.rand(seed).alias("r1"), F.rand(seed + 1).alias("r2"), F.rand(seed + 2).alias("r3"), F.round(F.rand(seed + 3) * 0.6 + 1.2, 4).alias("factor"),
+        "id", (10_000_001 + pick("campaign", CAMPAIGNS)).alias("campaign_id"), pick("banner", len(BANNERS)).alias("b"), of(list(DEVICES), pick("device", len(DEVICES))).alias("device_type"),
+        of(SITES, pick("site", len(SITES))).alias("site_domain"), of(SITE_CATEGORIES, pick("category", len(SITE_CATEGORIES))).alias("site_cat"), of(COUNTRIES, pick("country", len(COUNTRIES))).alias("country"),
+        F.format_string("u_%07d", F.floor(u("user") * 1_000_000) + 1).alias("uid"), u("os").alias("os_draw"), u("premium").alias("premium"), u("fill").alias("r1"), u("ctr").alias("r2"), u("cvr").alias("r3"),
+        (F.lit(start) + F.floor(F.col("id") / F.lit(per_second))).cast("bigint").alias("timestamp"), spelled(F.md5(F.concat_ws("/", F.lit("auction"), F.lit(str(seed)), F.col("id").cast("string")))).alias("auction_id"),
     )
-    imp, clk, conv = F.col("r1") < fill, (F.col("r1") < fill) & (F.col("r2") < ctr), (F.col("r1") < fill) & (F.col("r2") < ctr) & (F.col("r3") < cvr)
-    steps = F.array_compact(F.array(F.lit("request"), F.when(imp, "impression"), F.when(clk, "click"), F.when(conv, "conversion")))
-    return a.select("auction", "campaign_id", F.round(F.lit(0.5) * F.col("factor"), 4).alias("bid_price"), F.explode(steps).alias("event_type"))
+    floor_price = F.round(F.lit(floors[0]) + drawn("floor", F.col("campaign_id"), seed) * (floors[1] - floors[0]), 2)
+    systems = F.element_at(F.create_map(*(x for k, v in DEVICES.items() for x in (F.lit(k), F.array(*map(F.lit, v))))), F.col("device_type"))
+    a = a.withColumns({"floor_price": floor_price, "os": F.get(systems, F.floor(F.col("os_draw") * F.size(systems)).cast("int"))})
+    a = a.withColumn("bid_price", F.round(F.col("floor_price") * (1.2 + F.col("premium") * 0.6), 4))
+    for n, k in (("banner_w", 0), ("banner_h", 1), ("banner_pos", 2)):
+        a = a.withColumn(n, of([x[k] for x in BANNERS], F.col("b")))
+    imp = F.col("r1") < fill
+    clk = imp & (F.col("r2") < ctr)
+    steps = F.array_compact(F.array(F.lit("request"), F.when(imp, "impression"), F.when(clk, "click"), F.when(clk & (F.col("r3") < cvr), "conversion")))
+    e = a.withColumn("event_type", F.explode(steps))
+    made = {
+        "event_id": spelled(F.md5(F.concat_ws("/", "auction_id", "event_type"))), "source": F.lit("dummy"), "banner_id": F.concat_ws("_", "campaign_id", "banner_w", "banner_pos"),
+        "produced_at": F.date_format(F.timestamp_seconds("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'+00:00'"),
+    }
+    return e.withColumns(made).select(*NATIVE_FIELDS)
 
 
 def _uniform(name: str, lo: float, hi: float) -> Column:

@@ -176,3 +176,19 @@ def recent_days(kpis: DataFrame, day: Column, n: int) -> DataFrame:
     """The last ``n`` days there are, up to ``day``."""
     return kpis.where(F.col("event_date") <= day).orderBy(F.desc("event_date")).limit(n)
 
+
+
+def trend_chart(kpis: DataFrame, metric: str, width: int = 720, height: int = 240) -> str:
+    """The days of ``recent_days`` (at most a month, a row each) as an SVG line of one metric. Nulls leave a gap."""
+    rows = sorted(((r["event_date"], r[metric]) for r in kpis.select("event_date", metric).collect()), key=lambda r: str(r[0]))
+    known = [float(v) for _, v in rows if v is not None]
+    top, step = max(known, default=0) or 1.0, width / max(1, len(rows) - 1)
+    lines: list[list[str]] = [[]]
+    for k, (_, v) in enumerate(rows):
+        if v is None:
+            lines.append([])
+        else:
+            lines[-1].append(f"{k * step:.1f},{height - float(v) / top * height:.1f}")
+    drawn = "".join(f'<polyline fill="none" stroke="#2a6fb0" stroke-width="2" points="{" ".join(p)}"/>' for p in lines if p)
+    ends = f"{rows[0][0]} to {rows[-1][0]}" if rows else "no days"
+    return f'<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 -20 {width} {height + 40}"><text x="0" y="-6" font-size="13">{metric}, {ends}</text>{drawn}</svg>'

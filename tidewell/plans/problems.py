@@ -1,4 +1,4 @@
-"""Queries of the general data problems 1 to 7, each over its whole tables, and their SQL."""
+"""Queries of the general data problems 1 to 3 and 5 to 7, each over its whole tables, and their SQL."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.functions.ids import bare_id, message_id, spelled
-from tidewell.operators import compaction, dedup_index, late_events, multires, schema_drift, sessions, skew
+from tidewell.operators import compaction, dedup_index, late_events, schema_drift, sessions, skew
 from tidewell.operators.standing import standing_events
 from tidewell.schemas import EVENT_TYPES, WIRE
 from tidewell.session import materialise, scratch
@@ -90,10 +90,6 @@ def p3_banners(spark: SparkSession, d: str) -> DataFrame:
     return skew.funnel_by_key(load(spark, d, "processed_events"), "banner_id")
 
 
-def p4_distinct(spark: SparkSession, d: str) -> DataFrame:
-    return multires.distinct_counts(load(spark, d, "processed_events"), "uid", "event_date", "campaign_id")
-
-
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return _compacted(spark, d).select("dt", "hour")
 
@@ -140,7 +136,7 @@ def p7_events_rows(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("event_id", spelled("__id")).select(df.columns)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_schemas, p1_clicks, p2_found, p2_sessions, p3_found, p3_campaigns, p3_banners, p4_distinct, p5_found, p5_compacted, p6_found, p6_hourly, p7_found, p7_clicks, p7_events, p7_clicks_rows, p7_events_rows)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_schemas, p1_clicks, p2_found, p2_sessions, p3_found, p3_campaigns, p3_banners, p5_found, p5_compacted, p6_found, p6_hourly, p7_found, p7_clicks, p7_events, p7_clicks_rows, p7_events_rows)}
 
 _BARE = "nullif(lower(trim(replace(event_id, '-', ''))), '')"
 _UUID = "substr({0},1,8)||'-'||substr({0},9,4)||'-'||substr({0},13,4)||'-'||substr({0},17,4)||'-'||substr({0},21,12)"
@@ -234,6 +230,8 @@ SQL = {
     "p3_campaigns": _funnel_sql("campaign_id"),
     "p3_banners": _funnel_sql("banner_id"),
     "p5_found": f"WITH {_FILES} SELECT dt, hour FROM c",
+    "p5_compacted": f"""WITH {_FILES}, b AS (SELECT dt, hour, count(*) AS files_before FROM h GROUP BY dt, hour), r AS (SELECT dt, hour, count(*) AS n_records FROM ad_clicks GROUP BY dt, hour)
+ SELECT dt, hour, files_before, 1::bigint AS files_after, n_records FROM c JOIN b USING (dt, hour) JOIN r USING (dt, hour)""",
     "p6_found": f"{_ARRIVAL} SELECT {_UUID.format('id')} AS event_id FROM b WHERE id IS NOT NULL AND delay_us > 86400000000",
     "p6_hourly": _hourly_sql(),
     "p7_found": f"""WITH {_MESSAGES}, e AS (SELECT {_BARE} AS id FROM processed_events)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from tidewell.functions.ids import bare_id
 from tidewell.plans import generate, gold, health, silver
 from tidewell.plans.problems import _BARE, _UUID
-from tidewell.schemas import BRONZE, EVENT_TYPES, REPLAY_EPOCH, SILVER, SITE_CATEGORIES, bronze_table_of, topic_of
+from tidewell.schemas import BRONZE, BRONZE_PARTITION, EVENT_TYPES, REPLAY_EPOCH, SILVER, SITE_CATEGORIES, bronze_table_of, topic_of
 from tidewell.session import scratch
 from tidewell.sources import wire
 from tidewell.sources.tables import load
@@ -147,6 +148,26 @@ def bronze_hour_slice(spark: SparkSession, d: str) -> DataFrame:
     return _window(spark, d, "2024-01-05 06:00:00", window_days=2, hour=9)
 
 
+def _bronze(spark: SparkSession, d: str) -> dict[str, ManagedTable]:
+    """The four Bronze tables, by day and hour."""
+    made = {n: _table(spark, f"bronze.{n}", BRONZE, BRONZE_PARTITION, stats=["ingested_at"]) for n in wire.bronze_tables(spark, d)}
+    for n, df in wire.bronze_tables(spark, d).items():
+        made[n].append(df)
+    return made
+
+
+_WINDOWS = {"sliding": ("dt >= '2024-01-03'", {"window_days": 2}), "lookback": ("ingested_at >= TIMESTAMPTZ '2024-01-05 03:00:00+00'", {"lookback_hours": 3}), "hour": ("dt >= '2024-01-03' AND hour = 9", {"window_days": 2, "hour": 9})}
+
+
+@query(f"WITH {_FOUR} " + " UNION ALL ".join(f"SELECT '{n}' AS win, count(*) AS cnt FROM b WHERE {w}" for n, (w, _) in _WINDOWS.items()))
+def bronze_table_windows(spark: SparkSession, d: str) -> DataFrame:
+    """The three kinds of window over managed tables, whose files are pruned before they are opened."""
+    tables = list(_bronze(spark, d).values())
+    at = dt.datetime(2024, 1, 5, 6)
+    parts = [silver.scan_window(tables, at, **kw).agg(F.count(F.lit(1)).alias("cnt")).select(F.lit(n).alias("win"), "cnt") for n, (_, kw) in _WINDOWS.items()]
+    return reduce(DataFrame.unionAll, parts)
+
+
 # --- Silver ----------------------------------------------------------------------------------------------------------
 
 _OUT = ["event_id", "event_type", "source", "auction_id", "campaign_id", "event_epoch", "event_date", "uid", "banner_id", "site_cat", "device_type", "os", "country", "cost", "conversion"]
@@ -165,10 +186,10 @@ def _str(f: str) -> str:
     return f"json_extract_string(j, '$.{f}')"
 
 
-def _parse_sql(source: str) -> str:
-    common = f"{_str('event_id')} AS event_id, {_str('event_type')} AS event_type, '{source}' AS source, {_str('auction_id')} AS auction_id"
+def _parse_sql(source: str, more: str = "") -> str:
+    common = f"{more}{_str('event_id')} AS event_id, {_str('event_type')} AS event_type, '{source}' AS source, {_str('auction_id')} AS auction_id"
     conv = f"CASE WHEN {_str('event_type')} = 'conversion' THEN 1 ELSE 0 END AS conversion"
-    frm = f"FROM (SELECT json({_JSON}) AS j FROM ad_clicks) WHERE json_type(j) = 'OBJECT' AND json_extract_string(j, '$.source') = '{source}'"
+    frm = f"FROM (SELECT *, json({_JSON}) AS j FROM ad_clicks) WHERE json_type(j) = 'OBJECT' AND json_extract_string(j, '$.source') = '{source}'"
     if source == "dummy":
         epoch = _num("timestamp")
         rest = f"{_num('campaign_id', 'int')} AS campaign_id, {epoch} AS event_epoch, {_str('uid')} AS uid, {_str('banner_id')} AS banner_id, {_str('site_cat')} AS site_cat, {_num('device_type', 'int')} AS device_type, {_str('os')} AS os, {_str('country')} AS country, round({_num('bid_price', 'double')}, 6) AS cost"
@@ -225,6 +246,18 @@ def silver_conversion_delay(spark: SparkSession, d: str) -> DataFrame:
     return _delayed(spark, d)
 
 
+@query(f"""WITH {_TAGGED}, {_latest('s')}, stored AS (SELECT * FROM s WHERE updated_at < {_SPLIT}), batch AS (SELECT * FROM s WHERE updated_at >= {_SPLIT}),
+ k AS (SELECT auction_id, min(event_timestamp) AS click_ts FROM s WHERE event_type = 'click' AND auction_id IS NOT NULL GROUP BY 1)
+ SELECT event_id, epoch_us(event_timestamp) // 1000000 - epoch_us(click_ts) // 1000000 AS conversion_delay_sec FROM batch LEFT JOIN k USING (auction_id) WHERE event_type = 'conversion'""")
+def silver_stored_clicks(spark: SparkSession, d: str) -> DataFrame:
+    """Delays of a batch's conversions, whose clicks came with the batch or are stored already."""
+    s = _silver(spark, d)
+    t = _table(spark, "silver.processed_events", SILVER, ["event_date"])
+    t.append(s.where(F.col("updated_at") < now(SPLIT)))
+    e = silver.conversion_delay(s.where(F.col("updated_at") >= now(SPLIT)), t.scan())
+    return e.where(F.col("event_type") == "conversion").select("event_id", "conversion_delay_sec")
+
+
 @query(f"WITH {_DELAY} SELECT count(*) AS conversions, count(conversion_delay_sec) AS delay_filled, min(conversion_delay_sec) AS min_delay_sec, round(avg(conversion_delay_sec), 4) AS avg_delay_sec, max(conversion_delay_sec) AS max_delay_sec FROM c")
 def silver_delay_stats(spark: SparkSession, d: str) -> DataFrame:
     s = F.col("conversion_delay_sec")
@@ -283,7 +316,17 @@ def silver_merge_upsert(spark: SparkSession, d: str) -> DataFrame:
     return _merged(spark, d).scan().select("event_id", "event_date", "cost", F.unix_micros("updated_at").alias("updated_us"))
 
 
-@query()
+_CAME = "ingested_at, kafka_partition, kafka_offset, "
+_PIPELINE = f"""WITH c AS (({_parse_sql('dummy', _CAME)}) UNION ALL BY NAME ({_parse_sql('criteo', _CAME)})),
+ o AS (SELECT event_id, event_type, source, auction_id, campaign_id, uid, cost, event_timestamp, updated_at AS ingested_at, ((campaign_id % 3) + 3) % 3 AS kafka_partition, epoch_us(updated_at) AS kafka_offset
+  FROM processed_events WHERE event_type IN ('request', 'impression', 'conversion') AND source IN ('dummy', 'criteo')),
+ processed_events AS (SELECT event_id, event_type, source, auction_id, campaign_id, uid, cost, to_timestamp(event_epoch) AS event_timestamp, ingested_at, kafka_partition, kafka_offset FROM c UNION ALL BY NAME SELECT * FROM o),
+ {_TAGGED}, s AS (SELECT * FROM t WHERE reject_reason IS NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC, kafka_partition DESC, kafka_offset DESC) = 1),
+ k AS (SELECT DISTINCT auction_id FROM s WHERE event_type = 'click' AND auction_id IS NOT NULL)
+ SELECT source, event_type, count(*) AS cnt, count(k.auction_id) FILTER (event_type = 'conversion') AS delays FROM s LEFT JOIN k ON s.auction_id = k.auction_id GROUP BY source, event_type"""
+
+
+@query(_PIPELINE)
 def silver_pipeline(spark: SparkSession, d: str) -> DataFrame:
     """The whole chain over all four topics: parse, validate, deduplicate, enrich; rows by source and type."""
     raw = silver.read_window(list(wire.bronze_tables(spark, d).values()), now())
@@ -383,10 +426,7 @@ def freshness_minutes(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def health_report(spark: SparkSession, d: str) -> DataFrame:
-    bronze = []
-    for n, df in wire.bronze_tables(spark, d).items():
-        bronze.append(_table(spark, f"bronze.{n}", BRONZE, ["dt"]))
-        bronze[-1].append(df)
+    bronze = list(_bronze(spark, d).values())
     s = _table(spark, "silver.processed_events", SILVER, ["event_date"])
     s.append(_silver(spark, d))
     marts = {
@@ -438,7 +478,14 @@ def report_day(spark: SparkSession, d: str) -> DataFrame:
     return gold.report_day(_campaigns(spark, d), now())
 
 
-@query()
+def _lines_sql() -> str:
+    change = lambda c: f"CASE WHEN {c} IS NULL THEN 'n/a' ELSE CASE WHEN {c} >= 0 THEN '▲' ELSE '▼' END || printf('%+.1f%%', {c}) END"
+    short = "CASE WHEN abs(value) >= 1e6 THEN printf('%.2fM', value / 1e6) WHEN abs(value) >= 1e3 THEN printf('%.1fk', value / 1e3) ELSE printf('%.0f', value) END"
+    shown = f"CASE WHEN metric = 'cost' THEN '$' || format('{{:,}}', round(value)::bigint) WHEN metric IN ('ctr', 'cvr') THEN printf('%.2f%%', value * 100) WHEN metric = 'roas' THEN printf('%.2fx', value) ELSE {short} END"
+    return f"SELECT metric, {shown} AS shown, {change('wow_pct')} AS wow, {change('mom_pct')} AS mom FROM ({_wow_sql()})"
+
+
+@query(_lines_sql())
 def report_lines(spark: SparkSession, d: str) -> DataFrame:
     return gold.report_lines(wow_mom_report(spark, d))
 
@@ -465,7 +512,15 @@ def funnel_synthesis(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("event_type", "campaign_id").agg(F.count(F.lit(1)).alias("n_events"), F.round(F.sum("cost"), 4).alias("cost"))
 
 
-@query()
+def _drawn(name: str) -> str:
+    return f"(('0x' || substr(md5('{name}/42/' || i), 1, 7))::bigint::double / 268435456.0)"
+
+
+_STEPS = f"""a AS (SELECT i, cast(10000001 + floor({_drawn('campaign')} * 50) AS int) AS campaign_id, {_drawn('fill')} < 0.8 AS imp, {_drawn('ctr')} < 0.025 AS clk, {_drawn('cvr')} < 0.035 AS cnv FROM range(100000) t(i)),
+ e AS (SELECT campaign_id, 'request' AS event_type FROM a UNION ALL SELECT campaign_id, 'impression' FROM a WHERE imp UNION ALL SELECT campaign_id, 'click' FROM a WHERE imp AND clk UNION ALL SELECT campaign_id, 'conversion' FROM a WHERE imp AND clk AND cnv)"""
+
+
+@query(f"WITH {_STEPS} SELECT campaign_id, event_type, count(*) AS n_events FROM e GROUP BY ALL")
 def generated_funnel(spark: SparkSession, d: str) -> DataFrame:
     return generate.random_funnel(spark, 100_000).groupBy("campaign_id", "event_type").agg(F.count(F.lit(1)).alias("n_events"))
 
@@ -520,17 +575,27 @@ def _bronze_in_batches(spark: SparkSession, d: str) -> ManagedTable:
     return t
 
 
-@query()
+_BATCH = "hour(ingested_at AT TIME ZONE 'UTC') % 6"
+
+
+@query(f"SELECT row_number() OVER (ORDER BY k) AS version, 'append' AS operation, cast(n AS varchar) AS added, '0' AS deleted FROM (SELECT {_BATCH} AS k, count(*) AS n FROM ad_clicks GROUP BY 1)")
 def meta_snapshots(spark: SparkSession, d: str) -> DataFrame:
     s = _bronze_in_batches(spark, d).snapshots()
     return s.select("version", "operation", F.col("summary")["added-records"].alias("added"), F.col("summary")["deleted-records"].alias("deleted")).orderBy(F.desc("version")).limit(10)
 
 
-@query()
+@query(f"SELECT count(DISTINCT {_BATCH}) AS manifests, count(DISTINCT ({_BATCH}, dt))::bigint AS data_files FROM ad_clicks")
 def meta_manifests(spark: SparkSession, d: str) -> DataFrame:
     return _bronze_in_batches(spark, d).manifests().agg(F.count(F.lit(1)).alias("manifests"), F.sum("data_files").alias("data_files"))
 
 
+@query(f"SELECT dt, count(DISTINCT {_BATCH}) AS files, count(*)::bigint AS records, true AS sized FROM ad_clicks GROUP BY dt")
+def meta_table_files(spark: SparkSession, d: str) -> DataFrame:
+    """File statistics of a managed table, from its own metadata."""
+    f = _bronze_in_batches(spark, d).files().groupBy(F.col("partition")["dt"].alias("dt"))
+    return f.agg(F.count(F.lit(1)).alias("files"), F.sum("record_count").alias("records"), (F.min("file_size_in_bytes") > 0).alias("sized"))
+
+
 @query("SELECT dt, count(*) AS cnt, count(DISTINCT (kafka_partition, kafka_offset, ingested_at)) AS messages FROM ad_clicks GROUP BY dt")
 def compaction_lossless(spark: SparkSession, d: str) -> DataFrame:
     t = _bronze_in_batches(spark, d)
@@ -538,7 +603,7 @@ def compaction_lossless(spark: SparkSession, d: str) -> DataFrame:
     return t.scan().groupBy("dt").agg(F.count(F.lit(1)).alias("cnt"), F.count_distinct("kafka_partition", "kafka_offset", "ingested_at").alias("messages"))
 
 
-@query()
+@query("SELECT 5::bigint AS expired_snapshots, 0::bigint AS deleted_files, 2::bigint AS kept")
 def expire_result(spark: SparkSession, d: str) -> DataFrame:
     t = _bronze_in_batches(spark, d)
     maintenance.compact(t)
@@ -546,7 +611,7 @@ def expire_result(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(r["expired_snapshots"], r["deleted_files"], len(t.versions()))], "expired_snapshots bigint, deleted_files bigint, kept bigint")
 
 
-@query()
+@query("SELECT 1::bigint AS deleted_orphans, count(*) AS rows_left FROM ad_clicks")
 def orphan_result(spark: SparkSession, d: str) -> DataFrame:
     t = _bronze_in_batches(spark, d)
     t._stage(load(spark, d, "ad_clicks").where(F.col("dt") == "2024-01-03"))  # written, never committed
@@ -559,7 +624,7 @@ def stream_bronze_ingest(spark: SparkSession, d: str) -> DataFrame:
     landing = scratch(spark, "landing")
     for t in EVENT_TYPES:
         wire.records(spark, d, t).drop("ingested_at").write.mode("append").parquet(landing)
-    tables = {bronze_table_of(topic_of(t)): _table(spark, f"bronze.{bronze_table_of(topic_of(t))}", BRONZE, ["dt"]) for t in EVENT_TYPES}
+    tables = {bronze_table_of(topic_of(t)): _table(spark, f"bronze.{bronze_table_of(topic_of(t))}", BRONZE, BRONZE_PARTITION) for t in EVENT_TYPES}
     ingest.supervise(lambda: ingest.start(ingest.file_stream(spark, landing), tables, scratch(spark, "checkpoint"), every=None))
     parts = [t.scan().agg(F.count(F.lit(1)).alias("cnt")).select(F.lit(n).alias("tbl"), "cnt") for n, t in tables.items()]
     return reduce(DataFrame.unionAll, parts)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import functools
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.ids import bare_id, spelled
 from tidewell.schemas import EVENT_TYPES, NATIVE_FIELDS, REPLAY_EPOCH, REPLAY_FIELDS, SILVER_COLUMNS, SITE_CATEGORIES, ddl
+from tidewell.table.managed import ManagedTable
 
 #: Rejections, first match wins.
 REASONS = ["null_event_id", "bad_event_type", "null_campaign_id", "null_uid", "negative_cost", "timestamp_out_of_range"]
@@ -33,6 +35,17 @@ def read_window(tables: list[DataFrame], as_of: Column, window_days: int = 7, ho
     return functools.reduce(DataFrame.unionByName, parts)
 
 
+def scan_window(tables: list[ManagedTable], as_of: dt.datetime, window_days: int = 7, hour: int | None = None, lookback_hours: int | None = None) -> DataFrame:
+    """``read_window`` over managed Bronze tables (by dt and hour, with ``stats`` of ingested_at): files are pruned by
+    their partition or greatest ingested_at before any is opened. ``as_of`` is in UTC."""
+    first, at_least = str((as_of - dt.timedelta(days=window_days)).date()), None
+    if lookback_hours is not None:
+        first, at_least = "", {"ingested_at": str(as_of - dt.timedelta(hours=lookback_hours))}
+    keep = lambda p: (p["dt"] or "") >= first and (hour is None or hour < 0 or p["hour"] == str(hour))
+    scans = [t.scan(where=keep, at_least=at_least) for t in tables]
+    return read_window(scans, F.lit(str(as_of)).cast("timestamp"), window_days, hour, lookback_hours)
+
+
 def _common(e: str, campaign: Column, cost: Column, seconds: Column, banner: Column, cat: Column, device: Column, os: Column, country: Column) -> list[Column]:
     f = lambda n: F.col(f"{e}.{n}")
     at = F.timestamp_seconds(seconds)

@@ -55,6 +55,7 @@ BRONZE = (
     "key string, value string, topic string, kafka_partition int, kafka_offset bigint,"
     " kafka_timestamp timestamp, ingested_at timestamp, dt string, hour int"
 )
+BRONZE_PARTITION = ["dt", "hour"]
 SILVER = (
     "event_id string, event_type string, source string, auction_id string, campaign_id int,"
     " event_timestamp timestamp, event_date date, uid string, banner_id string, site_cat string,"

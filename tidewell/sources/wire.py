@@ -48,6 +48,24 @@ def records(spark: SparkSession, d: str, event_type: str) -> DataFrame:
     )
 
 
+def messages_of(events: DataFrame) -> DataFrame:
+    """``key, value, topic`` of wire events: the campaign as key, so that a campaign's events stay in one partition and in
+    order; the whole row as JSON; the topic by event type."""
+    topic = F.concat(F.lit("ad-"), F.col("event_type"), F.lit("s"))
+    return events.select(F.col("campaign_id").cast("string").alias("key"), F.to_json(F.struct(*events.columns)).alias("value"), topic.alias("topic"))
+
+
+def produce(messages: DataFrame, servers: str | None = None, landing: str | None = None) -> None:
+    """Sends each message to its topic at a broker (needs Spark's Kafka package), or to a landing folder, from which
+    ``streaming.ingest.file_stream`` reads. Rows without topic are left out."""
+    m = messages.where(F.col("topic").isNotNull())
+    if servers:
+        m.write.format("kafka").option("kafka.bootstrap.servers", servers).save()
+    if landing:
+        stamped = m.select("key", "value", "topic", F.pmod(F.xxhash64("key"), F.lit(3)).cast("int").alias("partition"), F.monotonically_increasing_id().alias("offset"), F.current_timestamp().alias("timestamp"))
+        stamped.write.mode("append").parquet(landing)
+
+
 def project_bronze(rec: DataFrame, ingested_at: Column | None = None) -> DataFrame:
     """Broker records as Bronze rows: text of key and value, metadata renamed, day and hour of the broker's timestamp."""
     return rec.select(

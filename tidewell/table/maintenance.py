@@ -78,9 +78,9 @@ def remove_orphans(table: ManagedTable, older_than_hours: float = 72, now_ms: in
     ones may belong to a commit under way."""
     hours = max(24, older_than_hours)
     limit = (now_ms or int(time.time() * 1000)) - hours * 3_600_000
-    named = {e["path"] for v in table.versions() for e in table._entries(table.snapshot(v))}
+    named = {short(e["path"]) for v in table.versions() for e in table._entries(table.snapshot(v))}
     manifests = {m for v in table.versions() for m in table.snapshot(v)["manifests"]}
-    dead = [p for p, _, ms in walk(table.spark, f"{table.root}/data") if p not in named and ms < limit and not p.endswith("_SUCCESS")]
+    dead = [p for p, _, ms in walk(table.spark, f"{table.root}/data") if short(p) not in named and ms < limit and not p.endswith("_SUCCESS")]
     dead += [p for p, _, ms in walk(table.spark, f"{table.root}/manifests") if p.rpartition("/")[2] not in manifests and ms < limit]
     for p in dead:
         delete(table.spark, p)

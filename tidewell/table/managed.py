@@ -19,7 +19,7 @@ from urllib.parse import unquote
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.table.files import CommitConflict, create_json, delete, make_dirs, names, read_json, walk
+from tidewell.table.files import CommitConflict, create_json, delete, make_dirs, names, read_json
 
 TARGET_BYTES = 128 * 1024 * 1024
 RETRIES = 5
@@ -104,21 +104,17 @@ class ManagedTable:
             out = out.repartition(*tags)  # a group fits into one file
         else:
             out = out.hint("rebalance", *map(F.col, tags)) if tags else out.hint("rebalance")
-        with self._advised():
+        with self._advised(coalesce=not tags):
             (out.write.partitionBy(*tags) if tags else out.write).parquet(base)
-        files = [(p, n) for p, n, _ in walk(self.spark, base) if p.endswith(".parquet")]
-        if not files:
-            return []
         stats = self.properties.get("stats", [])
         # rows are counted from footers: no column is read but those of the stats property
-        read = self._read([p for p, _ in files]).groupBy(F.col("_metadata.file_path").alias("__file"))
-        counted = {short(unquote(r["__file"])): r for r in read.agg(F.count(F.lit(1)).alias("__n"), *(F.max(c).cast("string").alias(f"__max_{c}") for c in stats)).collect()}  # a row a file
+        written = self.spark.read.schema(self.schema).option("recursiveFileLookup", "true").parquet(base)
+        read = written.groupBy(F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_size").alias("__bytes"))
         entries = []
-        for path, size in files:
-            r = counted.get(short(path))
-            if r:
-                entries.append({"path": path, "bytes": size, "records": r["__n"], "partition": self._partition_of(path)} | ({"max": {c: r[f"__max_{c}"] for c in stats}} if stats else {}))
-        return entries
+        for r in read.agg(F.count(F.lit(1)).alias("__n"), *(F.max(c).cast("string").alias(f"__max_{c}") for c in stats)).collect():  # a row a file
+            path = f"{self.root}/data/{short(unquote(r['__file']))}"
+            entries.append({"path": path, "bytes": r["__bytes"], "records": r["__n"], "partition": self._partition_of(path)} | ({"max": {c: r[f"__max_{c}"] for c in stats}} if stats else {}))
+        return sorted(entries, key=lambda e: e["path"])
 
     def _partition_of(self, path: str) -> dict[str, str | None]:
         """The partition values of a new file, from the names of its folders."""
@@ -127,15 +123,19 @@ class ManagedTable:
         return {c: None if v == NULL_NAME else unquote(v) for c, v in value.items()}
 
     @contextlib.contextmanager
-    def _advised(self) -> Iterator[None]:
-        """Writes inside aim at files of the target size: AQE splits partitions beyond it, and joins those below."""
-        conf, name = self.spark.conf, "spark.sql.adaptive.advisoryPartitionSizeInBytes"
-        before = conf.get(name, None)
-        conf.set(name, str(int(self.properties["target-bytes"]) * SHUFFLED))
+    def _advised(self, coalesce: bool) -> Iterator[None]:
+        """Writes inside aim at files of the target size: AQE splits partitions beyond it and, if ``coalesce``, joins those
+        below. A partitioned table's need not be joined, as each of its partitions makes a file anyway."""
+        conf = self.spark.conf
+        want = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": str(int(self.properties["target-bytes"]) * SHUFFLED), "spark.sql.adaptive.coalescePartitions.enabled": str(coalesce).lower()}
+        before = {k: conf.get(k, None) for k in want}
+        for k, v in want.items():
+            conf.set(k, v)
         try:
             yield
         finally:
-            conf.unset(name) if before is None else conf.set(name, before)
+            for k, v in before.items():
+                conf.unset(k) if v is None else conf.set(k, v)
 
     def _commit(self, base: dict, operation: str, added: list[dict], removed: set[str], extra: dict | None = None, replaces: Callable[[dict], bool] | None = None) -> dict:
         """A new snapshot on top of the newest. Fails if another commit removed one of the files to remove, or, for
