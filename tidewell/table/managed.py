@@ -18,6 +18,7 @@ from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.conf import RuntimeConfig
 
 from tidewell.table.files import CommitConflict, create_json, delete, make_dirs, names, read_json
 
@@ -104,7 +105,7 @@ class ManagedTable:
             out = out.repartition(*tags)  # a group fits into one file
         else:
             out = out.hint("rebalance", *map(F.col, tags)) if tags else out.hint("rebalance")
-        with self._advised(coalesce=not tags):
+        with self._advised(df.sparkSession.conf, coalesce=not tags):
             (out.write.partitionBy(*tags) if tags else out.write).parquet(base)
         stats = self.properties.get("stats", [])
         # rows are counted from footers: no column is read but those of the stats property
@@ -123,10 +124,9 @@ class ManagedTable:
         return {c: None if v == NULL_NAME else unquote(v) for c, v in value.items()}
 
     @contextlib.contextmanager
-    def _advised(self, coalesce: bool) -> Iterator[None]:
+    def _advised(self, conf: RuntimeConfig, coalesce: bool) -> Iterator[None]:
         """Writes inside aim at files of the target size: AQE splits partitions beyond it and, if ``coalesce``, joins those
-        below. A partitioned table's need not be joined, as each of its partitions makes a file anyway."""
-        conf = self.spark.conf
+        below. ``conf`` is that of the written rows' session, which in a stream is one of its own. A partitioned table's need not be joined, as each of its partitions makes a file anyway."""
         want = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": str(int(self.properties["target-bytes"]) * SHUFFLED), "spark.sql.adaptive.coalescePartitions.enabled": str(coalesce).lower()}
         before = {k: conf.get(k, None) for k in want}
         for k, v in want.items():
