@@ -373,3 +373,47 @@ def test_split_very_long(spark):
 
 def test_nfkc_is_used():
     assert unicodedata.normalize("NFKC", "ﬁ") == "fi"
+
+
+def test_recall_of_planted_passages(spark):
+    rng = random.Random(12)
+    vocabulary = [f"name{k}" for k in range(300)] + ["the", "of", "a"] * 60
+    items = [(k, " ".join(rng.choice(vocabulary) for _ in range(60))) for k in range(60)] + [(900, "too short"), (901, None)]
+    docs = [(k, " ".join(rng.choice(vocabulary) for _ in range(80))) for k in range(50)]
+    d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {r["kind"]: (r["n_planted"], r["n_found"]) for r in contamination.recall(d, i).collect()}
+    assert set(got) == set(contamination.KINDS) and all(n == 60 and hit >= 0.9 * n for n, hit in got.values())
+    texts = {(r["kind"], r["item_id"]): r["text"].split() for r in contamination.planted(i).collect()}
+    first = items[0][1].split()[:40]
+    assert texts["copy", 0] == first and texts["swapped", 0][:6] == [first[k] for k in (1, 0, 2, 4, 3, 5)] and sorted(texts["swapped", 0]) == sorted(first)
+    assert 4 <= sum(a != b for a, b in zip(texts["replaced_30", 0], first)) <= 24
+
+
+def test_paraphrases_against_brute_force(spark):
+    """Every pair of a planted text and an item that has ten words of a passage in order and most of what it says."""
+    rng = random.Random(13)
+    vocabulary = [f"name{k}" for k in range(300)]
+    items = [(k, " ".join(rng.choice(vocabulary) for _ in range(45))) for k in range(30)]
+    i = spark.createDataFrame(items, "item_id bigint, text string")
+    texts = contamination.planted(i).where("kind like 'replaced%'")
+    rows = contamination.leaked(contamination.leaks(texts, i)).collect()
+    got = {(r["doc_id"], r["item_id"]) for r in rows}
+    every = {r["doc_id"]: r["text"].split() for r in texts.collect()}
+    df = defaultdict(int)
+    for w in every.values():
+        for x in set(w):
+            df[x] += 1
+    idf = {x: np.log((1 + len(every)) / (1 + n)) + 1 for x, n in df.items()}
+    want = set()
+    for d, w in every.items():
+        for k, t in items:
+            t = t.split()
+            for a in range(len(w) - 12):
+                for b in range(len(t) - 12):
+                    if len(set(w[a : a + 13]) & set(t[b : b + 13])) < 8:
+                        continue
+                    weights = [idf.get(x, np.log(1 + len(every)) + 1) for x in t[b : b + 13]]
+                    share = sum(v for x, v in zip(t[b : b + 13], weights) if x in w[a : a + 13]) / sum(weights)
+                    if contamination.lcs(w[a : a + 13], t[b : b + 13]) >= 10 and share >= 0.701:
+                        want.add((d, k))
+    assert len(want) > 50 and len(want & got) >= 0.95 * len(want)

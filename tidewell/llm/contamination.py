@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.session import materialise, shipped
@@ -33,7 +33,9 @@ SPAN = 13
 ORDERED = 10
 SLACK = SPAN - ORDERED
 RANK, EXTRA = 64, 8
-COSINE, ANSWER = 0.9, 0.7
+COSINE, ANSWER = 0.8, 0.7
+#: Words in order, and part of the information, of a passage whose words were moved about.
+SHUFFLED = 8, 0.9
 CELLS, PAIRS = 256, 500_000
 BLOCK = 200_000
 SLICE = 256
@@ -488,3 +490,43 @@ def leaks(documents: DataFrame, items: DataFrame, span: int = SPAN, slack: int =
     return result.groupBy("doc_id", "item_id").agg(
         F.max("run").alias("run"), F.max("lcs").alias("lcs"), F.max("answer").alias("answer"), F.max("cosine").alias("cosine"), F.count(F.lit(1)).alias("n_places"), F.min("start").alias("first_word")
     )
+
+
+PLANTED = 40
+KINDS = {"copy": 0.0, "replaced_10": 0.1, "replaced_20": 0.2, "replaced_30": 0.3, "swapped": 0.0}
+
+
+def planted(items: DataFrame, length: int = PLANTED) -> DataFrame:
+    """``(doc_id, item_id, kind, text)``: the first ``length`` words of every item that has so many, once for each of
+    ``KINDS``: as they are, with a share of the words replaced by others, or with two of every three words swapped.
+    ``doc_id`` is negative, so that the texts can go among documents."""
+    w = tokenised(items.select(F.col("item_id").cast("bigint"), "text").where(F.length("text") > 0)).where(F.size("words") >= length)
+    w = w.select("item_id", F.slice("words", 1, length).alias("w"))
+
+    def draw(kind: str, i: Column) -> Column:
+        return F.md5(F.concat_ws("/", F.lit(kind), F.col("item_id").cast("string"), i.cast("string")))
+
+    def text(kind: str, share: float) -> Column:
+        if kind == "swapped":
+            return F.transform("w", lambda x, i: F.get("w", F.when(i == length - 1, i).when(i % 3 == 0, i + 1).when(i % 3 == 1, i - 1).otherwise(i)))
+        return F.transform("w", lambda x, i: F.when(F.conv(F.substring(draw(kind, i), 1, 7), 16, 10).cast("double") < share * 2**28, F.concat(F.lit("zq"), F.substring(draw(kind, i), 8, 8))).otherwise(x))
+
+    made = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(n + 1).alias("no"), F.array_join(text(k, share), " ").alias("text")) for n, (k, share) in enumerate(KINDS.items())))
+    return w.select("item_id", F.explode(made).alias("m")).select((-(F.col("item_id") * len(KINDS) + F.col("m.no"))).alias("doc_id"), "item_id", "m.kind", "m.text")
+
+
+def leaked(matches: DataFrame) -> DataFrame:
+    """The pairs of ``leaks`` that count: a copied run; a paraphrase that keeps ``ORDERED`` words of a passage in order and
+    the ``ANSWER`` part of what it says; or one that keeps fewer in order, but nearly all it says."""
+    kept = (F.col("lcs") >= ORDERED) & (F.col("answer") >= ANSWER)
+    shuffled = (F.col("lcs") >= SHUFFLED[0]) & (F.col("answer") >= SHUFFLED[1])
+    return matches.where((F.col("run") >= SPAN) | kept | shuffled)
+
+
+def recall(documents: DataFrame, items: DataFrame, **kw) -> DataFrame:
+    """``(kind, n_planted, n_found)`` of passages planted among the documents, found with the item they come from."""
+    texts = materialise(planted(items), "planted")
+    docs = documents.select(F.col("doc_id").cast("bigint"), "text").unionByName(texts.select("doc_id", "text"))
+    found = leaked(leaks(docs, items, **kw)).where("doc_id < 0").select("doc_id", "item_id").withColumn("hit", F.lit(1))
+    both = texts.join(found, ["doc_id", "item_id"], "left")
+    return both.groupBy("kind").agg(F.count(F.lit(1)).alias("n_planted"), F.count("hit").alias("n_found"))
