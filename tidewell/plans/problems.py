@@ -11,6 +11,7 @@ from tidewell.operators.standing import standing_events
 from tidewell.schemas import EVENT_TYPES, WIRE
 from tidewell.session import materialise, scratch
 from tidewell.sources.tables import load, spread
+from tidewell.streaming import windows
 
 SLICES = 3
 FILE_OF_ROW = {"dt": "dt", "hour": "hour", "kafka_partition": "kafka_partition", "ingested_at": "committed_at"}
@@ -78,6 +79,12 @@ def p2_sessions(spark: SparkSession, d: str) -> DataFrame:
     return _sessions(spark, d)
 
 
+def p2_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The sessions once more, from a stream with late events under a watermark."""
+    events = standing_events(load(spark, d, "processed_events"), "event_timestamp", "uid", "event_type")
+    return windows.drain_sessions(events)
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return skew.heavy_keys(load(spark, d, "processed_events"), ("campaign_id", "banner_id")).select("key_column", "key_value")
 
@@ -136,7 +143,7 @@ def p7_events_rows(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("event_id", spelled("__id")).select(df.columns)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_schemas, p1_clicks, p2_found, p2_sessions, p3_found, p3_campaigns, p3_banners, p5_found, p5_compacted, p6_found, p6_hourly, p7_found, p7_clicks, p7_events, p7_clicks_rows, p7_events_rows)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_schemas, p1_clicks, p2_found, p2_sessions, p2_stream, p3_found, p3_campaigns, p3_banners, p5_found, p5_compacted, p6_found, p6_hourly, p7_found, p7_clicks, p7_events, p7_clicks_rows, p7_events_rows)}
 
 _BARE = "nullif(lower(trim(replace(event_id, '-', ''))), '')"
 _UUID = "substr({0},1,8)||'-'||substr({0},9,4)||'-'||substr({0},13,4)||'-'||substr({0},17,4)||'-'||substr({0},21,12)"
@@ -223,6 +230,7 @@ SQL = {
  FROM keys WHERE EXISTS (SELECT 1 FROM decl WHERE decl.source = keys.source AND decl.name = keys.k) GROUP BY dt, source, k""",
     "p2_found": f"{_SESSIONS} SELECT uid, session_start, session_end FROM r",
     "p2_sessions": f"{_SESSIONS} SELECT uid, session_start, session_end, session_end - session_start AS duration_sec, n_events, n_request, n_impression, n_click, n_conversion, n_other FROM r",
+    "p2_stream": f"{_SESSIONS} SELECT uid, session_start, session_end, n_events FROM r",
     "p3_found": " UNION ALL ".join(
         f"SELECT '{k}' AS key_column, cast({k} AS varchar) AS key_value FROM processed_events WHERE {k} IS NOT NULL GROUP BY {k} HAVING count(*) > 0.02 * (SELECT count(*) FROM processed_events)"
         for k in ("campaign_id", "banner_id")
