@@ -42,9 +42,12 @@ SLICE = 256
 
 _NUMERAL = re.compile(r"[(\[]\s*\d+(?:\s*[,;.–-]\s*\d+)*\s*[)\]]")
 _BREAK = re.compile("[-\xad\u2010\u2011](?<=[^\\W_].)[^\\S\n]*\n\\s*(?=[^\\W_])")
-_WORD = re.compile(r"\w+")
 #: Beyond the basic plane invisible characters are rare enough for a pattern of their own.
 _ASTRAL = re.compile("[\U00010000-\U0010ffff]")
+#: What isn't ASCII and no letter or digit.
+_SIGN = re.compile(r"[^\x00-\x7f\w]+")
+#: Bytes of UTF-8: ASCII letters become small, other ASCII but digits becomes a space, the rest stays.
+_SMALL = bytes(c if c > 127 else ord(chr(c).lower()) if chr(c).isalnum() else 32 for c in range(256))
 
 
 @functools.cache
@@ -57,24 +60,39 @@ def _invisible() -> tuple[re.Pattern, re.Pattern]:
     return tuple(re.compile("[" + "".join(map(re.escape, part)) + "]") for part in (basic, rest))
 
 
-def words(text: str | None) -> list[str]:
-    """The words that count: runs of letters and digits without regard to case, punctuation, compatibility forms,
-    invisible characters, line layout and bracketed numerals. None for null and empty texts."""
+def _plain(line: str) -> str:
+    """A line that isn't ASCII: compatibility forms resolved, small letters, and a control character for its signs but
+    the dash, which may stand within a numeral."""
+    line = unicodedata.normalize("NFKC", line).replace("\xad", "").replace("–", "-").lower()
+    for gap in "\x85\u1680\u2028\u2029":  # the white space that has no compatible space
+        line = line.replace(gap, " ")
+    return _SIGN.sub("\x01", line)
+
+
+def _shown(line: str) -> str:
+    basic, rest = _invisible()
+    line = basic.sub("", line)
+    return rest.sub("", line) if _ASTRAL.search(line) else line
+
+
+def utf8_words(text: str | None) -> list[bytes]:
+    """``words`` as UTF-8. Only lines that aren't ASCII are looked at by character; tables do the rest."""
     if not text:
         return []
     if not text.isascii():
-        basic, rest = _invisible()
-        text = basic.sub("", text)
-        if _ASTRAL.search(text):
-            text = rest.sub("", text)
-        text = unicodedata.normalize("NFKC", _BREAK.sub("", text)).replace("\xad", "")
+        text = "\n".join([x if x.isascii() else _shown(x) for x in text.split("\n")])
+        text = "\n".join([x if x.isascii() else _plain(x) for x in _BREAK.sub("", text).split("\n")])
     elif "-" in text:
         text = _BREAK.sub("", text)
     if "(" in text or "[" in text:
         text = _NUMERAL.sub(" ", text)
-    if "_" in text:
-        text = text.replace("_", " ")
-    return _WORD.findall(text.lower())
+    return text.encode("utf-8", "replace").translate(_SMALL).split()
+
+
+def words(text: str | None) -> list[str]:
+    """The words that count: runs of letters and digits without regard to case, punctuation, compatibility forms,
+    invisible characters, line layout and bracketed numerals. None for null and empty texts."""
+    return [w.decode() for w in utf8_words(text)]
 
 
 # --- passages --------------------------------------------------------------------------------------------------------
@@ -98,14 +116,14 @@ def passages(documents: DataFrame, vocabulary: dict[str, int], span: int, slack:
     size = len(vocabulary)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, freq, seen = vocabulary.get, np.zeros(size, dtype=np.int64), 0
+        get, freq, seen = {w.encode(): k for w, k in vocabulary.items()}.get, np.zeros(size, dtype=np.int64), 0
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("ids", pa.list_(pa.int32())), ("freqs", pa.list_(pa.int64())), ("n_docs", pa.int64())])
         for batch in batches:
             out: tuple[list, list, list] = ([], [], [])
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if not text:
                     continue
-                ids = np.fromiter(map(get, words(text), itertools.repeat(size)), dtype=np.int32)
+                ids = np.fromiter(map(get, utf8_words(text), itertools.repeat(size)), dtype=np.int32)
                 known = ids < size
                 freq[np.unique(ids[known])] += 1
                 seen += 1
