@@ -34,6 +34,8 @@ ORDERED = 10
 SLACK = SPAN - ORDERED
 RANK, EXTRA = 64, 8
 COSINE, ANSWER = 0.8, 0.7
+#: A copy's cosine is 1 but for rounding.
+COPIED = 0.99
 #: Words in order, and part of the information, of a passage whose words were moved about.
 SHUFFLED = 8, 0.9
 CELLS, PAIRS = 256, 500_000
@@ -347,6 +349,19 @@ def pairs_within(x: np.ndarray, vectors: np.ndarray, centre: np.ndarray, members
             yield mine[i], group[j], cos[i, j]
 
 
+def gathered(parts: Iterator[tuple[np.ndarray, ...]], size: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """The same rows in fewer parts, of ``size`` rows or more but for the last."""
+    held, n = [], 0
+    for part in parts:
+        held.append(part)
+        n += len(part[0])
+        if n >= size:
+            yield tuple(map(np.concatenate, zip(*held)))
+            held, n = [], 0
+    if n:
+        yield tuple(map(np.concatenate, zip(*held)))
+
+
 MATCH = "doc_id bigint, item bigint, cosine float, run int, lcs int, answer float, start int"
 
 
@@ -376,15 +391,20 @@ def _search(parts: DataFrame, items: list[np.ndarray], idf: np.ndarray, space: n
             hits: dict[tuple[int, int], list] = {}
             for lo in range(0, len(w), 8192):
                 x = latent(w[lo : lo + 8192], idf, space)
-                for i, m, score in pairs_within(x, vectors, centre, members, reach, cosine):
+                for i, m, score in gathered(pairs_within(x, vectors, centre, members, reach, cosine), 65_536):
                     for c in range(0, len(i), 65_536):
                         p, n, cos = lo + i[c : c + 65_536], m[c : c + 65_536], score[c : c + 65_536]
                         # all candidates at once: equal word by word; weight of the item's words that are there
                         same = (w[p] == every[n]).all(1)
+                        if copies:
+                            p, n, cos, same = p[same], n[same], cos[same], same[same]
                         there = (every[n][:, :, None] == w[p][:, None, :]).any(2)
                         share = (there * idf[every[n]]).sum(1) / weight[n]
                         good = np.flatnonzero(same | (share >= answer))
-                        longest = common(w[p[good]], every[n[good]])
+                        longest = np.full(len(good), span)
+                        other = np.flatnonzero(~same[good])
+                        if len(other):
+                            longest[other] = common(w[p[good[other]]], every[n[good[other]]])
                         for k, alike in zip(good, longest):
                             hits.setdefault((int(which[p[k]]), int(owner[n[k]])), []).append((int(p[k]), int(n[k]), float(cos[k]), bool(same[k]), float(share[k]), int(alike)))
             for (t, item), found in hits.items():
@@ -484,7 +504,7 @@ def leaks(documents: DataFrame, items: DataFrame, span: int = SPAN, slack: int =
     """
     spark = shipped(documents.sparkSession)
     if copies:
-        slack = 0
+        slack, cosine = 0, max(cosine, COPIED)
     docs = documents.select(F.col("doc_id").cast("bigint"), "text").where(F.length("text") > 0)
     chosen = materialise(tokenised(items.select(F.col("item_id").cast("bigint"), "text").where(F.length("text") > 0)), "items")
     distinct = chosen.select(F.explode(F.array_distinct("words")).alias("w")).distinct().collect()  # the vocabulary of the evaluation set
