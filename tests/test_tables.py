@@ -319,3 +319,75 @@ def test_messages_never_fail():
     m = notify.failure_message("silver", ValueError("x" * 900), 2)
     assert notify.notify(m, sent.append) and sent == [m] and len(m["text"]) < 540
     assert not notify.notify(m, broken) and not notify.notify(m, None)
+
+
+def bronze_rows(spark, *rows):
+    full = [("k", v, t, 0, k, at, at, at.strftime("%Y-%m-%d"), at.hour) for k, (t, v, at) in enumerate(rows)]
+    return spark.createDataFrame(full, "key string, value string, topic string, kafka_partition int, kafka_offset bigint, kafka_timestamp timestamp, ingested_at timestamp, dt string, hour int")
+
+
+def test_window_scans_open_only_their_files(spark, path):
+    from tidewell.plans import silver
+    from tidewell.schemas import BRONZE, BRONZE_PARTITION
+
+    t = ManagedTable.create_if_not_exists(spark, f"{path}/b", BRONZE, BRONZE_PARTITION, {"stats": ["ingested_at"]})
+    start = dt.datetime(2024, 1, 1)
+    t.append(bronze_rows(spark, *(("ad-clicks", "{}", start + dt.timedelta(hours=h)) for h in range(24 * 6))))
+    as_of = dt.datetime(2024, 1, 6, 12)
+    count = lambda **kw: (len((w := silver.scan_window([t], as_of, **kw)).inputFiles()), w.count())
+    assert t.files().count() == 144
+    assert count(window_days=2) == (72, 72) and count(window_days=2, hour=9) == (3, 3) and count(window_days=2, hour=-1) == (72, 72)
+    assert count(lookback_hours=3) == (15, 15)  # from 9 o'clock to the day's end
+    assert count(window_days=400, hour=25) == (0, 0)
+
+
+def test_unknown_topics_are_kept(spark, path):
+    from tidewell.schemas import BRONZE
+
+    tables = {n: ManagedTable.create_if_not_exists(spark, f"{path}/{n}", BRONZE) for n in ("ad_clicks", "unrouted")}
+    rest = tables.pop("unrouted")
+    write = ingest.router(tables, "q", rest)
+    batch = bronze_rows(spark, ("ad-clicks", "a", T1), ("ad-odd", "b", T1), (None, "c", T1))
+    write(batch, 0)
+    write(batch, 0)
+    assert [r["value"] for r in tables["ad_clicks"].scan().collect()] == ["a"] and sorted(r["value"] for r in rest.scan().collect()) == ["b", "c"]
+
+
+def test_generated_events_go_through_the_topics(spark, path):
+    from tidewell.plans import generate, silver
+    from tidewell.schemas import BRONZE, NATIVE_FIELDS
+    from tidewell.sources import wire
+
+    e = generate.random_funnel(spark, 3000, per_second=10).cache()
+    assert e.columns == list(NATIVE_FIELDS) and sorted(map(str, e.collect())) == sorted(map(str, generate.random_funnel(spark, 3000, per_second=10).repartition(5).collect()))
+    bad = e.where("bid_price < floor_price * 1.19 OR bid_price > floor_price * 1.81 OR floor_price NOT BETWEEN 0.25 AND 0.9 OR os IS NULL OR site_cat IS NULL")
+    assert bad.count() == 0 and e.groupBy("campaign_id").agg(F.count_distinct("floor_price").alias("n")).where("n > 1").count() == 0
+    assert e.agg(F.max("timestamp") - F.min("timestamp")).first()[0] == 299 and e.select("event_id").distinct().count() == e.count()
+    steps = {r["event_type"]: r["n"] for r in e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert steps["request"] == 3000 and 2200 < steps["impression"] < 2600 and steps["click"] < 120
+    assert generate.random_funnel(spark, 0).count() == 0
+    wire.produce(wire.messages_of(e), landing=f"{path}/in")
+    tables = {f"ad_{t}s": ManagedTable.create_if_not_exists(spark, f"{path}/ad_{t}s", BRONZE) for t in steps}
+    ingest.start(ingest.file_stream(spark, f"{path}/in"), tables, f"{path}/cp", every=None).awaitTermination()
+    raw = tables["ad_impressions"].scan()
+    back = silver.parse_native(raw)
+    assert back.count() == steps["impression"] and back.where("cost IS NULL OR event_timestamp IS NULL OR banner_id IS NULL").count() == 0
+
+
+def test_trend_chart(spark):
+    from tidewell.plans import gold
+
+    k = spark.createDataFrame([(D1, 1.0), (D2, None), (dt.date(2024, 1, 3), 4.0)], "event_date date, ctr double")
+    svg = gold.trend_chart(k, "ctr")
+    assert svg.startswith("<svg") and svg.count("<polyline") == 2 and "2024-01-01 to 2024-01-03" in svg
+    assert "no days" in gold.trend_chart(k.limit(0), "ctr")
+
+
+def test_drained_sessions_take_late_events(spark, path):
+    rows = [("u", T1 + dt.timedelta(minutes=m), T1 + dt.timedelta(days=d)) for m, d in ((0, 0), (50, 0), (25, 5), (300, 1), (5000, 4))] + [("v", T1, None), (None, T1, T1), ("w", None, T1)]
+    e = spark.createDataFrame(rows, "uid string, event_timestamp timestamp, updated_at timestamp").withColumn("day", F.lit("x"))
+    got = sorted((r["uid"], r["session_end"] - r["session_start"], r["n_events"]) for r in windows.drain_sessions(e).collect())
+    assert got == [("u", 0, 1), ("u", 0, 1), ("u", 3000, 3), ("v", 0, 1)]
+    dropped = windows.drain_sessions(e, lateness="1 hour", files=1)
+    assert dropped.where("uid = 'u'").agg(F.sum("n_events")).first()[0] < 5
+    assert windows.drain_sessions(e.limit(0)).count() == 0

@@ -71,6 +71,14 @@ def p1_clicks(spark: SparkSession, d: str) -> DataFrame:
     return schema_drift.union_table(_messages(spark, d), WIRE, keep=("kafka_partition", "kafka_offset", "dt", "hour"))
 
 
+def p1_filled(spark: SparkSession, d: str) -> DataFrame:
+    """How many messages fill each field of the click table, and how many it rejects."""
+    t = schema_drift.union_table(_messages(spark, d), WIRE)
+    names = list(dict.fromkeys(n for f in WIRE.values() for n in f))
+    filled = F.array_compact(F.array(*(F.when(F.col(n).isNotNull(), F.lit(n)) for n in names), F.when(F.col("reject_reason").isNotNull(), F.concat(F.lit("rejected: "), "reject_reason"))))
+    return t.select("source", F.explode(filled).alias("field_name")).groupBy("source", "field_name").agg(F.count(F.lit(1)).alias("n_messages"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return _sessions(spark, d).select("uid", "session_start", "session_end")
 
@@ -143,7 +151,7 @@ def p7_events_rows(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("event_id", spelled("__id")).select(df.columns)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_schemas, p1_clicks, p2_found, p2_sessions, p2_stream, p3_found, p3_campaigns, p3_banners, p5_found, p5_compacted, p6_found, p6_hourly, p7_found, p7_clicks, p7_events, p7_clicks_rows, p7_events_rows)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_schemas, p1_clicks, p1_filled, p2_found, p2_sessions, p2_stream, p3_found, p3_campaigns, p3_banners, p5_found, p5_compacted, p6_found, p6_hourly, p7_found, p7_clicks, p7_events, p7_clicks_rows, p7_events_rows)}
 
 _BARE = "nullif(lower(trim(replace(event_id, '-', ''))), '')"
 _UUID = "substr({0},1,8)||'-'||substr({0},9,4)||'-'||substr({0},13,4)||'-'||substr({0},17,4)||'-'||substr({0},21,12)"
@@ -228,6 +236,10 @@ SQL = {
     "p1_report": f"{_drift_sql()} SELECT dt, source, change_kind, field_name, found_as, count(DISTINCT r) AS n_messages FROM every GROUP BY ALL",
     "p1_schemas": f"""{_drift_sql()} SELECT dt, source, k AS field_name, CASE WHEN count(DISTINCT nullif(keys.kind, 'null')) > 1 THEN 'string' ELSE coalesce(max(nullif(keys.kind, 'null')), 'null') END AS json_type
  FROM keys WHERE EXISTS (SELECT 1 FROM decl WHERE decl.source = keys.source AND decl.name = keys.k) GROUP BY dt, source, k""",
+    "p1_filled": f"""{_drift_sql()}, own AS (SELECT keys.r, keys.source, k AS name FROM keys JOIN decl ON decl.source = keys.source AND decl.name = keys.k WHERE keys.kind <> 'null'
+  UNION SELECT ren.r, ren.source, ren.name FROM ren JOIN keys ON keys.r = ren.r AND keys.k = ren.new WHERE keys.kind <> 'null')
+ SELECT source, name AS field_name, count(*) AS n_messages FROM own GROUP BY source, name
+ UNION ALL SELECT NULL, CASE WHEN json_type(j) = 'OBJECT' THEN 'rejected: undeclared source' ELSE 'rejected: broken' END, count(*) FROM v WHERE r NOT IN (SELECT r FROM w) GROUP BY 2""",
     "p2_found": f"{_SESSIONS} SELECT uid, session_start, session_end FROM r",
     "p2_sessions": f"{_SESSIONS} SELECT uid, session_start, session_end, session_end - session_start AS duration_sec, n_events, n_request, n_impression, n_click, n_conversion, n_other FROM r",
     "p2_stream": f"{_SESSIONS} SELECT uid, session_start, session_end, n_events FROM r",

@@ -264,6 +264,18 @@ def silver_delay_stats(spark: SparkSession, d: str) -> DataFrame:
     return _delayed(spark, d).agg(F.count(F.lit(1)).alias("conversions"), F.count(s).alias("delay_filled"), F.min(s).alias("min_delay_sec"), F.round(F.avg(s), 4).alias("avg_delay_sec"), F.max(s).alias("max_delay_sec"))
 
 
+_VIEWED = "SELECT event_type, count(*) AS cnt, count(DISTINCT campaign_id) AS campaigns FROM {0} WHERE event_date >= DATE '2024-01-03' GROUP BY event_type"
+
+
+@query(f"WITH {_SILVER} {_VIEWED.format('s')}")
+def silver_sql_view(spark: SparkSession, d: str) -> DataFrame:
+    """SQL over a managed table that is registered as a view."""
+    t = _table(spark, "silver.processed_events", SILVER, ["event_date"])
+    t.append(_silver(spark, d))
+    t.view("managed_silver", where=lambda p: (p["event_date"] or "") >= "2024-01-03")
+    return spark.sql(_VIEWED.format("managed_silver"))
+
+
 @query("SELECT source, event_type, count(*) AS cnt FROM processed_events GROUP BY ALL ORDER BY source, event_type")
 def silver_distribution(spark: SparkSession, d: str) -> DataFrame:
     return _events(spark, d).groupBy("source", "event_type").agg(F.count(F.lit(1)).alias("cnt")).orderBy("source", "event_type")
@@ -424,6 +436,22 @@ def freshness_minutes(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionAll, parts)
 
 
+_LABELS = [*(f"bronze.ad_{t}s" for t in EVENT_TYPES), "silver.processed_events", "gold.campaign_daily_stats", "gold.banner_daily_stats", "gold.hourly_funnel"]
+_FIXED = ", ".join(f"('{c}', '{n}', '{s}')" for c, s in (("freshness", "OK"), ("files", "WARN"), ("snapshots", "OK")) for n in _LABELS)
+_STATUS = f"""WITH {_SILVER}, m AS ({_campaign_sql('s')}), gate AS (SELECT 'volume' AS c, 'silver.processed_events' AS l, count(*) FILTER (updated_at >= {_NOW}) > 0 AS ok, 'WARN' AS bad FROM s
+ UNION ALL SELECT 'duplicates', 'silver.processed_events', count(*) = count(DISTINCT event_id), 'FAIL' FROM s
+ UNION ALL SELECT 'funnel', 'gold.campaign_daily_stats', count(*) FILTER (impressions > requests OR clicks > impressions OR conversions > clicks) = 0, 'FAIL' FROM m
+ UNION ALL SELECT 'ratio', 'gold.campaign_daily_stats', count(*) FILTER (fill_rate NOT BETWEEN 0 AND 1 OR ctr NOT BETWEEN 0 AND 1 OR cvr NOT BETWEEN 0 AND 1) = 0, 'FAIL' FROM m
+ UNION ALL SELECT 'cost', 'gold.campaign_daily_stats', abs((SELECT coalesce(round(sum(cost), 2), 0) FROM m) - (SELECT coalesce(round(sum(cost), 2), 0) FROM s WHERE event_type = 'click')) < 0.01, 'WARN')
+ SELECT c AS "check", l AS label, CASE WHEN ok THEN 'OK' ELSE bad END AS status FROM gate UNION ALL SELECT * FROM (VALUES {_FIXED})"""
+
+
+@query(_STATUS)
+def health_status(spark: SparkSession, d: str) -> DataFrame:
+    """The statuses of the report; its details hold clock times and file sizes."""
+    return health_report(spark, d).select("check", "label", "status")
+
+
 @query()
 def health_report(spark: SparkSession, d: str) -> DataFrame:
     bronze = list(_bronze(spark, d).values())

@@ -85,6 +85,10 @@ class ManagedTable:
         ]
         return self._read(files)
 
+    def view(self, name: str, **kw) -> None:
+        """Registers the rows of ``scan(**kw)`` under a name for SQL, as of the snapshot of now."""
+        self.scan(**kw).createOrReplaceTempView(name)
+
     def _read(self, files: list[str]) -> DataFrame:
         if not files:
             return self.spark.createDataFrame([], self.schema)
