@@ -102,6 +102,28 @@ def test_merge_refuses_repeated_keys(spark, path):
     assert len(t.versions()) == 1 and not [p for p, _, _ in walk(spark, f"{path}/t/data") if "_merge-" in p]
 
 
+def test_merge_meets_another_writer(spark, path, monkeypatch):
+    t = table(spark, path)
+    for start in (False, True):  # onto an empty table, and onto one with rows
+        plain = ManagedTable._stage
+
+        def stage(self, rows, *a):
+            out = plain(self, rows, *a)
+            monkeypatch.setattr(ManagedTable, "_stage", plain)
+            self.append(df(spark, ("x", D2, float(start), None)))
+            monkeypatch.setattr(ManagedTable, "_stage", stage)
+            return out
+
+        monkeypatch.setattr(ManagedTable, "_stage", stage)
+        with pytest.raises(CommitConflict):
+            t.merge(df(spark, ("x", D1, 7.0, None)), "k")
+        monkeypatch.setattr(ManagedTable, "_stage", plain)
+    assert {r[2] for r in content(t)} == {0.0, 1.0}
+    with pytest.raises(ValueError):
+        table(spark, path + "/e").merge(df(spark, ("x", D1, 7.0, None), ("x", D1, 8.0, None)), "k")
+    assert not [p for p, _, _ in walk(spark, f"{path}/e/t/data") if p.endswith(".parquet")]
+
+
 def test_one_partition_of_several_targets_takes_several_files(spark, path):
     t = table(spark, path, **{"target-bytes": 40_000})
     big = spark.range(60_000).select(F.md5(F.col("id").cast("string")).alias("k"), F.lit(D1).alias("day"), F.rand(1).alias("v"), F.md5(F.rand(2).cast("string")).alias("note"), F.lit(T1).alias("updated_at"))

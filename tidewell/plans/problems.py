@@ -151,7 +151,15 @@ def p7_events_rows(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("event_id", spelled("__id")).select(df.columns)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_schemas, p1_clicks, p1_filled, p2_found, p2_sessions, p2_stream, p3_found, p3_campaigns, p3_banners, p5_found, p5_compacted, p6_found, p6_hourly, p7_found, p7_clicks, p7_events, p7_clicks_rows, p7_events_rows)}
+def p7_kept_sums(spark: SparkSession, d: str) -> DataFrame:
+    """Figures of the kept rows of both tables, which tell whether the right ones were kept."""
+    us = lambda c: F.sum(F.pmod(F.unix_micros(c), F.lit(1_000_003)))
+    e = p7_events_rows(spark, d).agg(F.count(F.lit(1)).alias("n_rows"), F.count("event_id").alias("n_ids"), us("updated_at").alias("times"), F.sum(F.length("event_type") + F.coalesce("conversion_delay_sec", F.lit(0))).alias("content"))
+    m = p7_clicks_rows(spark, d).agg(F.count(F.lit(1)).alias("n_rows"), F.count("event_id").alias("n_ids"), us("kafka_timestamp").alias("times"), F.sum(F.length("value") + F.col("kafka_offset")).alias("content"))
+    return m.select(F.lit("ad_clicks").alias("tbl"), "*").unionByName(e.select(F.lit("processed_events").alias("tbl"), "*"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_schemas, p1_clicks, p1_filled, p2_found, p2_sessions, p2_stream, p3_found, p3_campaigns, p3_banners, p5_found, p5_compacted, p6_found, p6_hourly, p7_found, p7_clicks, p7_events, p7_clicks_rows, p7_events_rows, p7_kept_sums)}
 
 _BARE = "nullif(lower(trim(replace(event_id, '-', ''))), '')"
 _UUID = "substr({0},1,8)||'-'||substr({0},9,4)||'-'||substr({0},13,4)||'-'||substr({0},17,4)||'-'||substr({0},21,12)"
@@ -258,5 +266,10 @@ SQL = {
  SELECT 'ad_clicks' AS tbl, {_UUID.format('id')} AS event_id FROM m WHERE id IS NOT NULL GROUP BY id HAVING count(*) > 1
  UNION ALL SELECT 'processed_events', {_UUID.format('id')} FROM e WHERE id IS NOT NULL GROUP BY id HAVING count(*) > 1""",
     "p7_clicks": f"""WITH {_MESSAGES} SELECT {_UUID.format('id')} AS event_id, min(dt) AS dt, min(epoch_us(kafka_timestamp)) AS kafka_us FROM m WHERE id IS NOT NULL GROUP BY id""",
+    "p7_kept_sums": f"""WITH {_MESSAGES}, e AS (SELECT *, {_BARE} AS id FROM processed_events),
+ a AS (SELECT * FROM m WHERE id IS NULL UNION ALL (SELECT * FROM m WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY kafka_timestamp, kafka_partition NULLS FIRST, kafka_offset NULLS FIRST) = 1)),
+ b AS (SELECT * FROM e WHERE id IS NULL UNION ALL (SELECT * FROM e WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at, event_timestamp NULLS FIRST, event_id, event_type) = 1))
+ SELECT 'ad_clicks' AS tbl, count(*) AS n_rows, count(id) AS n_ids, sum(epoch_us(kafka_timestamp) % 1000003)::bigint AS times, sum(length(value) + kafka_offset)::bigint AS content FROM a
+ UNION ALL SELECT 'processed_events', count(*), count(id), sum(epoch_us(updated_at) % 1000003)::bigint, sum(length(event_type) + coalesce(conversion_delay_sec, 0))::bigint FROM b""",
     "p7_events": f"""WITH e AS (SELECT {_BARE} AS id, updated_at FROM processed_events) SELECT {_UUID.format('id')} AS event_id, min(epoch_us(updated_at)) AS updated_us FROM e WHERE id IS NOT NULL GROUP BY id""",
 }

@@ -224,20 +224,22 @@ class ManagedTable:
         Keys alone find the files that hold rows of the source; only those files are compared and, if a row of them
         changes, rewritten. A row whose partition moves leaves its old one. Two rows of ``source`` with one key raise
         ``ValueError`` and change nothing, as it isn't told which of them should stand; null keys match nothing and are
-        added.
+        added. Files that another writer adds meanwhile may hold the same keys, so that is a conflict.
         """
         base = self.snapshot()
         files = [e["path"] for e in self._entries(base)]
         columns = self.spark.createDataFrame([], self.schema).columns
         compared = [c for c in columns if c != key and c not in ignore]
+        if not files:  # all rows are new
+            added = self._stage(source)
+            self._refuse_repeated(self._read([e["path"] for e in added]), key, added)
+            return self._commit(base, "overwrite", added, set(), replaces=lambda _: True) if added else None
         work = f"{self.root}/data/_merge-{uuid.uuid4().hex}"
         try:
             source.select(*columns).write.parquet(f"{work}/source")
             source = self.spark.read.schema(self.schema).parquet(f"{work}/source")
-            repeated = source.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(3).collect()
-            if repeated:
-                raise ValueError(f"{self.name}: several source rows for one key, as {[r[key] for r in repeated]}")
-            keys = self._read(files).select(key, (F.col("_metadata.file_path") if files else F.lit(None)).alias("__file"))
+            self._refuse_repeated(source, key)
+            keys = self._read(files).select(key, F.col("_metadata.file_path").alias("__file"))
             near = self._named(keys.join(source.select(key), key, "left_semi").select("__file").distinct(), files)
             if not near:
                 rows, hit = source, set()
@@ -262,7 +264,14 @@ class ManagedTable:
             added = self._stage(rows)
         finally:
             delete(self.spark, work)
-        return self._commit(base, "overwrite", added, hit)
+        return self._commit(base, "overwrite", added, hit, replaces=lambda _: True)
+
+    def _refuse_repeated(self, source: DataFrame, key: str, staged: list[dict] | None = None) -> None:
+        found = source.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(3).collect()
+        if found:
+            for e in staged or []:
+                delete(self.spark, e["path"])
+            raise ValueError(f"{self.name}: several source rows for one key, as {[r[key] for r in found]}")
 
     def changed_partitions(self, since: int, to: int | None = None) -> list[dict]:
         """Partitions that gained or lost files between two snapshots; 0 stands for the empty table."""
