@@ -324,6 +324,14 @@ def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return row[-1]
 
 
+def repeated(a: np.ndarray, b: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Weight of the words of each row of ``a`` that the same row of ``b`` has."""
+    there = np.zeros(a.shape, dtype=bool)
+    for y in b.T:
+        there |= a == y[:, None]
+    return (there * idf[a]).sum(1)
+
+
 def reach_of(vectors: np.ndarray, centre: np.ndarray, cosine: float) -> tuple[list[np.ndarray], np.ndarray]:
     """The vectors of each cell, each in one, and the least cosine with its centre of a vector that may have ``cosine``
     or more with one of them: their angle is at most the cell's radius and that of ``cosine``."""
@@ -344,9 +352,9 @@ def pairs_within(x: np.ndarray, vectors: np.ndarray, centre: np.ndarray, members
         step = max(1, PAIRS // max(1, len(group)))
         for c in range(0, len(rows) if len(group) else 0, step):
             mine = rows[c : c + step]
-            cos = x[mine] @ vectors[group].T
-            i, j = np.nonzero(cos >= cosine)
-            yield mine[i], group[j], cos[i, j]
+            cos = (x[mine] @ vectors[group].T).ravel()
+            hit = np.flatnonzero(cos >= cosine)  # of one row after the other, which is found faster than in two dimensions
+            yield mine[hit // len(group)], group[hit % len(group)], cos[hit]
 
 
 def gathered(parts: Iterator[tuple[np.ndarray, ...]], size: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -398,8 +406,7 @@ def _search(parts: DataFrame, items: list[np.ndarray], idf: np.ndarray, space: n
                         same = (w[p] == every[n]).all(1)
                         if copies:
                             p, n, cos, same = p[same], n[same], cos[same], same[same]
-                        there = (every[n][:, :, None] == w[p][:, None, :]).any(2)
-                        share = (there * idf[every[n]]).sum(1) / weight[n]
+                        share = repeated(every[n], w[p], idf) / weight[n]
                         good = np.flatnonzero(same | (share >= answer))
                         longest = np.full(len(good), span)
                         other = np.flatnonzero(~same[good])
