@@ -42,18 +42,21 @@ def kind_of(v: Column) -> Column:
 
 
 def bits_of(v: Column) -> Column:
-    """The bit of a variant's JSON type, with that of a number's size beside it."""
-    kind, text = kind_of(v), F.try_variant_get(v, "$", "string")
+    """The bit of a variant's JSON type, with that of a number's size beside it. Texts, whole numbers and short fractions,
+    which are nearly all there is, are told by their SQL type."""
+    kind, text, sql = kind_of(v), F.try_variant_get(v, "$", "string"), F.schema_of_variant(v)
+    size = lambda n: F.when(n.between(-(2**31), 2**31 - 1), 0).when(n.between(-(2**53), 2**53), LONG).otherwise(HUGE)
     whole, plain = text.try_cast("bigint"), text.try_cast("decimal(38,20)")
     exact = (F.length(F.regexp_extract(text, r"\.(\d+)$", 1)) <= 20) & (plain == text.try_cast("double").try_cast("decimal(38,20)"))
-    size = (
-        F.when(whole.between(-(2**31), 2**31 - 1), 0)
-        .when(whole.between(-(2**53), 2**53), LONG)
-        .when(whole.isNotNull(), HUGE)
-        .when(F.schema_of_variant(v).isin("DOUBLE", "FLOAT") | exact, FRACTION)
-        .otherwise(WIDE)
+    number = F.when(whole.isNotNull(), size(whole)).when(sql.isin("DOUBLE", "FLOAT") | exact, FRACTION).otherwise(WIDE)
+    other = functools.reduce(lambda c, k: c.when(kind == k, BIT[k]), ("boolean", "object", "array"), F.when(kind == "null", BIT["null"]))
+    return (
+        F.when(sql == "STRING", BIT["string"])
+        .when(sql == "BIGINT", F.lit(BIT["number"]).bitwiseOR(size(F.try_variant_get(v, "$", "bigint"))))
+        .when(sql.startswith("DECIMAL") & (F.length(text) <= 16) & text.contains("."), BIT["number"] | FRACTION)
+        .when(kind == "number", F.lit(BIT["number"]).bitwiseOR(number))
+        .otherwise(other)
     )
-    return F.when(kind == "number", F.lit(BIT["number"]).bitwiseOR(size)).otherwise(functools.reduce(lambda c, k: c.when(kind == k, BIT[k]), list(BIT)[1:], F.when(kind == "null", BIT["null"])))
 
 
 def promote(bits: Column, declared: Column | str = "string") -> Column:
@@ -246,7 +249,7 @@ def _value(n: str, moved: list[dict]) -> Column:
 
 
 def fold(h: DataFrame, wire: dict[str, dict[str, str]], moved: list[dict]) -> DataFrame:
-    """The lattice: ``(src, name, bits)``, the OR of the types of each declared field over all headers."""
+    """The lattice: ``(src, name, bits)``, the OR of the types of each declared field over all messages."""
     values = _by_source(wire, lambda fields: F.array(*(F.struct(F.lit(n).alias("name"), _value(n, moved).alias("val")) for n in fields)))
     each = h.select("src", F.explode(values).alias("o")).select("src", "o.name", "o.val").where(F.col("val").isNotNull())
     return each.groupBy("src", "name").agg(F.bit_or(bits_of(F.col("val"))).alias("bits"))
@@ -292,8 +295,7 @@ def union_table(messages: DataFrame, wire: dict[str, dict[str, str]], value: str
     def column(n: str) -> Column:
         owners = [s for s, f in wire.items() if n in f]
         v, t = F.when(F.col("src").isin(*owners), _value(n, moved)), types[n]
-        text = F.try_variant_get(v, "$", "string")
-        return (text if t == "string" else F.try_variant_get(v, "$", t) if t == "array<variant>" else text.try_cast(t)).alias(n)
+        return F.try_variant_get(v, "$", t).alias(n)
 
     others = [_rest(moved).alias("rest"), F.col("reason").alias("reject_reason"), F.col("raw").alias("reject_value")]
     taken = {*names, "rest", "reject_reason", "reject_value"}
