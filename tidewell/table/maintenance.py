@@ -15,6 +15,8 @@ OPERATIONS = ("compact", "expire", "orphan")
 
 
 COMMIT_BYTES = 8 * 1024**3
+#: Files of a commit up to which the plan is sent to all tasks: about 20 MB.
+BROADCAST_FILES = 200_000
 
 
 def compact(table: ManagedTable, min_input_files: int = 5, max_commits: int = 10) -> dict:
@@ -39,8 +41,9 @@ def compact(table: ManagedTable, min_input_files: int = 5, max_commits: int = 10
             continue
         bins = [(short(e["path"]), int(b)) for k in chunk for e, b in zip(todo[k], first_fit_decreasing(np.array([e["bytes"] for e in todo[k]]), target))]
         old = table._read([e["path"] for e in files])
-        # one row for each file of the commit, no more than the driver lists anyway
-        plan = F.broadcast(spark.createDataFrame(bins, "__short string, __bin int"))
+        plan = spark.createDataFrame(bins, "__short string, __bin int")
+        if len(bins) <= BROADCAST_FILES:  # a row a file
+            plan = F.broadcast(plan)
         placed = old.withColumn("__short", F.substring_index(F.url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B")), "/data/", -1)).join(plan, "__short")
         added = table._stage(placed, F.col("__bin"))
         new = table._read([e["path"] for e in added])
