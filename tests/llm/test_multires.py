@@ -3,7 +3,7 @@
 import datetime as dt
 import itertools
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -81,6 +81,30 @@ def test_asked_ranges(spark):
     assert multires.range_counts(empty, asked, "campaign_id").count() == 0
 
 
+def test_ranges_shuffle_in_proportion_to_days(spark):
+    def shuffled(days):
+        df = spark.range(days * 2000).select(F.col("id").cast("string").alias("uid"), F.date_add(F.lit(D0), F.pmod("id", F.lit(days)).cast("int")).alias("event_date"), (F.pmod(F.hash("id"), F.lit(3))).alias("campaign_id"))
+        bus, store = spark.sparkContext._jsc.sc().listenerBus(), spark.sparkContext._jsc.sc().statusStore()
+        bus.waitUntilEmpty(30_000)
+        before = store.executorList(False).apply(0).totalShuffleWrite()
+        multires.distinct_counts(df, "uid", "event_date", "campaign_id").write.format("noop").mode("overwrite").save()
+        bus.waitUntilEmpty(30_000)
+        return store.executorList(False).apply(0).totalShuffleWrite() - before
+
+    assert shuffled(32) < 6 * shuffled(8)  # words copied into every range would make it 16 times
+
+
+@pytest.mark.parametrize("bits", [64, 1024])
+def test_ranges_of_full_slices(spark, bits):
+    offset = F.element_at(F.array(*map(F.lit, [0, 1, 2, 6, 7, 13])), F.pmod("id", F.lit(6)).cast("int") + 1)
+    df = spark.range(60_000).select("id", F.date_add(F.lit(D0), offset).alias("event_date"), F.when(F.col("id") % 5 < 4, (F.col("id") % 4).cast("string")).alias("site_cat"))
+    got = multires.distinct_counts(df, "id", "event_date", "site_cat", bits).where("grain like 'range%'")
+    asked = spark.createDataFrame([(day(a), day(b)) for a, b in itertools.combinations_with_replacement(range(14), 2)], "first_day date, last_day date")
+    blocks = multires.dyadic_blocks(multires.partial_bitmaps(df, "id", ["event_date", "site_cat"], bits), "event_date", "site_cat")
+    want = multires.range_counts(blocks, asked, "site_cat", bits)
+    assert got.schema.names == want.schema.names and Counter(got.collect()) == Counter(want.collect())
+
+
 def test_errors_beside_exact_counts(spark):
     df = visits(spark, *((f"u{k % 900}", k % 3, k % 5) for k in range(3000)), (None, 0, 1), ("x", None, None))
     got = {r["grain"]: tuple(r)[1:] for r in multires.errors(df, "uid", "event_date", "campaign_id").collect()}

@@ -14,20 +14,27 @@ The result carries ``rel_error`` = 2 / sqrt(b), which about 95 % of estimates ke
 
 Ranges of days: OR is idempotent, so a range of any length is the OR of two overlapping blocks whose length is a power of
 two. The blocks of each length come from those of half the length; a state of D days takes log2(D) times its rows.
+Where every range is wanted, the state of one group goes to one task, which ORs its days from each first day on: D days
+have D^2 / 2 ranges, and only their estimates leave the task, never their words.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.session import materialise
+from tidewell.session import materialise, shipped
 
 BITS = 4096
 LEVELS = 40
 FILL = 1 - math.exp(-1.5)
+BATCH = 1 << 16
 
 
 def partial_bitmaps(df: DataFrame, value: str, keys: list[str], bits: int = BITS) -> DataFrame:
@@ -106,18 +113,74 @@ def _ranges(wide: DataFrame, group: str) -> DataFrame:
     return own.withColumn("grain", F.lit(f"range+{group}")).unionByName(whole.withColumn("grain", F.lit("range")))
 
 
-def range_state(blocks: DataFrame, lo, hi, group: str) -> DataFrame:
-    """The state of every range of consecutive days between ``lo`` and ``hi``: each word goes into two ranges for each
-    length that its block serves."""
-    size = F.expr("shiftleft(1, `order`)")
-    longest = F.datediff(F.lit(hi), F.lit(lo)) + 1
-    lengths = F.sequence(size, F.least(size * 2 - 1, longest))
-    last = F.date_add("first_day", size - 1)
-    ahead = F.transform(lengths, lambda n: F.struct(F.col("first_day").alias("first_day"), F.date_add(F.col("first_day"), n - 1).alias("last_day")))
-    back = F.transform(lengths, lambda n: F.struct(F.date_sub(last, n - 1).alias("first_day"), last.alias("last_day")))
-    wide = blocks.select(group, "level", "word", "bits", F.explode(F.array_distinct(F.concat(ahead, back))).alias("r"))
-    inside = (F.col("first_day") >= F.lit(lo)) & (F.col("last_day") <= F.lit(hi))
-    return _ranges(wide.select("r.*", group, "level", "word", "bits").where(inside), group)
+def _estimates(ones: np.ndarray, levels: np.ndarray, bits: int) -> np.ndarray:
+    """``estimate`` for a row of ``ones`` each: the bits set in the slices ``levels``."""
+    n = -np.log(1 - np.minimum(np.arange(bits + 1), bits - 1) / bits) * bits
+    base = np.minimum(np.where(ones > bits * FILL, levels + 1, 0).max(axis=1), LEVELS - 1)
+    return np.floor(np.where(levels >= base[:, None], n[ones], 0.0).sum(axis=1) * 2.0**base + 0.5).astype(np.int64)
+
+
+def _days_and_words(batches: Iterator[pa.RecordBatch], lo: int, hi: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The days of a group that have words, its words' slots, and the words by both."""
+    days, slots, parts = np.zeros(hi - lo + 1, bool), np.zeros(LEVELS * width, bool), []
+    for b in batches:
+        day, slot, words = (b.column(c).to_numpy(zero_copy_only=False) for c in ("day", "slot", "bits"))
+        days[day - lo], slots[slot] = True, True
+        parts.append((day - lo, slot, words))
+    row, column = np.cumsum(days) - 1, np.cumsum(slots) - 1
+    table = np.zeros((days.sum(), slots.sum()), np.uint64)
+    for day, slot, words in parts:
+        table[row[day], column[slot]] = words.view(np.uint64)
+    return np.flatnonzero(days) + lo, np.flatnonzero(slots), table
+
+
+def _every_range(batches: Iterator[pa.RecordBatch], lo: int, hi: int, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """First days, last days and estimates of the ranges within ``lo`` to ``hi`` that hold a day of the group."""
+    width = max(1, bits // 64)
+    days, slots, table = _days_and_words(batches, lo, hi, width)
+    starts = np.flatnonzero(np.diff(slots // width, prepend=-1))
+    levels = slots[starts] // width
+    for i, day in enumerate(days):
+        ones = np.add.reduceat(np.bitwise_count(np.bitwise_or.accumulate(table[i:], axis=0)), starts, axis=1, dtype=np.int64)
+        last = np.arange(day, hi + 1)
+        upto = _estimates(ones, levels, bits)[np.searchsorted(days[i:], last, side="right") - 1]
+        # ranges that begin on a day without words, after the one before, are those from this day on
+        for first in range(days[i - 1] + 1 if i else lo, day + 1):
+            yield np.full(len(last), first), last, upto
+
+
+def every_range(state: DataFrame, lo, hi, day: str, group: str, bits: int = BITS) -> DataFrame:
+    """``(grain, first_day, last_day, group, estimate, rel_error)`` of every range of consecutive days between ``lo`` and
+    ``hi``, whole and per group, from the state per day and group.
+
+    A task takes the words of one group at a time, at most LEVELS * bits / 8 bytes a day however many rows there are.
+    """
+    kind, width = state.schema[group].dataType, max(1, bits // 64)
+    own = state.where(F.col(day).isNotNull())
+    whole = merge_bitmaps(own, [day]).withColumn(group, F.lit(None).cast(kind))
+    both = own.withColumn("grain", F.lit(f"range+{group}")).unionByName(whole.withColumn("grain", F.lit("range")))
+    both = both.select("grain", F.col(group).alias("of"), F.unix_date(day).alias("day"), (F.col("level") * width + F.col("word")).alias("slot"), "bits")
+    first, end = ((x - dt.date(1970, 1, 1)).days for x in (lo, hi))
+
+    def batch(key: tuple, rows: list[tuple]) -> pa.RecordBatch:
+        a, b, n = (np.concatenate(x) for x in zip(*rows))
+        dates = [pa.array(x.astype(np.int32)).view(pa.date32()) for x in (a, b)]
+        return pa.RecordBatch.from_arrays([*(pa.repeat(k, len(n)) for k in key), *dates, pa.array(n)], ["grain", "of", "first_day", "last_day", "estimate"])
+
+    def ranges(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, n = [], 0
+        for r in _every_range(batches, first, end, bits):
+            rows.append(r)
+            n += len(r[0])
+            if n >= BATCH:
+                yield batch(key, rows)
+                rows, n = [], 0
+        if rows:
+            yield batch(key, rows)
+
+    shipped(state.sparkSession)
+    found = both.groupBy("grain", "of").applyInArrow(ranges, f"grain string, of {kind.simpleString()}, first_day date, last_day date, estimate bigint")
+    return found.select("grain", "first_day", "last_day", F.col("of").alias(group), "estimate", F.lit(2 / math.sqrt(bits)).alias("rel_error"))
 
 
 def range_counts(blocks: DataFrame, asked: DataFrame, group: str, bits: int = BITS) -> DataFrame:
@@ -146,7 +209,7 @@ def distinct_counts(df: DataFrame, value: str, day: str, group: str, bits: int =
     """``(grain, first_day, last_day, group, estimate, rel_error)``: per day, per group, per both, over all, and for every
     range of consecutive days, whole and per group.
 
-    The rows are read once; all else merges the partial results per day and group, which are written down. Rows with null
+    The rows are read once; all else comes from the partial results per day and group, which are written down. Rows with null
     ``value`` add nothing, and a group of nothing but nulls has no row; null days and groups are groups of their own
     (``grain`` tells them from "every"), null days are in no range. An empty table gives no row. Repeated rows change
     nothing. The number of ranges grows with the square of the days; ``range_counts`` answers single ones.
@@ -154,11 +217,8 @@ def distinct_counts(df: DataFrame, value: str, day: str, group: str, bits: int =
     state = materialise(partial_bitmaps(df, value, [day, group], bits), "bitmaps")
     grains = grouping(state, [[], [day], [group], [day, group]], [day, group])
     grains = grains.select("grain", F.col(day).alias("first_day"), F.col(day).alias("last_day"), group, "level", "word", "bits")
-    keys = ["grain", "first_day", "last_day", group]
-    span = days_of(state, day)
-    if span is not None:
-        grains = grains.unionByName(range_state(dyadic_blocks(state, day, group), *span, group).select(grains.columns))
-    return estimate(grains, keys, bits)
+    counts, span = estimate(grains, ["grain", "first_day", "last_day", group], bits), days_of(state, day)
+    return counts if span is None else counts.unionByName(every_range(state, *span, day, group, bits))
 
 
 def errors(df: DataFrame, value: str, day: str, group: str, bits: int = BITS) -> DataFrame:
